@@ -96,7 +96,9 @@ def components(spark: SparkSession, edges: DataFrame, label: str) -> DataFrame:
 
     cur = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     cur = materialize(cur, label)
-    while True:
+    stamp = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))).first())
+    before = stamp(cur)
+    while before[0]:
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), label)
         # large star: larger neighbours point at the smallest node around u
@@ -110,7 +112,8 @@ def components(spark: SparkSession, edges: DataFrame, label: str) -> DataFrame:
             .distinct()
         )
         small = materialize(small, label)
-        same = cur.exceptAll(small).isEmpty() and small.exceptAll(cur).isEmpty()
-        cur = small
-        if same:
-            return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        cur, after = small, stamp(small)
+        if after == before:
+            break
+        before = after
+    return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -30,7 +30,15 @@ def op10_bpe_speculative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op6_simhash_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash_bitslice as S
+
+    g = S.groups(_table(spark, sf_dir, "documents"), ["doc_id"], "doc_id")
+    return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES = {
+    "op6_simhash_bitslice": op6_simhash_bitslice,
     "op4_rule_ledger": op4_rule_ledger,
     "op10_bpe_speculative": op10_bpe_speculative,
 }
