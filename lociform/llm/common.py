@@ -41,7 +41,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and return the written table (cuts lineage, survives lost executors)."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")  # the written table replaces the shuffles behind it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,7 +37,14 @@ def op6_simhash_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup as S
+
+    return S.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op6_simhash_bitslice": op6_simhash_bitslice,
     "op4_rule_ledger": op4_rule_ledger,
     "op10_bpe_speculative": op10_bpe_speculative,
