@@ -59,9 +59,10 @@ def batch_limits(spark: SparkSession) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes below `df`; for file scans the size of the files."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return min(size, 1 << 50)
+    """Catalyst's estimate of the bytes below `df`, for file scans the size of the files; 0 where it has none."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    size = int(size if isinstance(size, int) else size.toString())
+    return 0 if size >= 1 << 56 else size
 
 
 def parts_for(df: DataFrame, bytes_per_part: int, least: int) -> int:
