@@ -10,7 +10,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -27,7 +27,7 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe_speculative(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe_speculative as B
 
-    return B.digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return B.digests(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op6_simhash_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,38 @@ def op7_chat_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.read_back(C.format_events(C.messages(rows))).withColumnRenamed("conv", "conv_id")
 
 
+def op3_rake_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import rake_mix as R
+
+    return R.mix(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def _rake_sql(sweeps: int = 12, budget: float = 0.7) -> str:
+    """The same raking with every sweep written out."""
+    powers = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+    steps = [r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+  CASE WHEN contains(text, '|') THEN 'table' WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic,
+  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),
+c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)""".replace("\\\\", "\\")]
+    for m, p in powers.items():
+        steps.append(f"t_{m} AS (SELECT {m}, pow(t, {p}) / nullif(sum(pow(t, {p})) OVER (), 0) * sum(t) OVER () AS target FROM (SELECT {m}, sum(tokens) AS t FROM c GROUP BY {m}))")
+    joins = " ".join(f"LEFT JOIN t_{m} USING ({m})" for m in powers)
+    steps.append(f"w0 AS (SELECT c.*, 1.0::DOUBLE AS w, {', '.join(f't_{m}.target AS g_{m}' for m in powers)} FROM c {joins})")
+    k = 0
+    for _ in range(sweeps):
+        for m in powers:
+            steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (w * coalesce(g_{m} / nullif(sum(tokens * w) OVER (PARTITION BY {m}), 0), 1.0) AS w) FROM w{k})")
+            k += 1
+    steps.append(f"r AS (SELECT source, lang, topic, round(w, 9) AS weight FROM w{k})")
+    steps.append(f"p AS (SELECT *, round(least(1.0, weight * {budget}), 9) AS probability FROM d JOIN r USING (source, lang, topic))")
+    return ",\n".join(steps) + """
+SELECT doc_id, source, lang, topic, n_tokens, weight, probability,
+       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT / 4294967296.0 < probability AS selected FROM p"""
+
+
 QUERIES = {
+    "op3_rake_mix": op3_rake_mix,
     "op7_chat_fold": op7_chat_fold,
     "op9_url_sweep": op9_url_sweep,
     "op8_suffix_dedup": op8_suffix_dedup,
@@ -73,6 +104,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_rake_mix": _rake_sql(),
     "op7_chat_fold": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
