@@ -93,7 +93,15 @@ SELECT doc_id, source, lang, topic, n_tokens, weight, probability,
        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT / 4294967296.0 < probability AS selected FROM p"""
 
 
+def op1_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk_threshold as T
+
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return T.search(rows.where("id % 50 = 0"), rows, 5)
+
+
 QUERIES = {
+    "op1_topk_threshold": op1_topk_threshold,
     "op3_rake_mix": op3_rake_mix,
     "op7_chat_fold": op7_chat_fold,
     "op9_url_sweep": op9_url_sweep,
@@ -104,6 +112,15 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_topk_threshold": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, coalesce(score, 0) AS score FROM r WHERE rank <= 5""",
     "op3_rake_mix": _rake_sql(),
     "op7_chat_fold": r"""
 WITH c AS (
