@@ -100,7 +100,14 @@ def op1_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.search(rows.where("id % 50 = 0"), rows, 5)
 
 
+def op2_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repair_output as R
+
+    return R.round_trip(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op2_repair_output": op2_repair_output,
     "op1_topk_threshold": op1_topk_threshold,
     "op3_rake_mix": op3_rake_mix,
     "op7_chat_fold": op7_chat_fold,
