@@ -106,7 +106,18 @@ def op2_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.round_trip(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import kneser_ney as K
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).alias("held_out"))
+    docs = docs.withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+    model = K.fit(docs.where("NOT held_out"))
+    out = K.score(docs, model, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
+    "op5_kneser_ney": op5_kneser_ney,
     "op2_repair_output": op2_repair_output,
     "op1_topk_threshold": op1_topk_threshold,
     "op3_rake_mix": op3_rake_mix,
