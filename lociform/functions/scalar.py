@@ -37,7 +37,7 @@ def longest_run(sequence: Column, letter: str) -> Column:
 def ratio_text(text: Column) -> Column:
     """'3/40' as a number."""
     parts = F.split(text, "/")
-    return F.try_divide(parts[0].try_cast("double"), parts[1].try_cast("double"))
+    return F.try_divide(F.get(parts, 0).try_cast("double"), F.get(parts, 1).try_cast("double"))
 
 
 def p_text(p: Column) -> Column:

@@ -23,7 +23,7 @@ def base_counts(reads: DataFrame) -> DataFrame:
 def parse_counts(text: DataFrame, column: str = "BaseCount[A,C,G,T]") -> DataFrame:
     """'[0, 5, 100, 3]' to four count columns."""
     parts = F.split(F.regexp_replace(F.col(f"`{column}`"), r"[\[\]\s]", ""), ",")
-    return text.withColumns({f"count_{b}": parts[k].try_cast("bigint") for k, b in enumerate(BASES)})
+    return text.withColumns({f"count_{b}": F.get(parts, k).try_cast("bigint") for k, b in enumerate(BASES)})
 
 
 def primary_alt(sites: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def ols_per_feature(values: DataFrame, terms: list[str], key: str = "feature_id"
 def negative_binomial(counts: DataFrame, group: str = "grp", factor: str = "size_factor", dispersion: float | None = None) -> DataFrame:
     """Two-group negative-binomial regression of each feature with size factors: log2 fold change and a Wald test.
 
-    Dispersion by moments unless given; iteratively reweighted least squares on the log scale.
+    Dispersion by moments inside the groups unless given; iteratively reweighted least squares on the log scale.
     """
 
     def fit(p: pd.DataFrame) -> pd.DataFrame:
@@ -47,8 +47,15 @@ def negative_binomial(counts: DataFrame, group: str = "grp", factor: str = "size
             return pd.DataFrame([out | {"estimate": None, "std_error": None, "stat": None, "pvalue": None}])
         x = np.column_stack([np.ones(len(y)), (p[group] == levels[1]).to_numpy(float)])
         z = y / s
-        mean, var = z.mean(), z.var(ddof=1)
-        a = dispersion if dispersion is not None else max(1e-8, (var - mean * (1 / s).mean()) / mean**2)
+        a = dispersion
+        if a is None:
+            over = within = 0.0
+            for level in levels:
+                part = z[(p[group] == level).to_numpy()]
+                if len(part) > 1:
+                    over += (len(part) - 1) * (part.var(ddof=1) - part.mean() * (1 / s).mean())
+                    within += (len(part) - 1) * part.mean() ** 2
+            a = max(1e-8, over / within) if within else 1e-8
         mu = np.maximum(y, 0.1)
         beta = np.zeros(2)
         for _ in range(50):
