@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar as S
+from ..operators import annotation as A
 from ..operators import cells as C
 from ..operators import editing as E
 from ..operators import expression as X
 from ..operators import graph as G
 from ..operators import intervals as I
 from ..operators import models as M
+from ..operators import multivariate as MV
+from ..operators import penalties as P
+from ..operators import plotdata as PD
 from ..operators import quality as Q
 from ..operators import sequences as SQ
 from ..operators import stats as T
@@ -926,3 +929,296 @@ def nb_fits(spark, d):
 def enrichment_test(spark, d):
     x = ora_counts(spark, d)
     return T.bh(T.tails(x, "hyper", ["overlap", "n_universe", "set_size", "n_hits"]))
+
+
+# --- identifiers, networks, labels, summaries -----------------------------------------------------------------------
+
+
+@query(f"WITH {REG} SELECT region_id, CASE chr WHEN 'c0' THEN 'chr1' WHEN 'c3' THEN 'chrM' ELSE chr END AS chr, start, stop, strand FROM reg")
+def rename_chromosomes(spark, d):
+    return A.rename_chromosomes(regions(spark, d), {"c0": "chr1", "c3": "chrM"})
+
+
+@query("WITH m AS (SELECT 'G' || (p_partkey % 700) AS id, min(p_brand) AS name FROM part WHERE p_partkey % 700 < 400 GROUP BY 1), g AS (SELECT DISTINCT 'G' || (l_partkey % 700) || '.' || (l_partkey % 3) AS gene FROM lineitem), x AS (SELECT gene, coalesce(name, split_part(gene, '.', 1)) AS name FROM g LEFT JOIN m ON split_part(gene, '.', 1) = id), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY gene) - 1 AS n FROM x) SELECT gene, CASE WHEN n > 0 THEN name || '.' || n ELSE name END AS name FROM r")
+def convert_ids(spark, d):
+    k = F.col("p_partkey") % 700
+    m = table(spark, d, "part").where(k < 400).select(F.concat(F.lit("G"), k, F.lit(".7")).alias("id"), F.col("p_brand").alias("name"))
+    g = table(spark, d, "lineitem").select(F.concat(F.lit("G"), F.col("l_partkey") % 700, F.lit("."), F.col("l_partkey") % 3).alias("gene")).distinct()
+    return A.convert_ids(g, m).select("gene", "name")
+
+
+@query(f"""WITH {DE}, x AS (SELECT feature_id AS gene, -sign("log2FoldChange") * log10(greatest(pvalue, 1e-300)) AS stat FROM de) SELECT gene, round_even(stat, 6) + 0.0 AS stat FROM x QUALIFY row_number() OVER (PARTITION BY gene ORDER BY abs(stat) DESC, stat DESC) = 1""")
+def rank_from_results(spark, d):
+    return A.rank_from_results(results(spark, d)).withColumn("stat", r6(F.col("stat")) + 0.0)
+
+
+@query("SELECT p_brand AS module, p_type AS source, p_name || p_partkey AS term, (p_size % 37) / 37.0 AS pvalue, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY (p_size % 37) / 37.0, p_name || p_partkey)::INT AS rank FROM part WHERE (p_size % 37) / 37.0 <= 0.5 AND p_type IN ('SMALL', 'LARGE') QUALIFY rank <= 3")
+def enrichment_top_terms(spark, d):
+    t = table(spark, d, "part").select(F.col("p_brand").alias("module"), F.col("p_type").alias("source"), F.concat("p_name", "p_partkey").alias("term"), (F.col("p_size") % 37 / F.lit(37.0)).alias("pvalue"))
+    return A.filter_enrichment(t, 3, 0.5, ["SMALL", "LARGE"])
+
+
+@query("WITH e AS (SELECT 'n' || (l_suppkey % 40) AS source, 'n' || (l_partkey % 45) AS target, l_linenumber AS n_resources FROM lineitem), g AS (SELECT DISTINCT 'n' || c_nationkey AS gene FROM customer) SELECT least(source, target) AS a, greatest(source, target) AS b, max(n_resources) AS n_resources FROM e WHERE source IN (SELECT gene FROM g) AND target IN (SELECT gene FROM g) AND source <> target AND n_resources >= 2 GROUP BY 1, 2")
+def interaction_network(spark, d):
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("n"), F.col("l_suppkey") % 40).alias("source"), F.concat(F.lit("n"), F.col("l_partkey") % 45).alias("target"), F.col("l_linenumber").alias("n_resources"))
+    g = table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("gene")).distinct()
+    return A.interactions(e, g, 2)
+
+
+@query(f"WITH {EXPR} SELECT cell, cluster, CASE cluster WHEN 'k0' THEN 'B' WHEN 'k2' THEN 'T' END AS assigned FROM cel")
+def assign_labels(spark, d):
+    labels = spark.createDataFrame([("k0", "B"), ("k2", "T"), ("k2", "Z"), ("k9", "none")], "cluster string, label string")
+    return A.assign_labels(cell_table(spark, d).select("cell", "cluster"), labels)
+
+
+@query(f"WITH {REG} SELECT region_id::VARCHAR AS \"GeneID\", chr AS \"Chr\", start + 1 AS \"Start\", stop AS \"End\", '.' AS \"Strand\" FROM reg")
+def peaks_to_saf(spark, d):
+    return A.to_saf(regions(spark, d).withColumn("peak_id", F.col("region_id").cast("string")))
+
+
+@query(f"WITH {REG} SELECT region_id AS name, chr, greatest(0, start + (region_id % 60 - 5) - 100) AS start, start + (region_id % 60 - 5) + 100 AS stop FROM reg WHERE region_id % 60 - 5 >= 0")
+def summit_windows(spark, d):
+    r = regions(spark, d).select(F.col("region_id").alias("name"), "chr", "start", (F.col("region_id") % 60 - 5).alias("peak_summit"))
+    return A.summit_windows(r, 100)
+
+
+@query("SELECT p_brand AS set_id, p_name || p_partkey AS motif, (p_partkey % 91) / 91.0 AS pvalue, (p_partkey % 83) / 83.0 AS qvalue, p_size AS pct_target, row_number() OVER (PARTITION BY p_brand ORDER BY (p_partkey % 83) / 83.0, p_name || p_partkey)::INT AS rank FROM part WHERE (p_partkey % 83) / 83.0 <= 0.3 AND p_size >= 10 QUALIFY rank <= 5")
+def filter_motifs(spark, d):
+    k = F.col("p_partkey")
+    m = table(spark, d, "part").select(F.col("p_brand").alias("set_id"), F.concat("p_name", k).alias("motif"), (k % 91 / F.lit(91.0)).alias("pvalue"), (k % 83 / F.lit(83.0)).alias("qvalue"), F.col("p_size").alias("pct_target"))
+    return A.filter_motifs(m, 0.3, None, 10, 5)
+
+
+@query(f"WITH {CNT} SELECT sample_id, sum(value)::BIGINT AS total, round_even(avg(value), 6) AS mean, count(*) FILTER (value > 0) AS n_detected FROM cnt GROUP BY 1")
+def quantification_summary(spark, d):
+    return A.quantification_summary(counts(spark, d)).withColumn("mean", r6(F.col("mean")))
+
+
+@query(f"WITH {FRAG}, {REG}, v AS (SELECT region_id, sample_id, count(*) AS value FROM frag f JOIN reg r ON f.chr = r.chr AND f.start < r.stop AND r.start < f.stop GROUP BY 1, 2) SELECT region_id AS feature_id, sample_id, coalesce(value, 0) AS value FROM reg CROSS JOIN (SELECT DISTINCT sample_id FROM frag) LEFT JOIN v USING (region_id, sample_id)")
+def quantify_dense(spark, d):
+    f, r = fragments(spark, d), regions(spark, d)
+    v = I.count_overlaps(r, f, "region_id", ["sample_id"]).withColumnRenamed("region_id", "feature_id")
+    return A.densify(v, r.select(F.col("region_id").alias("feature_id")), f)
+
+
+@query("WITH s AS (SELECT c_mktsegment AS omics, 'g' || (c_custkey % 3) AS \"group\", c_custkey % 2 AS batch, c_nationkey AS bio_rep FROM customer) SELECT omics, \"group\", batch, count(*) AS n, count(DISTINCT bio_rep) AS n_bio_reps FROM s GROUP BY GROUPING SETS ((omics), (\"group\"), (batch), (omics, \"group\"))")
+def sheet_summary(spark, d):
+    c = table(spark, d, "customer")
+    return A.sheet_summary(c.select(F.col("c_mktsegment").alias("omics"), F.concat(F.lit("g"), F.col("c_custkey") % 3).alias("group"), (F.col("c_custkey") % 2).alias("batch"), F.col("c_nationkey").alias("bio_rep")))
+
+
+ISO = f"WITH {SAM}, v AS (SELECT p_brand AS gene_id, p_type AS transcript_id, 's' || (l_suppkey % 12) AS sample_id, sum(l_quantity::BIGINT)::BIGINT AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3), sh AS (SELECT *, value / sum(value) OVER (PARTITION BY gene_id, sample_id) AS share FROM v)"
+
+
+def _isoforms(spark, d):
+    p = F.split("feature_id", "\\|")
+    return counts(spark, d).select(p[0].alias("gene_id"), p[1].alias("transcript_id"), "sample_id", "value")
+
+
+@query(f"{ISO} SELECT gene_id, transcript_id, round_even(avg(share) FILTER (grp = 'a'), 6) AS share_a, round_even(avg(share) FILTER (grp = 'b'), 6) AS share_b, round_even(avg(share) FILTER (grp = 'b') - avg(share) FILTER (grp = 'a'), 6) + 0.0 AS difference FROM sh JOIN sam USING (sample_id) GROUP BY 1, 2")
+def isoform_switch(spark, d):
+    x = A.isoform_switch(_isoforms(spark, d), samples(spark), "a", "b")
+    return x.select("gene_id", "transcript_id", r6(F.col("share_a")).alias("share_a"), r6(F.col("share_b")).alias("share_b"), (r6(F.col("difference")) + 0.0).alias("difference"))
+
+
+@query("SELECT s_name AS feature_id, 'x' AS term, round_even(s_acctbal / 5000, 6) AS estimate, round_even(s_acctbal / 5000 - 1.959963984540054 * 0.2, 6) AS low, round_even(s_acctbal / 5000 + 1.959963984540054 * 0.2, 6) AS high, round_even(exp(s_acctbal / 5000), 6) AS odds_ratio, round_even(exp(s_acctbal / 5000 - 1.959963984540054 * 0.2), 6) AS or_low, round_even(exp(s_acctbal / 5000 + 1.959963984540054 * 0.2), 6) AS or_high, CASE WHEN s_suppkey / 1000.0 < 0.001 THEN '***' WHEN s_suppkey / 1000.0 < 0.01 THEN '**' WHEN s_suppkey / 1000.0 < 0.05 THEN '*' ELSE '' END AS stars FROM supplier")
+def coefficient_table(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("feature_id"), F.lit("x").alias("term"), (F.col("s_acctbal") / 5000).alias("estimate"), F.lit(0.2).alias("std_error"), (F.col("s_suppkey") / 1000.0).alias("pvalue"))
+    x = A.coefficient_table(s)
+    return x.select("feature_id", "term", "stars", *[r6(F.col(c)).alias(c) for c in ("estimate", "low", "high", "odds_ratio", "or_low", "or_high")])
+
+
+MOD = f"WITH {CNT}, g AS (SELECT feature_id AS variable, sample_id AS item, value FROM cnt), t AS (SELECT 'trait' || j AS variable, 's' || k AS item, ((k * 7 + j * 5) % 11)::DOUBLE AS value FROM range(12) a(k), range(3) b(j)), p AS (SELECT g.variable AS x, t.variable AS y, g.value AS u, t.value AS v FROM g JOIN t USING (item)), mt AS (SELECT x, y, count(*) AS n, corr(u, v) AS r FROM p GROUP BY 1, 2)"
+
+
+def _traits(spark):
+    k = spark.range(12).crossJoin(spark.range(3).withColumnRenamed("id", "j"))
+    return k.select(F.concat(F.lit("trait"), "j").alias("variable"), F.concat(F.lit("s"), "id").alias("item"), ((F.col("id") * 7 + F.col("j") * 5) % 11).cast("double").alias("value"))
+
+
+def _module_traits(spark, d):
+    return A.correlate_tables(counts(spark, d).select(F.col("feature_id").alias("variable"), F.col("sample_id").alias("item"), "value"), _traits(spark))
+
+
+@query(f"{MOD} SELECT x, y, n, round_even(r, 6) AS r, round_even(r * sqrt((n - 2) / (1 - r * r)), 6) AS t, n - 2 AS df FROM mt")
+def module_traits(spark, d):
+    return _module_traits(spark, d).withColumns({"r": r6(F.col("r")), "t": r6(F.col("t"))})
+
+
+@query(f"{MOD}, h AS (SELECT split_part(a.x, '|', 2) AS module, a.x AS gene, round(a.r, 9) AS r, round(b.r, 9) AS gs FROM mt a JOIN mt b ON a.x = b.x WHERE a.y = 'trait0' AND b.y = 'trait1' AND abs(a.r) >= 0.1 AND abs(b.r) >= 0.1) SELECT module, gene, round_even(r, 6) AS r, round_even(gs, 6) AS gs, row_number() OVER (PARTITION BY module ORDER BY abs(gs) DESC, gene)::INT AS rank FROM h QUALIFY rank <= 5")
+def hub_genes(spark, d):
+    mt = _module_traits(spark, d).withColumn("r", F.round("r", 9))
+    member = mt.where("y = 'trait0'").select(F.split("x", "\\|")[1].alias("module"), F.col("x").alias("gene"), "r")
+    x = A.hub_genes(member, mt.where("y = 'trait1'").select(F.col("x").alias("gene"), "r"), 0.1, 0.1, 5)
+    return x.select("module", "gene", r6(F.col("r")).alias("r"), r6(F.col("gs")).alias("gs"), "rank")
+
+
+@query("WITH a AS (SELECT p_brand AS variable, sum(p_size)::DOUBLE AS v FROM part WHERE p_brand <> 'Brand#3' GROUP BY 1), b AS (SELECT p_brand AS variable, count(*)::DOUBLE AS v FROM part WHERE p_brand <> 'Brand#7' GROUP BY 1), x AS (SELECT variable, coalesce(a.v, 0) AS va, coalesce(b.v, 0) AS vb FROM a FULL JOIN b USING (variable)), r AS (SELECT *, (rank() OVER (ORDER BY va) + (count(*) OVER (PARTITION BY va) - 1) / 2.0) / count(*) OVER () AS rank_a, (rank() OVER (ORDER BY vb) + (count(*) OVER (PARTITION BY vb) - 1) / 2.0) / count(*) OVER () AS rank_b FROM x) SELECT variable, va, vb, round_even(rank_a, 6) AS rank_a, round_even(rank_b, 6) AS rank_b, round_even((rank_a + rank_b) / 2, 6) AS mean_rank, rank_a <= 0.25 AND rank_b <= 0.25 AS low FROM r")
+def compare_importance(spark, d):
+    p = table(spark, d, "part")
+    a = p.where("p_brand <> 'Brand#3'").groupBy(F.col("p_brand").alias("variable")).agg(F.sum("p_size").cast("double").alias("value"))
+    b = p.where("p_brand <> 'Brand#7'").groupBy(F.col("p_brand").alias("variable")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return A.compare_importance(a, b).withColumns({c: r6(F.col(c)) for c in ("rank_a", "rank_b", "mean_rank")})
+
+
+@query(f"{KNN}, t AS (SELECT vec_id AS other, label AS cluster, (vec_id % 10) / 10.0 AS margin FROM embeddings), j AS (SELECT id, cluster, count(*) AS n, sum(margin) AS s, min(margin) AS m FROM knn JOIN t USING (other) GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER w AS a, sum(s) OVER w AS ts, min(m) OVER w AS lm, row_number() OVER (PARTITION BY id ORDER BY n DESC, cluster) AS k FROM j WINDOW w AS (PARTITION BY id)) SELECT id, cluster, round_even(n / a, 6) AS purity, round_even(ts / a, 6) AS mean_margin, lm::DOUBLE AS least_margin FROM r WHERE k = 1")
+def projection_confidence(spark, d):
+    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), (F.col("vec_id") % 10 / F.lit(10.0)).alias("margin"))
+    x = A.projection_confidence(_knn(spark, d), t)
+    return x.withColumns({"purity": r6(F.col("purity")), "mean_margin": r6(F.col("mean_margin"))})
+
+
+@query(f"{NET}, a AS (SELECT source, sample_id, sum(value * mor) AS score FROM cnt JOIN net ON feature_id = target GROUP BY 1, 2) SELECT source, round_even(avg(abs(score)), 6) AS strength FROM a GROUP BY 1 ORDER BY avg(abs(score)) DESC, source LIMIT 3")
+def top_activities(spark, d):
+    c = counts(spark, d)
+    return A.top_activities(X.activity(c, _net(c), "wsum", 1), "mean_abs", 3).withColumn("strength", r6(F.col("strength")))
+
+
+@query(f"{NET}, a AS (SELECT 'wsum' AS method, source, sample_id, sum(value * mor) AS score FROM cnt JOIN net ON feature_id = target GROUP BY 2, 3 UNION ALL SELECT 'wmean', source, sample_id, sum(value * mor) / nullif(sum(abs(mor)), 0) FROM cnt JOIN net ON feature_id = target GROUP BY 2, 3), z AS (SELECT *, (score - avg(score) OVER w) / stddev_samp(score) OVER w AS z FROM a WINDOW w AS (PARTITION BY method)) SELECT source, sample_id, round_even(avg(z), 5) AS consensus, count(*) AS n_methods FROM z GROUP BY 1, 2")
+def consensus_activity(spark, d):
+    c = counts(spark, d)
+    n = _net(c)
+    m = [X.activity(c, n, k, 1).select(F.lit(k).alias("method"), "source", "sample_id", "score") for k in ("wsum", "wmean")]
+    return A.consensus_scores(m[0].unionAll(m[1])).withColumn("consensus", F.bround("consensus", 5))
+
+
+# --- batches, time, markers, distances, signal ------------------------------------------------------------------------
+
+
+@query(f"WITH {CNT}, {SAM} SELECT feature_id, sample_id, round_even(value - avg(value) OVER (PARTITION BY feature_id, grp, batch) + avg(value) OVER (PARTITION BY feature_id, grp), 6) AS value FROM cnt JOIN sam USING (sample_id)")
+def correct_batch(spark, d):
+    return MV.correct_batch(counts(spark, d), samples(spark)).withColumn("value", r6(F.col("value")))
+
+
+TIME = "WITH v AS (SELECT event_type AS feature_id, hour(ts) // 6 AS timepoint, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS grp, value FROM events)"
+
+
+def _times(spark, d):
+    return table(spark, d, "events").select(F.col("event_type").alias("feature_id"), F.floor(F.hour("ts") / 6).alias("timepoint"), F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("grp"), "value")
+
+
+@query(f"{TIME}, g AS (SELECT feature_id, timepoint, avg(value) FILTER (grp = 'a') AS ma, avg(value) FILTER (grp = 'b') AS mb, var_samp(value) FILTER (grp = 'a') / count(*) FILTER (grp = 'a') AS sa, var_samp(value) FILTER (grp = 'b') / count(*) FILTER (grp = 'b') AS sb, count(*) FILTER (grp = 'a') AS na, count(*) FILTER (grp = 'b') AS nb FROM v GROUP BY 1, 2) SELECT feature_id, timepoint, na, nb, round_even(ma - mb, 6) AS diff, round_even((ma - mb) / sqrt(sa + sb), 6) AS t, round_even((sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1)), 5) AS df FROM g WHERE na > 1 AND nb > 1")
+def timeseries_conditional(spark, d):
+    x = MV.by_timepoint(_times(spark, d))
+    return x.select("feature_id", "timepoint", "na", "nb", r6(F.col("diff")).alias("diff"), r6(F.col("t")).alias("t"), F.bround("df", 5).alias("df"))
+
+
+@query(f"{TIME}, m AS (SELECT feature_id, grp, timepoint, avg(value) AS mean FROM v GROUP BY ALL), x AS (SELECT *, lead(timepoint) OVER w AS next, lead(mean) OVER w AS next_mean FROM m WINDOW w AS (PARTITION BY feature_id, grp ORDER BY timepoint)) SELECT feature_id, grp, timepoint, next, round_even(next_mean - mean, 6) AS difference FROM x WHERE next IS NOT NULL")
+def timeseries_temporal(spark, d):
+    return MV.between_timepoints(_times(spark, d)).select("feature_id", "grp", "timepoint", "next", r6(F.col("difference")).alias("difference"))
+
+
+@query(f"{TIME}, m AS (SELECT feature_id, grp, timepoint, avg(value) AS mean FROM v GROUP BY ALL) SELECT a.feature_id, a.grp, a.timepoint, b.timepoint AS next, round_even(b.mean - a.mean, 6) AS difference FROM m a JOIN m b ON a.feature_id = b.feature_id AND a.grp = b.grp AND a.timepoint < b.timepoint")
+def timeseries_all_pairs(spark, d):
+    return MV.between_timepoints(_times(spark, d), False).select("feature_id", "grp", "timepoint", "next", r6(F.col("difference")).alias("difference"))
+
+
+PW = """WITH c AS (SELECT user_id AS cell, 'k' || (user_id % 3) AS cluster FROM events GROUP BY 1), n AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1), e AS (SELECT user_id AS cell, event_type AS gene, count(*) AS v FROM events GROUP BY 1, 2),
+x AS (SELECT c.cell, cluster, g.gene, coalesce(v, 0)::DOUBLE AS value FROM c CROSS JOIN (SELECT DISTINCT event_type AS gene FROM events) g LEFT JOIN e ON e.cell = c.cell AND e.gene = g.gene)"""
+
+
+def _grid_cells(spark, d):
+    e = table(spark, d, "events")
+    u = F.col("cell")
+    c = e.select(F.col("user_id").alias("cell")).distinct().withColumn("cluster", F.concat(F.lit("k"), u % 3))
+    n = e.groupBy(F.col("user_id").alias("cell"), F.col("event_type").alias("gene")).agg(F.count(F.lit(1)).alias("v"))
+    g = c.select("cell").crossJoin(F.broadcast(e.select(F.col("event_type").alias("gene")).distinct()))
+    return g.join(n, ["cell", "gene"], "left").select("cell", "gene", F.coalesce("v", F.lit(0)).cast("double").alias("value")), c
+
+
+@query(f"{PW}, a AS (SELECT p.gene, p.cluster AS cluster_a, q.cluster AS cluster_b, sum(CASE WHEN p.value > q.value THEN 1 WHEN p.value = q.value THEN 0.5 ELSE 0 END)::DOUBLE AS won FROM x p JOIN x q ON p.gene = q.gene AND p.cluster <> q.cluster GROUP BY ALL), m AS (SELECT gene, cluster, avg(value) AS m, var_samp(value) AS v, avg((value > 0)::INT) AS d FROM x GROUP BY ALL) SELECT gene, cluster_a, cluster_b, round_even(won / (na.n * nb.n), 6) AS auc, round_even((ma.m - mb.m) / sqrt((ma.v + mb.v) / 2), 6) AS cohens_d, round_even(log2((ma.d + 0.01) / (mb.d + 0.01)), 6) + 0.0 AS detected_lfc FROM a JOIN m ma ON ma.gene = a.gene AND ma.cluster = cluster_a JOIN m mb ON mb.gene = a.gene AND mb.cluster = cluster_b JOIN n na ON na.cluster = cluster_a JOIN n nb ON nb.cluster = cluster_b".replace("SELECT gene, cluster_a", "SELECT a.gene AS gene, cluster_a"))
+def pairwise_markers(spark, d):
+    x = MV.pairwise_markers(*_grid_cells(spark, d))
+    return x.select("gene", "cluster_a", "cluster_b", r6(F.col("auc")).alias("auc"), r6(F.col("cohens_d")).alias("cohens_d"), (r6(F.col("detected_lfc")) + 0.0).alias("detected_lfc"))
+
+
+@query(f"{PW}, ref AS (SELECT 'L' || (row_number() OVER (ORDER BY gene) % 1 + j) AS label, gene, ((ascii(gene) * (j + 2) + length(gene) * j) % 17)::DOUBLE AS value FROM (SELECT DISTINCT gene FROM x), range(3) t(j)), p AS (SELECT cell, label, x.value AS u, ref.value AS v FROM x JOIN ref USING (gene)), q AS (SELECT cell, label, rank() OVER (PARTITION BY cell, label ORDER BY u) + (count(*) OVER (PARTITION BY cell, label, u) - 1) / 2.0 AS ru, rank() OVER (PARTITION BY cell, label ORDER BY v) + (count(*) OVER (PARTITION BY cell, label, v) - 1) / 2.0 AS rv FROM p), g AS (SELECT cell, label, round(corr(ru, rv), 9) AS r FROM q GROUP BY 1, 2) SELECT cell, label, round_even(r, 6) + 0.0 AS r FROM g WHERE r IS NOT NULL AND NOT isnan(r) QUALIFY row_number() OVER (PARTITION BY cell ORDER BY g.r DESC, label) = 1")
+def reference_labels(spark, d):
+    x, _ = _grid_cells(spark, d)
+    ref = x.select("gene").distinct().crossJoin(F.broadcast(spark.range(3).withColumnRenamed("id", "j")))
+    ref = ref.select(F.concat(F.lit("L"), "j").alias("label"), "gene", ((F.ascii("gene") * (F.col("j") + 2) + F.length("gene") * F.col("j")) % 17).cast("double").alias("value"))
+    return MV.reference_labels(x, ref).withColumn("r", r6(F.col("r")) + 0.0)
+
+
+@query("WITH i AS (SELECT * FROM supplier), r AS (SELECT (max(s_acctbal) - min(s_acctbal)) AS r FROM i) SELECT a.s_suppkey AS x, b.s_suppkey AS y, round_even((abs(a.s_acctbal - b.s_acctbal) / r + (a.s_nationkey <> b.s_nationkey)::INT) / 2.0, 6) AS distance FROM i a JOIN i b ON a.s_suppkey < b.s_suppkey, r")
+def gower_distance(spark, d):
+    return MV.gower(table(spark, d, "supplier"), "s_suppkey", ["s_acctbal"], ["s_nationkey"]).withColumn("distance", r6(F.col("distance")))
+
+
+@query("WITH x AS (SELECT label AS cluster, vec_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), g AS (SELECT cluster, dim, count(*) AS n, var_pop(v) * count(*) AS ss FROM x GROUP BY 1, 2) SELECT cluster, max(n) AS n, round_even(sum(ss), 5) AS within_ss FROM g GROUP BY 1")
+def cluster_within_ss(spark, d):
+    e = table(spark, d, "embeddings")
+    p = e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return MV.within_ss(p, e.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))).withColumn("within_ss", F.bround("within_ss", 5))
+
+
+@query(f"{COV}, {REG}, s AS (SELECT region_id, sum((least(cov.stop, reg.stop) - greatest(cov.start, reg.start)) * depth) AS s FROM cov JOIN reg ON cov.chr = reg.chr AND cov.start < reg.stop AND reg.start < cov.stop GROUP BY 1) SELECT region_id, chr, start, stop, round_even(coalesce(s, 0) / nullif(stop - start, 0)::DOUBLE, 6) AS signal FROM reg LEFT JOIN s USING (region_id)")
+def signal_over_regions(spark, d):
+    c = I.coverage(fragments(spark, d)).withColumn("score", F.col("depth").cast("double")).drop("depth")
+    x = MV.signal_over_regions(c, regions(spark, d).drop("strand"), "region_id")
+    return x.withColumn("signal", r6(F.col("signal")))
+
+
+@query(f"WITH {FRAG}, e AS (SELECT sample_id, chr, start, stop, unnest(range(start // 2000, (stop - 1) // 2000 + 1)) AS k FROM frag WHERE sample_id IN ('s0', 's1')), b AS (SELECT sample_id, chr, k, sum(least(stop, (k + 1) * 2000) - greatest(start, k * 2000)) / 2000.0 AS score FROM e GROUP BY ALL), p AS (SELECT chr, k, coalesce(max(score) FILTER (sample_id = 's0'), 0) AS a, coalesce(max(score) FILTER (sample_id = 's1'), 0) AS b FROM b GROUP BY 1, 2) SELECT chr, k * 2000 AS start, (k + 1) * 2000 AS stop, round_even(log2((b + 0.1) / (a + 0.1)), 6) + 0.0 AS log2_ratio FROM p WHERE greatest(a, b) >= 0.01")
+def tile_comparison(spark, d):
+    f = fragments(spark, d)
+    t = [I.bin_average(I.coverage(f.where(F.col("sample_id") == s)), 2000) for s in ("s0", "s1")]
+    x = MV.tile_comparison(t[0], t[1], 0.1, 0.01)
+    return x.select("chr", "start", "stop", (r6(F.col("log2_ratio")) + 0.0).alias("log2_ratio"))
+
+
+@query(ORACLE_SQL["tss_profile"].replace("WITH ", "WITH prof AS (WITH ", 1) + ") SELECT bin, n, round_even(n / (SELECT avg(n) FROM prof, (SELECT min(bin) AS lo, max(bin) AS hi FROM prof) WHERE bin < lo + 2 OR bin > hi - 2), 6) AS enrichment FROM prof")
+def tss_enrichment(spark, d):
+    return MV.enrichment_over_flanks(tss_profile(spark, d), 2).withColumn("enrichment", r6(F.col("enrichment")))
+
+
+@query("SELECT c_custkey, c_mktsegment, (c_mktsegment = 'BUILDING')::INT AS c_mktsegment_BUILDING, (c_mktsegment = 'MACHINERY')::INT AS c_mktsegment_MACHINERY FROM customer")
+def dummy_coding(spark, d):
+    return MV.dummy_code(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["AUTOMOBILE", "BUILDING", "MACHINERY"])
+
+
+@query(ORACLE_SQL["cell_composition"].replace("SELECT sample_id, cluster, coalesce(n, 0) AS n, round_even(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY sample_id), 6) AS share FROM g LEFT JOIN c USING (sample_id, cluster)", "SELECT sample_id, cluster, n, round_even(ln(p / (1 - p)), 6) AS logit FROM (SELECT sample_id, cluster, n, (n + 0.5) / (sum(n) OVER w + 0.5 * count(*) OVER w) AS p FROM (SELECT sample_id, cluster, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (sample_id, cluster)) WINDOW w AS (PARTITION BY sample_id))"))
+def composition_logit(spark, d):
+    return MV.logit_shares(C.composition(cell_table(spark, d)).drop("share")).withColumn("logit", r6(F.col("logit")))
+
+
+@query(f"{COR}, r AS (SELECT x, y, corr(u, v) AS r FROM p GROUP BY 1, 2), b AS (SELECT x AS v, r FROM r UNION ALL SELECT y, r FROM r) SELECT v, round_even(sum(pow(abs(r), 6)), 6) AS connectivity FROM b GROUP BY 1")
+def network_connectivity(spark, d):
+    v = counts(spark, d).select(F.col("sample_id").alias("variable"), F.col("feature_id").alias("item"), "value")
+    return MV.adjacency_power(T.correlation_pairs(v), 6.0).withColumn("connectivity", r6(F.col("connectivity")))
+
+
+@query("WITH x AS (SELECT s_suppkey, s_acctbal / 2000 - 2 AS v FROM supplier) SELECT s_suppkey, round_even(sign(v) * greatest(abs(v) - 0.5, 0), 6) + 0.0 AS soft, round_even(CASE WHEN abs(v) <= 1 THEN sign(v) * greatest(abs(v) - 0.5, 0) WHEN abs(v) <= 1.85 THEN (2.7 * v - sign(v) * 1.85) / 1.7 ELSE v END, 6) + 0.0 AS scad, round_even(CASE WHEN abs(v) > 0.5 THEN sign(v) * (abs(v) - 0.5) ELSE 0.25 END, 6) + 0.0 AS proximal, round_even(sign(v) * greatest(abs(v) - 0.5, 0) / (1 + 2 * 0.3 * 0.5), 6) + 0.0 AS elastic FROM x")
+def penalty_functions(spark, d):
+    x = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 2000 - 2).alias("v"))
+    v = F.col("v")
+    z = lambda c: r6(c) + 0.0
+    return x.select("s_suppkey", z(P.soft(v, 0.5)).alias("soft"), z(P.scad(v, 0.5)).alias("scad"), z(P.proximal_lasso(v, F.lit(0.25), 0.5)).alias("proximal"), z(P.proximal_elastic(v, 0.5, 0.3)).alias("elastic"))
+
+
+# --- plot frames -------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {DE} SELECT feature_id, comparison, "log2FoldChange", pvalue, round_even(-log10(greatest(pvalue, 1e-300)), 6) AS neg_log10_p, CASE WHEN {SIG} AND "log2FoldChange" > 0 THEN 'up' WHEN {SIG} THEN 'down' ELSE 'none' END AS class FROM de""")
+def plot_volcano(spark, d):
+    return PD.volcano(results(spark, d), **CUTS).withColumn("neg_log10_p", r6(F.col("neg_log10_p")))
+
+
+@query("SELECT floor(l_quantity / 5) * 5 AS bin, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def plot_histogram(spark, d):
+    return PD.histogram(table(spark, d, "lineitem"), "l_quantity", 5.0, ["l_returnflag"]).withColumn("bin", F.col("bin").cast("double"))
+
+
+@query("WITH q AS (SELECT c_mktsegment AS g, count(*) AS n, quantile_cont(c_acctbal, 0.25) AS q1, median(c_acctbal) AS m, quantile_cont(c_acctbal, 0.75) AS q3 FROM customer GROUP BY 1) SELECT g, n, q1, m AS median, q3, min(c_acctbal) FILTER (c_acctbal BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(c_acctbal) FILTER (c_acctbal BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high, count(*) FILTER (NOT c_acctbal BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_outliers FROM customer JOIN q ON c_mktsegment = g GROUP BY 1, 2, 3, 4, 5")
+def plot_box(spark, d):
+    return PD.box(table(spark, d, "customer").select(F.col("c_mktsegment").alias("g"), F.col("c_acctbal").alias("value")), ["g"])
+
+
+@query("WITH m AS (SELECT o_custkey AS item, string_agg(DISTINCT o_orderpriority, '&' ORDER BY o_orderpriority) AS combination FROM orders GROUP BY 1) SELECT combination, count(*) AS n FROM m GROUP BY 1")
+def plot_upset(spark, d):
+    return PD.upset(table(spark, d, "orders").select(F.col("o_custkey").alias("item"), F.col("o_orderpriority").alias("set_id")))
+
+
+@query(f"WITH {CNT} SELECT feature_id, sample_id, round_even(greatest(-3, least(3, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0))), 6) AS z FROM cnt WINDOW w AS (PARTITION BY feature_id)")
+def plot_heatmap(spark, d):
+    return PD.heatmap(counts(spark, d)).withColumn("z", r6(F.col("z")))
