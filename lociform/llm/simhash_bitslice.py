@@ -29,27 +29,35 @@ FILE_MOST = 512
 SEED = 42
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash over word shingles of the ASCII-lower-cased text; 0 without words."""
+def shingle_hashes(text: bytes, width: int = 3, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each word shingle of the ASCII-lower-cased text, repeats included; fewer words make one shingle."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.r_[0, ends[: -width]]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.r_[0, ends[: -width]]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash: a bit is 1 if it is set in over half the hashes."""
     n, total = len(hashes), np.zeros(64, np.int64)
     for a in range(0, n, 65536):
         total += np.unpackbits(hashes[a : a + 65536].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
+    """SimHash of a text's word shingles; 0 without words."""
+    return simhash(shingle_hashes(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: int = 3) -> DataFrame:
     """`keep` columns and `fp` (the fingerprint's bits as a signed bigint), one row per input row; null text: 0."""
     batch_limits(docs.sparkSession)
@@ -74,42 +82,53 @@ def planes(fps: np.ndarray) -> np.ndarray:
 
 
 def within(probe: int, vertical: np.ndarray, n: int, radius: int = RADIUS) -> np.ndarray:
-    """Indices of the fingerprints behind `vertical` within `radius` (at most 2) bits of the probe."""
+    """Indices of the fingerprints behind `vertical` within `radius` bits of the probe.
+
+    Distances stand as bit planes too: adding a plane of differences ripples through the counters' planes, and what leaves the
+    highest is kept as overflow, so that one pass of words moves 64 distances.
+    """
     words = vertical.shape[1]
-    ones = np.zeros(words, np.uint64)
-    twos = np.zeros(words, np.uint64)
+    size = max(1, (radius + 1).bit_length())
+    counter = np.zeros((size, words), np.uint64)
     over = np.zeros(words, np.uint64)
     live = np.arange(words)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def beyond() -> np.ndarray:
+        greater, equal = over.copy(), np.full(len(over), full)
+        for k in range(size - 1, -1, -1):
+            if radius >> k & 1:
+                equal &= counter[k]
+            else:
+                greater |= equal & counter[k]
+                equal &= ~counter[k]
+        return greater
+
     for b in range(64):
-        diff = vertical[b, live]
+        carry = vertical[b, live]
         if probe >> b & 1:
-            diff = ~diff
-        carry = ones & diff
-        ones ^= diff
-        over |= twos & carry
-        twos ^= carry
-        if b % 16 == 15:
-            beyond = over | (twos & ones) if radius == 2 else (over | twos if radius == 1 else over | twos | ones)
-            keep = beyond != full
+            carry = ~carry
+        for k in range(size):
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+        over |= carry
+        if b % 16 == 15 and b < 63:
+            keep = beyond() != full
             if not keep.all():  # abandon the blocks in which every lane is beyond the radius
                 if not keep.any():
                     return np.zeros(0, np.int64)
-                live, ones, twos, over = live[keep], ones[keep], twos[keep], over[keep]
-    # lanes that stayed within: a distance of 3 shows as both counter bits, more as overflow
-    good = ~(over | (twos & ones)) if radius == 2 else (~(over | twos) if radius == 1 else ~(over | twos | ones))
-    lanes = np.unpackbits(good.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                live, counter, over = live[keep], counter[:, keep], over[keep]
+    lanes = np.unpackbits((~beyond()).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     row, lane = np.nonzero(lanes)
     at = live[row] * 64 + lane
     return at[at < n]
 
 
-def link_file(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of a file's members: (member, its root) by breadth-first search over bit-sliced distances."""
+def link_file(fps: np.ndarray, radius: int = RADIUS, sketches: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of a file's members: (member, its root) by breadth-first search over bit-sliced distances.
+
+    With sketches (a row of MinHash bytes each) members also have to agree in `least` bytes.
+    """
     n = len(fps)
-    if n == 2:
-        near = bin(int(fps[0]) ^ int(fps[1])).count("1") <= RADIUS
-        return (fps[1:], fps[:1]) if near else (fps[:0], fps[:0])
     vertical = planes(fps)
     free = np.ones(n, bool)
     a, b = [], []
@@ -119,8 +138,11 @@ def link_file(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         free[k] = False
         queue = [k]
         while queue:
-            near = within(int(fps[queue.pop()]), vertical, n)
+            at = queue.pop()
+            near = within(int(fps[at]), vertical, n, radius)
             near = near[free[near]]
+            if sketches is not None and len(near):
+                near = near[(sketches[near] == sketches[at]).sum(1) >= least]
             free[near] = False
             queue.extend(near.tolist())
             a.append(fps[near])
@@ -179,11 +201,95 @@ def groups(docs: DataFrame, keep: list[str], rank: str, text: str = "text", widt
     return fp.join(table, fp.fp == table["__fp"]).drop("__fp")
 
 
-def dedup_stage(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id, ties by the whole row; own columns kept."""
+#: Near copies by whole texts: 5-word shingles and a similarity of 0.8. MinHash files them (BANDS keys of BAND values each, which
+#: finds a pair at 0.8 with probability 0.9996), the bit-sliced distance and the sketch decide.
+NEAR_WIDTH = 5
+NEAR_SIMILARITY = 0.8
+NEAR_RADIUS = 16
+BANDS, BAND, SKETCH = 15, 4, 128
+
+
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return rng.integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, SKETCH, np.uint64)
+
+
+def sketch(text: bytes, width: int = NEAR_WIDTH) -> tuple[int, bytes, list[int]]:
+    """Fingerprint, the low bytes of SKETCH MinHash values, and the BANDS filing keys (signed) of a text."""
+    import xxhash
+
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return 0, bytes(SKETCH), [0] * BANDS
+    a, b = _multipliers()
+    least = np.full(SKETCH, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for s in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[s : s + 2048, None] * a + b).min(0), out=least)
+    keys = [xxhash.xxh64_intdigest(least[BAND * k : BAND * k + BAND].tobytes(), k) for k in range(BANDS)]
+    # the high byte of a minimum is nearly always 0; a middle one is even
+    return simhash(hashes), ((least >> np.uint64(8)) & np.uint64(255)).astype(np.uint8).tobytes(), np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def near_links(distinct: DataFrame, most: int = FILE_MOST, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+    """Links (a, b) of distinct fingerprints (fp, sig, keys) of similar texts.
+
+    Texts that share a key stand in one file. A file beyond `most` is dealt over parts by hash, anew for each of the
+    BANDS keys, and its first member stands in every part, so parts stay linked and no member is left out.
+    """
+    least = int(SKETCH * (similarity - 0.05))
+    filed = distinct.select(F.explode("keys").alias("file"), "fp", "sig")
+    sizes = materialize(filed.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "sig")).alias("first")).where("n > 1"), "simhash-near")
+    part = F.when(F.col("n") > most, F.pmod(F.xxhash64("fp", "file"), F.ceil(F.col("n") / most))).otherwise(F.lit(0))
+    parts = filed.join(sizes, "file").groupBy("file", part.alias("part")).agg(F.collect_list(F.struct("fp", "sig")).alias("members"), F.min("first").alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for row in batch.to_pylist():
+                members = {m["fp"]: m["sig"] for m in [*row["members"], row["first"]]}
+                if len(members) < 2:
+                    continue
+                fps = np.sort(np.array(list(members), np.int64).view(np.uint64))
+                sigs = np.frombuffer(b"".join(members[k] for k in fps.view(np.int64).tolist()), np.uint8).reshape(len(fps), -1)
+                x, y = link_file(fps, radius, sigs, least)
+                left.append(x)
+                right.append(y)
+            cat = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([cat(left), cat(right)], names=["a", "b"])
+
+    return parts.select("members", "first").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def near_groups(docs: DataFrame, keep: list[str], rank: str, text: str = "text", width: int = NEAR_WIDTH, label: str = "simhash-near") -> DataFrame:
+    """Like groups(), for texts whose shingle sets have a similarity of 0.8 or more rather than for near fingerprints."""
+    batch_limits(docs.sparkSession)
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [sketch((t or "").encode(), width) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            fps = np.array([g[0] for g in got], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "fp", "sig", "keys"])
+
+    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["fp bigint, sig binary, keys array<bigint>"])
+    fp = materialize(src.mapInArrow(run, types), label)
+    low = F.min(F.col(f"`{rank}`")).alias("low")
+    distinct = materialize(fp.groupBy("fp").agg(low, F.min(F.struct("sig", "keys")).alias("s")).select("fp", "low", "s.sig", "s.keys"), label)
+    roots = components(docs.sparkSession, near_links(distinct), label)
+    full = distinct.select("fp", "low").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    table = full.groupBy("root").agg(F.min("low").alias("component"))
+    table = materialize(full.join(table, "root").select(F.col("fp").alias("__fp"), "component"), label)
+    return fp.drop("sig", "keys").join(table, F.col("fp") == F.col("__fp")).drop("__fp")
+
+
+def dedup_stage(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id, ties by the whole row; own columns kept."""
     names = docs.columns
-    g = groups(docs.select("doc_id", "text"), ["doc_id"], "doc_id", width=width, label="simhash-stage")
+    g = near_groups(docs.select("doc_id", "text"), ["doc_id"], "doc_id", width=width)
     heads = materialize(g.where("doc_id <=> component").select(F.col("doc_id").alias("__head")).distinct(), "simhash-heads")
     alone = docs.join(heads, docs.doc_id.eqNullSafe(heads["__head"]), "left_semi")
+    # the text is shuffled again only where an id has several rows
+    if g.where("doc_id <=> component").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return alone
     rows = F.struct(*[F.col(f"`{c}`") for c in names])
     return alone.groupBy("doc_id").agg(F.min(rows).alias("row")).select("row.*")

@@ -50,7 +50,7 @@ def test_within_counts_distances():
     rng = random.Random(1)
     fps = np.unique(np.array(near_set(rng, 20, 30) + [0, 2**64 - 1], np.uint64))
     v = S.planes(fps)
-    for radius in (0, 1, 2):
+    for radius in (0, 1, 2, 3, 7, 16, 40):
         for probe in fps[::7].tolist():
             want = [k for k, x in enumerate(fps.tolist()) if bin(x ^ probe).count("1") <= radius]
             assert S.within(probe, v, len(fps), radius).tolist() == want
@@ -88,6 +88,34 @@ def test_groups_against_brute_force(spark):
     assert {r.doc_id: r.component for r in got} == brute_groups(fps)
 
 
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(7)
+    word = lambda: f"v{rng.randrange(3000)}"
+    texts, kind = [], []
+    for g in range(40):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(base))
+        kind.append(g)
+        for _ in range(rng.choice([0, 2, 3])):
+            w = list(base)
+            for _ in range(max(1, len(w) // 150)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+            kind.append(g)
+    hot = [word() for _ in range(400)]
+    for _ in range(60):
+        w = list(hot)
+        w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+        kind.append(99)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component for r in S.near_groups(df, ["doc_id"], "doc_id").collect()}
+    first = {}
+    assert got == {k: first.setdefault(g, k) for k, g in enumerate(kind)}
+    small = S.near_links(spark.createDataFrame([(*(lambda f: (f[0] - 2**64 if f[0] >> 63 else f[0], f[1], f[2]))(S.sketch(t.encode())),) for t in texts[-60:]], "fp bigint, sig binary, keys array<bigint>").dropDuplicates(["fp"]), most=7)
+    assert components(spark, small, "t").select("root").distinct().count() == 1
+
+
 def test_stage(spark):
     df = spark.createDataFrame([(2, "a b c d", "x"), (1, "a b c d", "y"), (1, "a b c d", "y"), (3, None, None), (None, "q r s", "z")], "doc_id bigint, text string, component string")
     out = S.dedup_stage(df)
