@@ -30,8 +30,13 @@ from .common import as_binary, batch_limits, parts_for, scratch
 RANGE_BYTES = 4 << 20
 LEAST_RANGES = 64
 #: Text bytes counted at a time.
-COUNT_BYTES = 12 << 20
+COUNT_BYTES = 8 << 20
 SCORE_BYTES = 4 << 20
+#: Passes over the texts while counting, and the count from which a bigram stands in the file of frequent ones.
+PASSES = 2
+MANY = 255
+#: Text bytes hashed at a time.
+HASH_BYTES = 1 << 19
 
 _TOP = np.uint64(0xFFFF << 48)
 _LOW = np.uint64((1 << 48) - 1)
@@ -58,7 +63,7 @@ def _byte_values() -> tuple[np.ndarray, np.ndarray]:
     return v, space
 
 
-@functools.lru_cache(maxsize=1)
+@functools.lru_cache(maxsize=1)  # grows to the longest slice met
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P^i and its inverse, for i below n."""
     p = np.full(n, _P, np.uint64)
@@ -93,6 +98,23 @@ def tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.r_[words, np.full(n_docs, END)][order], every[order]
 
 
+def all_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, contexts, document of each) of a column, hashed a slice of texts at a time: what is needed for each byte of a
+    text is only held for a slice."""
+    offsets, data = as_binary(column)
+    group = offsets[:-1] // HASH_BYTES
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(group) else []
+    words, before, docs = [], [], []
+    for a, b in zip(starts, [*starts[1:], len(offsets) - 1], strict=True):
+        w, d = tokens(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
+        words.append(w)
+        before.append(contexts(w, d))
+        docs.append(d + a)
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(words), np.concatenate(before), np.concatenate(docs)
+
+
 def contexts(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     before = np.r_[BEGIN, words[:-1]] if len(words) else words
     before[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])] = BEGIN
@@ -155,41 +177,32 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 _WORDS = ["<u8", "<u4", "<u4", "<u8", "<u4", "<u4", "<u4"]  # word, count, continuations, context total, bigram types seen once, twice, more
 
 
-def _count(ranges: int):
-    """Training texts to packs: kind 0 are bigrams by context range, kind 1 word counts by word range."""
+def _count(ranges: int, passes: int, turn: int):
+    """Training texts to packs of distinct bigrams by context range, for the ranges of this pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, COUNT_BYTES):
-            words, doc = tokens(*as_binary(batch.column(0)))
-            before = contexts(words, doc)
+            words, before, _ = all_tokens(batch.column(0))
+            mine = range_of(before, ranges) % passes == turn
+            words, before = words[mine], before[mine]
             key = bigram_keys(before, words)
             order = np.argsort(key, kind="stable")
             k = key[order]
-            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
             count = np.diff(np.r_[first, len(k)]).astype(np.uint32)
             u, w = before[order[first]], words[order[first]]
-            kinds, where, blobs = [], [], []
+            where, blobs = [], []
             bounds = np.searchsorted(range_of(u, ranges), np.arange(ranges + 1))
-            for r in range(ranges):
+            for r in range(turn, ranges, passes):
                 a, b = bounds[r], bounds[r + 1]
                 if a < b:
                     # contexts are few beside bigrams: they are kept once with their number of bigrams
                     by = np.argsort(u[a:b], kind="stable")
                     uu, ww, cc = u[a:b][by], w[a:b][by], count[a:b][by]
                     head = np.flatnonzero(np.r_[True, uu[1:] != uu[:-1]])
-                    kinds.append(0)
                     where.append(r)
                     blobs.append(_put(uu[head], np.diff(np.r_[head, len(uu)]).astype("<u4"), ww, cc))
-            v, n = np.unique(words, return_counts=True)
-            bounds = np.searchsorted(range_of(v, ranges), np.arange(ranges + 1))
-            for r in range(ranges):
-                a, b = bounds[r], bounds[r + 1]
-                if a < b:
-                    zero = np.zeros(b - a, "<u4")
-                    kinds.append(1)
-                    where.append(r)
-                    blobs.append(_put(v[a:b], n[a:b].astype("<u4"), zero, zero.astype("<u8"), zero, zero, zero))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "range", "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["range", "pack"])
 
     return run
 
@@ -222,12 +235,14 @@ def _reduce_bigrams(folder: str, ranges: int):
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         total = np.add.reduceat(c[order].astype(np.int64), first)
         u, w = u[order[first]], w[order[first]]
-        _store(f"{folder}/bigram-{r:06d}", k[first].astype("<u8"), total.astype("<u4"))
+        many = total >= MANY
+        _store(f"{folder}/bigram-{r:06d}", k[first].astype("<u8"), np.minimum(total, MANY).astype("u1"))
+        _store(f"{folder}/often-{r:06d}", k[first][many].astype("<u8"), total[many].astype("<u4"))
         cu, ct, c1, c2, c3 = _sum_by(u, total, total == 1, total == 2, total > 2)
-        cw, cn = _sum_by(w, np.ones(len(w), np.int64))
+        cw, cn, cc = _sum_by(w, np.ones(len(w), np.int64), total)
         words, values = [np.r_[cu, cw]], []
         zu, zw = np.zeros(len(cu), np.int64), np.zeros(len(cw), np.int64)
-        for a, b in ((zu, zw), (zu, cn), (ct, zw), (c1, zw), (c2, zw), (c3, zw)):
+        for a, b in ((zu, cc), (zu, cn), (ct, zw), (c1, zw), (c2, zw), (c3, zw)):
             values.append(np.r_[a, b])
         packed = _sum_by(words[0], *values)
         bounds = np.searchsorted(range_of(packed[0], ranges), np.arange(ranges + 1))
@@ -320,9 +335,8 @@ class Model:
                 o[a:b] = np.where(hit, column[at], 0)
         return out
 
-    def score(self, words: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, words: np.ndarray, before: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per document: tokens, known tokens, add-0.1 unigram score, model score (both log10)."""
-        before = contexts(words, doc)
         v, back = np.unique(np.r_[words, before], return_inverse=True)
         count, cont, ctx, c1, c2, c3 = self._find("words", _WORDS, v)
         base = np.log10((count + 0.1) / (self.tokens + 0.1 * (self.words + 1)))
@@ -332,7 +346,9 @@ class Model:
         spare = (d[1] * e1 + d[2] * e2 + d[3] * e3) / types if self.types else 1.0
         low = np.maximum(cont - d[np.minimum(cont, 3)], 0) / types + spare / (self.words + 1)
         keys, kback = np.unique(bigram_keys(before, words), return_inverse=True)
-        (pair,) = self._find("bigram", ["<u8", "<u4"], keys)
+        (pair,) = self._find("bigram", ["<u8", "u1"], keys)
+        if len(many := np.flatnonzero(pair == MANY)):
+            (pair[many],) = self._find("often", ["<u8", "<u4"], keys[many])
         t, u = back[: len(words)], back[len(words) :]
         d = np.array([0.0, *self.bigram])
         total = np.maximum(ctx, 1)
@@ -357,20 +373,17 @@ def fit(texts: DataFrame, text: str = "text") -> Model:
     spark.conf.set(key, "true")
     packs = "kind int, range int, pack binary"
     try:
-        src.mapInArrow(_count(ranges), packs).write.partitionBy("kind").parquet(f"{folder}/packs")
-        first = spark.read.schema("kind int, range int, pack binary").parquet(f"{folder}/packs")
-        done = first.where("kind = 0").groupBy("range").applyInArrow(_reduce_bigrams(local, ranges), packs)
-        done.write.partitionBy("kind").parquet(f"{folder}/contexts")
-        second = spark.read.schema("kind int, range int, pack binary").parquet(f"{folder}/contexts")
+        # every pass reads the texts again and ships its share of the ranges, so that less is on the way at a time
+        for turn in range(PASSES):
+            sent = src.mapInArrow(_count(ranges, PASSES, turn), "range int, pack binary")
+            sent.groupBy("range").applyInArrow(_reduce_bigrams(local, ranges), packs).write.parquet(f"{folder}/contexts/{turn}")
+        second = spark.read.schema(packs).parquet(*[f"{folder}/contexts/{t}" for t in range(PASSES)])
         stats = second.where("kind = 2").select("pack").collect()  # five numbers a range
-        both = first.where("kind = 1").unionAll(second.where("kind = 1"))
-        sums = both.groupBy("range").applyInArrow(_reduce_words(local), "range int, sums array<bigint>").collect()
+        sums = second.where("kind = 1").groupBy("range").applyInArrow(_reduce_words(local), "range int, sums array<bigint>").collect()
     finally:
         spark.conf.set(key, before)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    for old in ("packs", "contexts"):
-        p = path(f"{folder}/{old}")
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/contexts")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     counts = np.array([np.frombuffer(bytes(r.pack), "<i8") for r in stats]).reshape(-1, 5).sum(0).tolist()
     s = np.array([r.sums for r in sums], np.int64).reshape(-1, 8).sum(0).tolist()
     return Model(local, ranges, s[0], s[1], counts[4], discounts(*counts[:4]), discounts(*s[3:7]), (s[3], s[4], s[7]))
@@ -383,8 +396,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, SCORE_BYTES):
-            words, doc = tokens(*as_binary(batch.column(batch.num_columns - 1)))
-            n, known, base, own = model.score(words, doc, batch.num_rows)
+            n, known, base, own = model.score(*all_tokens(batch.column(batch.num_columns - 1)), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.array(known), pa.array(base), pa.array(own)], names=[*batch.schema.names[:-1], "n_tokens", "n_known", "base_score", "score"])
 
     types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["n_tokens bigint, n_known bigint, base_score double, score double"])
