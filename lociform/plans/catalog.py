@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotation as A
 from ..operators import cells as C
+from ..operators import clustering as K
 from ..operators import editing as E
 from ..operators import expression as X
 from ..operators import graph as G
@@ -1222,3 +1223,70 @@ def plot_upset(spark, d):
 @query(f"WITH {CNT} SELECT feature_id, sample_id, round_even(greatest(-3, least(3, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0))), 6) AS z FROM cnt WINDOW w AS (PARTITION BY feature_id)")
 def plot_heatmap(spark, d):
     return PD.heatmap(counts(spark, d)).withColumn("z", r6(F.col("z")))
+
+
+# --- clustering, consensus, communities ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {CNT}, r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY value, feature_id) AS k FROM cnt) SELECT feature_id, sample_id, round_even(avg(value) OVER (PARTITION BY k), 6) AS value FROM r")
+def quantile_normalize(spark, d):
+    return K.quantile_normalize(counts(spark, d)).withColumn("value", r6(F.col("value")))
+
+
+RUNS = "a AS (SELECT vec_id AS item, r AS run, (vec_id * (r + 3) // 7 + label) % 4 AS cluster FROM embeddings, range(5) t(r) WHERE vec_id < 200 AND (vec_id + r) % 3 > 0)"
+
+
+def _runs(spark, d):
+    e = table(spark, d, "embeddings").where("vec_id < 200").crossJoin(F.broadcast(spark.range(5).withColumnRenamed("id", "run"))).where("(vec_id + run) % 3 > 0")
+    return e.select(F.col("vec_id").alias("item"), "run", ((F.floor(F.col("vec_id") * (F.col("run") + 3) / 7) + F.col("label")) % 4).alias("cluster"))
+
+
+@query(f"WITH {RUNS} SELECT p.item AS x, q.item AS y, count(*) AS runs, round_even(avg((p.cluster = q.cluster)::INT), 6) AS consensus FROM a p JOIN a q ON p.run = q.run AND p.item < q.item GROUP BY 1, 2")
+def consensus_matrix(spark, d):
+    return K.consensus_matrix(_runs(spark, d)).withColumn("consensus", r6(F.col("consensus")))
+
+
+@query(f"WITH {RUNS}, c AS (SELECT item, cluster, count(*) AS n FROM a GROUP BY 1, 2) SELECT item, round_even(max(n) / sum(n), 6) AS stability FROM c GROUP BY 1")
+def consensus_stability(spark, d):
+    return K.stability(_runs(spark, d)).withColumn("stability", r6(F.col("stability")))
+
+
+@query(f"""{COR}, e AS (SELECT x, y, abs(corr(u, v)) AS a FROM p GROUP BY 1, 2), b AS (SELECT x, y, a FROM e UNION ALL SELECT y, x, a FROM e), g AS (SELECT x, sum(a) AS k FROM b GROUP BY 1), s AS (SELECT p.x AS x, q.y AS y, sum(p.a * q.a) AS l FROM b p JOIN b q ON p.y = q.x WHERE p.x < q.y GROUP BY 1, 2)
+SELECT e.x AS x, e.y AS y, round_even((coalesce(l, 0) + a) / (least(gx.k, gy.k) + 1 - a), 6) AS overlap FROM e LEFT JOIN s ON s.x = e.x AND s.y = e.y JOIN g gx ON gx.x = e.x JOIN g gy ON gy.x = e.y""")
+def topological_overlap(spark, d):
+    v = counts(spark, d).select(F.col("sample_id").alias("variable"), F.col("feature_id").alias("item"), "value")
+    a = T.correlation_pairs(v).select("x", "y", F.abs("r").alias("a"))
+    return K.topological_overlap(a).withColumn("overlap", r6(F.col("overlap")))
+
+
+@query("""WITH p AS (SELECT vec_id AS id, label AS cluster, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.id AS id, a.cluster AS cluster, b.cluster AS other, sum(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS s, count(*) AS n FROM p a JOIN p b ON true GROUP BY 1, 2, 3),
+m AS (SELECT id, cluster, max(CASE WHEN cluster = other THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN cluster <> other THEN s / n END) AS b FROM d GROUP BY 1, 2) SELECT id, cluster, round_even(coalesce((b - a) / greatest(a, b), 0), 6) + 0.0 AS silhouette FROM m""")
+def cluster_silhouette(spark, d):
+    e = table(spark, d, "embeddings")
+    p = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    x = K.silhouette(p, e.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster")))
+    return x.withColumn("silhouette", r6(F.col("silhouette")) + 0.0)
+
+
+@query()
+def kmeans_clusters(spark, d):
+    return K.kmeans(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 5)
+
+
+@query()
+def communities(spark, d):
+    return K.label_propagation(G.snn(_knn(spark, d)).select("a", "b", "weight").persist(), 4)
+
+
+@query()
+def deconvolution(spark, d):
+    c = counts(spark, d)
+    sig = c.groupBy(F.split("feature_id", "\\|")[1].alias("cell_type"), "feature_id").agg(F.avg("value").alias("weight"))
+    return K.deconvolve(c, sig)
+
+
+@query()
+def gsea_permuted(spark, d):
+    de = results(spark, d)
+    ranked = de.where("comparison = 'y0'").select(F.col("feature_id").alias("gene"), F.col("log2FoldChange").alias("stat"))
+    return K.gsea_permutation(ranked, de.select(F.split("feature_id", "\\|")[1].alias("set_id"), F.col("feature_id").alias("gene")), 50)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociform.functions import scalar as S
-from lociform.operators import cells, editing, expression, graph, models, plotdata, quality, sequences, stats, values
+from lociform.operators import cells, clustering, editing, expression, graph, models, plotdata, quality, sequences, stats, values
 
 V = "feature_id string, sample_id string, value double"
 
@@ -155,3 +155,30 @@ def test_quality(spark):
     assert got == sorted([("duplicate_id", "atac_g_11_b1")] * 2 + [("empty", "file_name"), ("format", "zip")])
     with pytest.raises(ValueError):
         quality.validate_sheet(sheet, ["absent"])
+
+
+def test_clustering(spark):
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(0, 0.1, (20, 3)), rng.normal(3, 0.1, (20, 3))]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id bigint, vec array<double>")
+    lab = {r.id: r.cluster for r in clustering.kmeans(df, 2).collect()}
+    assert len({lab[k] for k in range(20)}) == len({lab[k] for k in range(20, 40)}) == 1 and lab[0] != lab[39]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert clustering.average_linkage(d, 2).tolist() == [0] * 20 + [1] * 20
+    g = {r.id: r.cluster for r in clustering.label_propagation(graph.snn(graph.knn(df, 5)).select("a", "b", "weight")).collect()}
+    assert not {g[k] for k in range(20)} & {g[k] for k in range(20, 40)}
+    shifted = spark.createDataFrame([(k, (v + (0.4 if k % 2 else 0)).tolist()) for k, v in enumerate(x)], "id bigint, vec array<double>")
+    out = np.array([r.vec for r in clustering.integrate_batches(shifted, spark.createDataFrame([(k, k % 2) for k in range(40)], "id bigint, batch int"), 2).orderBy("id").collect()])
+    assert np.abs(out[:20:2].mean(0) - out[1:20:2].mean(0)).max() < 1e-9
+
+
+def test_deconvolution_and_permutation(spark):
+    sig = spark.createDataFrame([(t, f"g{k}", float(w)) for t, ws in {"A": (9, 1, 1, 5), "B": (1, 9, 1, 5), "C": (1, 1, 9, 5)}.items() for k, w in enumerate(ws)], "cell_type string, feature_id string, weight double")
+    mix = [0.2 * a + 0.5 * b + 0.3 * c for a, b, c in zip((9, 1, 1, 5), (1, 9, 1, 5), (1, 1, 9, 5), strict=True)]
+    v = spark.createDataFrame([(f"g{k}", "s", float(x)) for k, x in enumerate(mix)], V)
+    got = {r.cell_type: r.share for r in clustering.deconvolve(v, sig).collect()}
+    assert got == {"A": pytest.approx(0.2, abs=1e-3), "B": pytest.approx(0.5, abs=1e-3), "C": pytest.approx(0.3, abs=1e-3)}
+    ranked = spark.createDataFrame([(f"g{k}", 5.0 - k * 0.1) for k in range(100)], "gene string, stat double")
+    sets = spark.createDataFrame([("top", f"g{k}") for k in range(8)] + [("spread", f"g{k}") for k in range(3, 100, 12)], "set_id string, gene string")
+    p = {r.set_id: r for r in clustering.gsea_permutation(ranked, sets).collect()}
+    assert p["top"].es > 0.9 and p["top"].pvalue < 0.05 < p["spread"].pvalue
