@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import average_rank
-from .stats import mad
+from .stats import binned_rank, mad
 
 
 def cell_metrics(expr: DataFrame, subsets: dict[str, str] | None = None) -> DataFrame:
@@ -101,7 +100,7 @@ def potency(expr: DataFrame, n_genes: int) -> DataFrame:
     best = g.select("gene", F.round(r, 9).alias("r")).where("r IS NOT NULL").orderBy(F.col("r").desc(), "gene").limit(n_genes)
     s = expr.join(F.broadcast(best.select("gene")), "gene", "left_semi").groupBy("cell").agg((F.sum("logcounts") / n_genes).alias("s"))
     x = count.join(s, "cell", "left").select("cell", F.round(F.coalesce("s", F.lit(0.0)), 9).alias("s"))
-    return x.withColumn("score", average_rank([], "s") / F.count(F.lit(1)).over(Window.partitionBy())).select("cell", "score")
+    return binned_rank(x, "s", 0.01).select("cell", (F.col("rank") / F.col("n_rows")).alias("score"))
 
 
 def composition(cells: DataFrame) -> DataFrame:

@@ -25,6 +25,16 @@ def bh(df: DataFrame, p: str = "pvalue", by: list[str] | None = None, out: str =
     return df.join(d.drop("__n", "__r", "__m"), [*by, p], "left")
 
 
+def binned_rank(df: DataFrame, value: str, width: float, out: str = "rank") -> DataFrame:
+    """`df` with the average-tie rank of `value` over all rows and `n_rows`: ranked inside bins of the value, with the
+    counts of the bins before carried in, so no task sorts the whole table."""
+    b = df.withColumn("__bin", F.floor(F.col(value) / width))
+    c = b.groupBy("__bin").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__bin")  # as many rows as bins
+    c = c.select("__bin", (F.sum("__n").over(w) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("n_rows"))
+    return b.join(c, "__bin").withColumn(out, F.col("__before") + S.average_rank(["__bin"], value)).drop("__bin", "__before")
+
+
 def bonferroni(p: Column, n: Column) -> Column:
     return F.least(F.lit(1.0), p * n)
 
