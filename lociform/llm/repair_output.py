@@ -33,14 +33,24 @@ LEAST_COUNT = 16
 END_ID = 2
 #: Input bytes of a partition.
 PART_BYTES = 6 << 20
-CACHE_WORDS = 300_000
+#: Pieces remembered by a worker; the memory is emptied when it is full.
+CACHE_WORDS = 500_000
+
+
+#: Marks that end a piece of letters (fixed values); the vocabulary's splitter parts them from letters too.
+MARKS = b".,;:!?%$&*#|()"
+#: Characters of which the first that is one id of the vocabulary parts joined pieces; pieces that hold it go alone.
+PARTING = "\u26bd\u2615\u2605"
+#: Pieces joined for a call.
+JOINED = 100
 
 
 class Encoder:
-    """The tokenizers library over the distinct white-space-free pieces of texts.
+    """The tokenizers library over the distinct pieces of texts.
 
-    The vocabulary's normaliser and splitter never join what ASCII white space parts, and drop the white space, so
-    a text's ids are those of its pieces in order.
+    The vocabulary's normaliser and splitter never join what ASCII white space parts, drop the white space, part
+    letters from marks, and ignore case, so a text's ids are those of its lower-cased pieces in order. Only a text that may hold a
+    special token keeps its case and its marks.
     """
 
     def __init__(self, path: str):
@@ -51,18 +61,49 @@ class Encoder:
         self.own.no_truncation()
         self.own.no_padding()
         self.memory: dict[bytes, bytes] = {}
+        # a character of one id that parts joined pieces, since a call for each piece costs more than its merges
+        self.part, self.part_id = next((c, ids[0]) for c in PARTING if len(ids := self.own.encode(c, add_special_tokens=False).ids) == 1)
+        self.letter = np.zeros(256, bool)
+        self.letter[97:123] = True
+        self.mark = np.zeros(256, bool)
+        self.mark[list(MARKS)] = True
+
+    def pieces(self, text: bytes) -> list[bytes]:
+        if b"<|" in text:
+            return text.split()
+        data = np.frombuffer(text.lower(), np.uint8)
+        at = np.flatnonzero(self.letter[data[:-1]] & self.mark[data[1:]]) + 1
+        if not len(at):
+            return data.tobytes().split()
+        # a space before every mark that follows a letter
+        out = np.full(len(data) + len(at), 32, np.uint8)
+        keep = np.ones(len(out), bool)
+        keep[at + np.arange(len(at))] = False
+        out[keep] = data
+        return out.tobytes().split()
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Remember the ids of pieces: many are joined by the parting character and cut again at its id."""
+        mark = self.part.encode()
+        alone = [w for w in pieces if mark in w or b"<|" in w]
+        rest = [w for w in pieces if mark not in w and b"<|" not in w] if alone else pieces
+        groups = [rest[a : a + JOINED] for a in range(0, len(rest), JOINED)] + [[w] for w in alone]
+        texts = [f" {self.part} ".join(map(bytes.decode, g)) for g in groups]
+        for g, e in zip(groups, self.own.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cut = 4 * np.flatnonzero(ids == self.part_id) if len(g) > 1 else np.zeros(0, np.int64)
+            raw = ids.tobytes()
+            for w, a, b in zip(g, [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True):
+                self.memory[w] = raw[a:b]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
+        split = [self.pieces(t.encode()) for t in texts]
         words: set[bytes] = set().union(*split) if split else set()
         new = [w for w in words if w not in self.memory]
         if len(self.memory) + len(new) > CACHE_WORDS:
             self.memory, new = {}, list(words)
         for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            got = self.own.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, got, strict=True):
-                self.memory[w] = np.array(e.ids, "<u4").tobytes()
+            self.learn(new[a : a + 20_000])
         get = self.memory.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
@@ -72,20 +113,25 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def frequent_pairs(keys: np.ndarray, most: int, least: int) -> np.ndarray:
+BIN_BITS = 18
+
+
+def bins_of(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.int64(-7046029254386353131)) >> np.int64(64 - BIN_BITS)) & np.int64((1 << BIN_BITS) - 1)
+
+
+def frequent_pairs(keys: np.ndarray, bins: np.ndarray, most: int, least: int) -> np.ndarray:
     """The most frequent values of `keys` (at most `most`, each at least `least` times), most frequent first.
 
     Counts are first taken by hash; only values in the fullest of those bins are counted exactly. A value that
     shares none of these bins occurs less often than the bins' bound, so none of the `most` is missed.
     """
-    bits = 18
-    bins = ((keys * np.int64(-7046029254386353131)) >> np.int64(64 - bits)) & np.int64((1 << bits) - 1)
-    counts = np.bincount(bins, minlength=1 << bits)
+    counts = np.bincount(bins, minlength=1 << BIN_BITS)
     full = np.sort(counts[counts >= least])[::-1]
     if not len(full):
         return np.zeros(0, np.int64)
     bound = full[most - 1] if len(full) > most else least
-    values, n = np.unique(keys[counts[bins] >= max(least, bound)], return_counts=True)
+    values, n = np.unique(keys[(counts >= max(least, bound))[bins]], return_counts=True)
     good = n >= least
     values, n = values[good], n[good]
     return values[np.lexsort((values, -n))][:most]
@@ -104,14 +150,16 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, rules: int
         inner = np.ones(len(keys), bool)
         cuts = ends[(ends > 0) & (ends < len(seq))] - 1
         inner[cuts] = False
-        chosen = np.sort(frequent_pairs(keys[inner], rules, least))
+        bins = bins_of(keys)
+        chosen = frequent_pairs(keys[inner], bins[inner], rules, least)
         if not len(chosen):
             break
-        # symbols that begin no chosen pair need no search
-        first = np.zeros(top, bool)
-        first[chosen >> 32] = True
-        at = np.flatnonzero(first[seq[:-1]] & inner)
-        place = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
+        # one place per bin: a chosen pair whose bin a more frequent one has waits for the next round
+        table = np.full(1 << BIN_BITS, -1, np.int32)
+        table[bins_of(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+        place = table[bins]
+        at = np.flatnonzero((place >= 0) & inner)
+        place = place[at].astype(np.int64)
         hit = chosen[place] == keys[at]
         at, place = at[hit], place[hit]
         # in a run of overlapping occurrences every second is taken, from the first

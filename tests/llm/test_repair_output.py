@@ -35,13 +35,13 @@ def test_frequent_pairs_are_exact():
     keys = rng.zipf(1.2, 50_000) % 5000 << 32 | rng.integers(0, 3, 50_000)
     v, n = np.unique(keys, return_counts=True)
     want = v[np.lexsort((v, -n))][:100]
-    assert R.frequent_pairs(keys, 100, 2).tolist() == want.tolist()
+    assert R.frequent_pairs(keys, R.bins_of(keys), 100, 2).tolist() == want.tolist()
 
 
 def texts():
     rng = random.Random(3)
     alphabet = "abcdeHIlnorstu  \n\té19ß,.!<|>日ǺΣςİǅK\x1c\x85  "
-    out = [None, "", " ", "<|endoftext|>x <|startoftext|>", "ΑΣ ΑΣ.", "it's", "a\x1cb\x1dc", "́a ́", "x" * 5000]
+    out = [None, "", " ", "<|endoftext|>x <|startoftext|>", "ΑΣ ΑΣ.", "it's", "a\x1cb\x1dc", "́a ́", "x" * 5000, "\u26bd a\u26bd b", "!\u26bd"]
     return out + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300))) for _ in range(400)]
 
 
