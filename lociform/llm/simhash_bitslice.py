@@ -123,12 +123,14 @@ def within(probe: int, vertical: np.ndarray, n: int, radius: int = RADIUS) -> np
     return at[at < n]
 
 
-def link_file(fps: np.ndarray, radius: int = RADIUS, sketches: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def link_file(fps: np.ndarray, radius: int = RADIUS, sketches: np.ndarray | None = None, least: int = 0, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of a file's members: (member, its root) by breadth-first search over bit-sliced distances.
 
-    With sketches (a row of MinHash bytes each) members also have to agree in `least` bytes.
+    With sketches (a row of MinHash bytes each) members also have to agree in `least` bytes. Links have the members'
+    `names`, or else their fingerprints.
     """
     n = len(fps)
+    names = fps if names is None else names
     vertical = planes(fps)
     free = np.ones(n, bool)
     a, b = [], []
@@ -145,8 +147,8 @@ def link_file(fps: np.ndarray, radius: int = RADIUS, sketches: np.ndarray | None
                 near = near[(sketches[near] == sketches[at]).sum(1) >= least]
             free[near] = False
             queue.extend(near.tolist())
-            a.append(fps[near])
-            b.append(np.full(len(near), fps[k]))
+            a.append(names[near])
+            b.append(np.full(len(near), names[k]))
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -201,12 +203,16 @@ def groups(docs: DataFrame, keep: list[str], rank: str, text: str = "text", widt
     return fp.join(table, fp.fp == table["__fp"]).drop("__fp")
 
 
-#: Near copies by whole texts: 5-word shingles and a similarity of 0.8. MinHash files them (BANDS keys of BAND values each, which
-#: finds a pair at 0.8 with probability 0.9996), the bit-sliced distance and the sketch decide.
+#: Near copies by whole texts: the sets of 5-word shingles have a similarity (shared of all shingles) of 0.8. MinHash files the
+#: texts (BANDS keys of BAND values each, which finds a pair at 0.8 with probability 0.9996); the bit-sliced distance and the
+#: sketch only rule out what is far below (each loses about one pair at 0.8 in a million); the shingle sets themselves decide.
 NEAR_WIDTH = 5
 NEAR_SIMILARITY = 0.8
-NEAR_RADIUS = 16
+NEAR_RADIUS = 28
+NEAR_SLACK = 0.175
 BANDS, BAND, SKETCH = 15, 4, 128
+#: Members whose shingle sets are compared in one task.
+SETS_MOST = 256
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -214,72 +220,192 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, SKETCH, np.uint64)
 
 
-def sketch(text: bytes, width: int = NEAR_WIDTH) -> tuple[int, bytes, list[int]]:
-    """Fingerprint, the low bytes of SKETCH MinHash values, and the BANDS filing keys (signed) of a text."""
+def sketch(text: bytes, width: int = NEAR_WIDTH) -> tuple[int, bytes, list[int], int]:
+    """Of a text's shingle set: the fingerprint, the low bytes of SKETCH MinHash values, the BANDS filing keys (signed), and its hash."""
     import xxhash
 
-    hashes = shingle_hashes(text, width)
+    hashes = np.unique(shingle_hashes(text, width))
     if not len(hashes):
-        return 0, bytes(SKETCH), [0] * BANDS
+        return 0, bytes(SKETCH), [0] * BANDS, 0
     a, b = _multipliers()
     least = np.full(SKETCH, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for s in range(0, len(hashes), 2048):
         np.minimum(least, (hashes[s : s + 2048, None] * a + b).min(0), out=least)
     keys = [xxhash.xxh64_intdigest(least[BAND * k : BAND * k + BAND].tobytes(), k) for k in range(BANDS)]
     # the high byte of a minimum is nearly always 0; a middle one is even
-    return simhash(hashes), ((least >> np.uint64(8)) & np.uint64(255)).astype(np.uint8).tobytes(), np.array(keys, np.uint64).view(np.int64).tolist()
+    return simhash(hashes), ((least >> np.uint64(8)) & np.uint64(255)).astype(np.uint8).tobytes(), np.array(keys, np.uint64).view(np.int64).tolist(), xxhash.xxh64_intdigest(hashes.tobytes())
 
 
 def near_links(distinct: DataFrame, most: int = FILE_MOST, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
-    """Links (a, b) of distinct fingerprints (fp, sig, keys) of similar texts.
+    """Candidate links (a, b) of distinct shingle sets (node, or else fp as their name; fp, sig, keys): their components hold all similar texts.
 
     Texts that share a key stand in one file. A file beyond `most` is dealt over parts by hash, anew for each of the
     BANDS keys, and its first member stands in every part, so parts stay linked and no member is left out.
     """
-    least = int(SKETCH * (similarity - 0.05))
-    filed = distinct.select(F.explode("keys").alias("file"), "fp", "sig")
-    sizes = materialize(filed.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "sig")).alias("first")).where("n > 1"), "simhash-near")
-    part = F.when(F.col("n") > most, F.pmod(F.xxhash64("fp", "file"), F.ceil(F.col("n") / most))).otherwise(F.lit(0))
-    parts = filed.join(sizes, "file").groupBy("file", part.alias("part")).agg(F.collect_list(F.struct("fp", "sig")).alias("members"), F.min("first").alias("first"))
+    least = int(SKETCH * (similarity - NEAR_SLACK))
+    filed = distinct.select(F.explode("keys").alias("file"), F.col("node" if "node" in distinct.columns else "fp").alias("node"), "fp", "sig")
+    sizes = materialize(filed.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp", "sig")).alias("first")).where("n > 1"), "simhash-near")
+    part = F.when(F.col("n") > most, F.pmod(F.xxhash64("node", "file"), F.ceil(F.col("n") / most))).otherwise(F.lit(0))
+    parts = filed.join(sizes, "file").groupBy("file", part.alias("part")).agg(F.collect_list(F.struct("node", "fp", "sig")).alias("members"), F.min("first").alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
             for row in batch.to_pylist():
-                members = {m["fp"]: m["sig"] for m in [*row["members"], row["first"]]}
+                members = {m["node"]: m for m in [*row["members"], row["first"]]}
                 if len(members) < 2:
                     continue
-                fps = np.sort(np.array(list(members), np.int64).view(np.uint64))
-                sigs = np.frombuffer(b"".join(members[k] for k in fps.view(np.int64).tolist()), np.uint8).reshape(len(fps), -1)
-                x, y = link_file(fps, radius, sigs, least)
+                names = sorted(members)
+                fps = np.array([members[k]["fp"] for k in names], np.int64).view(np.uint64)
+                sigs = np.frombuffer(b"".join(members[k]["sig"] for k in names), np.uint8).reshape(len(fps), -1)
+                x, y = link_file(fps, radius, sigs, least, np.array(names, np.int64))
                 left.append(x)
                 right.append(y)
-            cat = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64), pa.int64())
+            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([cat(left), cat(right)], names=["a", "b"])
 
     return parts.select("members", "first").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def similar(sets: list[np.ndarray], similarity: float = NEAR_SIMILARITY):
+    """A function from k to the mask of the sets (of distinct hashes) whose similarity to the k-th is `similarity` or more, exactly."""
+    n = len(sets)
+    lengths = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(ids, kind="stable")
+    owner = np.repeat(np.arange(n), lengths)[order]
+    ends = np.cumsum(np.bincount(ids))
+    starts = np.r_[0, ends[:-1]]
+    own = np.split(ids, np.cumsum(lengths)[:-1])
+
+    def near(k: int) -> np.ndarray:
+        at, size = starts[own[k]], ends[own[k]] - starts[own[k]]
+        where = np.repeat(at - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        shared = np.bincount(owner[where], minlength=n)
+        return shared / np.maximum(lengths + lengths[k] - shared, 1) >= similarity
+
+    return near
+
+
+def link_sets(names: np.ndarray, sets: list[np.ndarray], similarity: float = NEAR_SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the members whose sets are similar: (member, its root) by breadth-first search."""
+    near, free = similar(sets, similarity), np.ones(len(names), bool)
+    a, b = [names[:0]], [names[:0]]
+    for k in range(len(names)):
+        queue = [k] if free[k] else []
+        free[k] = False
+        while queue and free.any():
+            got = np.flatnonzero(near(queue.pop()) & free)
+            free[got] = False
+            queue.extend(got.tolist())
+            a.append(names[got])
+            b.append(np.full(len(got), names[k]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def link_apart(names: np.ndarray, subs: np.ndarray, left: np.ndarray, sets: list[np.ndarray], similarity: float = NEAR_SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the members marked `left` to similar ones of other groups (subs), one for each pair of groups."""
+    near, found = similar(sets, similarity), {}
+    for k in np.flatnonzero(left).tolist():
+        for j in np.flatnonzero(near(k) & (subs != subs[k])).tolist():
+            found.setdefault((subs[k], subs[j]), (names[k], names[j]))
+    got = np.array(list(found.values()), np.int64).reshape(-1, 2)
+    return got[:, 0], got[:, 1]
+
+
+def _linked(grouped: DataFrame, apart: bool, similarity: float) -> DataFrame:
+    """Links (a, b) of the rows of `grouped`, whose only column `members` has arrays of (node, sub, probe, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for members in batch.column(0):
+                m = members.values
+                rows = {}
+                for k, (node, probe) in enumerate(zip(m.field("node").to_pylist(), m.field("probe").to_pylist(), strict=True)):
+                    if probe or node not in rows:
+                        rows[node] = k
+                if len(rows) < 2:
+                    continue
+                m = m.take(pa.array(sorted(rows.values()), pa.int64()))
+                names = m.field("node").to_numpy()
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in m.field("hashes")]
+                x, y = link_apart(names, m.field("sub").to_numpy(), m.field("probe").to_numpy(zero_copy_only=False), sets, similarity) if apart else link_sets(names, sets, similarity)
+                left.append(x)
+                right.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], names=["a", "b"])
+
+    return grouped.mapInArrow(run, "a bigint, b bigint")
+
+
+def confirmed(texts: DataFrame, roots: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY, most: int = SETS_MOST, label: str = "simhash-near") -> DataFrame:
+    """Components (node, root) of the candidates whose shingle sets have the similarity, none other.
+
+    roots: (node, root) of all members of the candidates' components, the roots themselves included; texts: (node, text) of
+    these nodes. A component beyond `most` is dealt over parts with its root in each. Then members outside of its largest
+    group so far are compared, in blocks, with all that are in other groups, so no pair is left out.
+    """
+    spark = roots.sparkSession
+    sized = materialize(roots.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root"), label)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes((t or "").encode(), width)).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["node", "root", "n", "hashes"])
+
+    def members(sub, probe) -> list:
+        return F.collect_list(F.struct("node", sub.alias("sub"), probe.alias("probe"), "hashes")).alias("members")
+
+    sets = sized.join(texts, "node").select("node", "root", "n", "text").mapInArrow(run, "node bigint, root bigint, n bigint, hashes binary")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / most)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.ceil(F.col(n) / most).cast("int") - 1)
+    part = F.explode(F.when(F.col("node") == F.col("root"), every("n")).otherwise(F.array(deal("n"))))
+    parts = sets.withColumn("part", part).groupBy("root", "part").agg(members(F.col("root"), F.lit(False))).select("members")
+    inner = materialize(_linked(parts, False, similarity), label)
+    found = components(spark, inner, label)
+    if sized.where(F.col("n") > most).isEmpty():
+        return found
+    own = found.select("node", F.col("root").alias("sub"))
+    large = materialize(sized.where(F.col("n") > most).join(own, "node", "left").select("node", "root", "n", F.coalesce("sub", "node").alias("sub")), label)
+    tally = large.groupBy("root", "sub").agg(F.count(F.lit(1)).alias("c")).groupBy("root").agg(F.max(F.struct("c", "sub")).alias("main"), F.sum("c").alias("all"))
+    tally = tally.select("root", F.col("main.sub").alias("main"), (F.col("all") - F.col("main.c")).alias("rest")).where("rest > 0")
+    split = materialize(large.join(tally, "root").select("node", "sub", "main", "rest"), label)
+    if split.isEmpty():
+        return found
+    held = materialize(sets.join(split, "node"), label)
+    left = held.where("sub <> main").withColumns({"q": deal("rest"), "probe": F.lit(True)}).withColumn("p", F.explode(every("n")))
+    right = held.withColumns({"p": deal("n"), "probe": F.lit(False)}).withColumn("q", F.explode(every("rest")))
+    blocks = left.unionByName(right).groupBy("root", "p", "q").agg(members(F.col("sub"), F.col("probe"))).select("members")
+    outer = materialize(_linked(blocks, True, similarity), label)
+    return components(spark, inner.unionAll(outer), label)
+
+
 def near_groups(docs: DataFrame, keep: list[str], rank: str, text: str = "text", width: int = NEAR_WIDTH, label: str = "simhash-near") -> DataFrame:
     """Like groups(), for texts whose shingle sets have a similarity of 0.8 or more rather than for near fingerprints."""
     batch_limits(docs.sparkSession)
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(F.col(f"`{text}`")).alias("__hash"), F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [sketch((t or "").encode(), width) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            fps = np.array([g[0] for g in got], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "fp", "sig", "keys"])
+            fps, sets = (pa.array(np.array([g[k] for g in got], np.uint64).view(np.int64)) for k in (0, 3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps, pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int64())), sets], names=[*batch.schema.names[:-1], "fp", "sig", "keys", "__set"])
 
-    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["fp bigint, sig binary, keys array<bigint>"])
+    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["fp bigint, sig binary, keys array<bigint>, `__set` bigint"])
     fp = materialize(src.mapInArrow(run, types), label)
-    low = F.min(F.col(f"`{rank}`")).alias("low")
-    distinct = materialize(fp.groupBy("fp").agg(low, F.min(F.struct("sig", "keys")).alias("s")).select("fp", "low", "s.sig", "s.keys"), label)
-    roots = components(docs.sparkSession, near_links(distinct), label)
-    full = distinct.select("fp", "low").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    low, one = F.min(F.col(f"`{rank}`")).alias("low"), F.min(F.struct(F.col(f"`{rank}`").alias("rank"), "__hash")).alias("one")
+    distinct = materialize(fp.groupBy(F.col("__set").alias("node")).agg(low, one, F.min(F.struct("fp", "sig", "keys")).alias("s")).select("node", "low", "one", "s.fp", "s.sig", "s.keys"), label)
+    found = components(docs.sparkSession, near_links(distinct), label)
+    found = materialize(found.unionAll(found.select(F.col("root").alias("node"), "root").distinct()), label)
+    # one text stands for each shingle set
+    ones = found.join(distinct, "node").select("node", F.col("one.rank").alias("__rank"), F.col("one.__hash").alias("__one"))
+    texts = docs.select(F.col(f"`{rank}`").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__hash"), F.col(f"`{text}`").alias("text"))
+    texts = texts.join(ones, F.col("__id").eqNullSafe(F.col("__rank")) & (F.col("__hash") == F.col("__one"))).select("node", "text")
+    roots = confirmed(texts, found, width, label=label)
+    full = distinct.select("node", "low").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     table = full.groupBy("root").agg(F.min("low").alias("component"))
-    table = materialize(full.join(table, "root").select(F.col("fp").alias("__fp"), "component"), label)
-    return fp.drop("sig", "keys").join(table, F.col("fp") == F.col("__fp")).drop("__fp")
+    table = materialize(full.join(table, "root").select("node", "component"), label)
+    return fp.drop("sig", "keys", "__hash").join(table, F.col("__set") == F.col("node")).drop("__set", "node")
 
 
 def dedup_stage(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:

@@ -116,6 +116,40 @@ def test_near_copies_by_similarity(spark):
     assert components(spark, small, "t").select("root").distinct().count() == 1
 
 
+def overlapping(tag, shared, size=90):
+    """Two texts of `size` five-word shingles each, `shared` of them in common."""
+    w = [f"{tag}x{k}" for k in range(size + 4)]
+    return " ".join(w), " ".join(w[: shared + 4] + [f"{tag}y{k}" for k in range(size - shared)])
+
+
+def test_similarity_decides(spark):
+    # 80 of 100 shingles are 0.8; 79 of 101 are below
+    texts = [t for k in range(200) for t in overlapping(f"p{k}", 80 if k < 100 else 79)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component for r in S.near_groups(df, ["doc_id"], "doc_id").collect()}
+    assert got == {k: k // 2 * 2 if k < 200 else k for k in range(400)}
+
+
+def test_confirmed_blocks(spark):
+    rng = random.Random(5)
+    texts = []
+    for g in range(12):
+        w = [f"g{g}w{k}" for k in range(60)]
+        for _ in range(rng.choice([1, 2, 9])):
+            a = rng.randrange(8)
+            texts.append(" ".join(w[a : a + 50]))
+    texts = sorted(set(texts), key=lambda t: (len(t), t))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i, x in enumerate(sets):
+            want[i] = min(want[j] for j, y in enumerate(sets) if len(x & y) / len(x | y) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    for most in (4, 500):
+        got = {r.node: r.root for r in S.confirmed(df, df.select("node", F.lit(0).cast("bigint").alias("root")), most=most).collect()}
+        assert [got.get(k, k) for k in range(len(texts))] == want
+
+
 def test_stage(spark):
     df = spark.createDataFrame([(2, "a b c d", "x"), (1, "a b c d", "y"), (1, "a b c d", "y"), (3, None, None), (None, "q r s", "z")], "doc_id bigint, text string, component string")
     out = S.dedup_stage(df)
