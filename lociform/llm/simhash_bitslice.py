@@ -239,20 +239,19 @@ def sketch(text: bytes, width: int = NEAR_WIDTH) -> tuple[int, bytes, list[int],
 def near_links(distinct: DataFrame, most: int = FILE_MOST, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
     """Candidate links (a, b) of distinct shingle sets (node, or else fp as their name; fp, sig, keys): their components hold all similar texts.
 
-    Texts that share a key stand in one file. A file beyond `most` is dealt over parts by hash, anew for each of the
-    BANDS keys, and its first member stands in every part, so parts stay linked and no member is left out.
+    Texts that share a key stand in one file. In a file beyond `most` nothing is compared: all its members link to the first,
+    so no pair of it is left out, and confirmed() tells which of them are similar.
     """
     least = int(SKETCH * (similarity - NEAR_SLACK))
     filed = distinct.select(F.explode("keys").alias("file"), F.col("node" if "node" in distinct.columns else "fp").alias("node"), "fp", "sig")
-    sizes = materialize(filed.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp", "sig")).alias("first")).where("n > 1"), "simhash-near")
-    part = F.when(F.col("n") > most, F.pmod(F.xxhash64("node", "file"), F.ceil(F.col("n") / most))).otherwise(F.lit(0))
-    parts = filed.join(sizes, "file").groupBy("file", part.alias("part")).agg(F.collect_list(F.struct("node", "fp", "sig")).alias("members"), F.min("first").alias("first"))
+    sizes = materialize(filed.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"), "simhash-near")
+    small = filed.join(sizes.where(F.col("n") <= most), "file").groupBy("file").agg(F.collect_list(F.struct("node", "fp", "sig")).alias("members")).select("members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
             for row in batch.to_pylist():
-                members = {m["node"]: m for m in [*row["members"], row["first"]]}
+                members = {m["node"]: m for m in row["members"]}
                 if len(members) < 2:
                     continue
                 names = sorted(members)
@@ -264,7 +263,11 @@ def near_links(distinct: DataFrame, most: int = FILE_MOST, similarity: float = N
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([cat(left), cat(right)], names=["a", "b"])
 
-    return parts.select("members", "first").mapInArrow(run, "a bigint, b bigint").distinct()
+    out = small.mapInArrow(run, "a bigint, b bigint")
+    if not sizes.where(F.col("n") > most).isEmpty():
+        large = filed.select("file", "node").join(sizes.where(F.col("n") > most), "file")
+        out = out.unionAll(large.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    return out.distinct()
 
 
 def similar(sets: list[np.ndarray], similarity: float = NEAR_SIMILARITY):

@@ -130,6 +130,19 @@ def test_similarity_decides(spark):
     assert got == {k: k // 2 * 2 if k < 200 else k for k in range(400)}
 
 
+def test_large_files_keep_all_pairs(spark):
+    # 40 pairs, each similar only inside, all under one hot key
+    rows = []
+    for g in range(40):
+        for t in overlapping(f"h{g}", 85):
+            f = S.sketch(t.encode())
+            rows.append((len(rows), f[0] - 2**64 if f[0] >> 63 else f[0], f[1], [7]))
+    df = spark.createDataFrame(rows, "node bigint, fp bigint, sig binary, keys array<bigint>")
+    for most in (5, 500):
+        root = {r.node: r.root for r in components(spark, S.near_links(df, most=most), "t").collect()}
+        assert all(root.get(k, k) == root.get(k + 1, k + 1) for k in range(0, 80, 2))
+
+
 def test_confirmed_blocks(spark):
     rng = random.Random(5)
     texts = []
