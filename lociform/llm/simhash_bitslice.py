@@ -384,7 +384,10 @@ def confirmed(texts: DataFrame, roots: DataFrame, width: int = NEAR_WIDTH, simil
 
 
 def near_groups(docs: DataFrame, keep: list[str], rank: str, text: str = "text", width: int = NEAR_WIDTH, label: str = "simhash-near") -> DataFrame:
-    """Like groups(), for texts whose shingle sets have a similarity of 0.8 or more rather than for near fingerprints."""
+    """Like groups(), for texts whose shingle sets have a similarity of 0.8 or more rather than for near fingerprints.
+
+    `root` names a group whatever its ranks are.
+    """
     batch_limits(docs.sparkSession)
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(F.col(f"`{text}`")).alias("__hash"), F.col(f"`{text}`").alias("__text"))
 
@@ -407,18 +410,23 @@ def near_groups(docs: DataFrame, keep: list[str], rank: str, text: str = "text",
     roots = confirmed(texts, found, width, label=label)
     full = distinct.select("node", "low").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     table = full.groupBy("root").agg(F.min("low").alias("component"))
-    table = materialize(full.join(table, "root").select("node", "component"), label)
+    table = materialize(full.join(table, "root").select("node", "root", "component"), label)
     return fp.drop("sig", "keys", "__hash").join(table, F.col("__set") == F.col("node")).drop("__set", "node")
 
 
 def dedup_stage(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id, ties by the whole row; own columns kept."""
+    """One document of each group of near copies: the one with the smallest doc_id (null after all others), ties by the whole row; own columns kept.
+
+    A row is known by its doc_id and its text's hash, so neither null nor repeated ids join groups.
+    """
     names = docs.columns
-    g = near_groups(docs.select("doc_id", "text"), ["doc_id"], "doc_id", width=width)
-    heads = materialize(g.where("doc_id <=> component").select(F.col("doc_id").alias("__head")).distinct(), "simhash-heads")
-    alone = docs.join(heads, docs.doc_id.eqNullSafe(heads["__head"]), "left_semi")
-    # the text is shuffled again only where an id has several rows
-    if g.where("doc_id <=> component").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return alone
+    row = F.xxhash64("text")
+    g = near_groups(docs.select("doc_id", "text", row.alias("__row")), ["doc_id", "__row"], "doc_id", width=width)
+    heads = g.where("doc_id <=> component").groupBy(F.col("doc_id").alias("__head"), "__row", F.col("root").alias("__root")).agg(F.count(F.lit(1)).alias("n"))
+    heads = materialize(heads, "simhash-heads")
+    same = docs.doc_id.eqNullSafe(heads["__head"]) & (row == heads["__row"])
+    # the text is shuffled again only where a group has several heads
+    if heads.groupBy("__root").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
+        return docs.join(heads, same, "left_semi")
     rows = F.struct(*[F.col(f"`{c}`") for c in names])
-    return alone.groupBy("doc_id").agg(F.min(rows).alias("row")).select("row.*")
+    return docs.join(heads, same).groupBy("__root").agg(F.min(rows).alias("row")).select("row.*")

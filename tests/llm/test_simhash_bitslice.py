@@ -171,6 +171,13 @@ def test_stage(spark):
     assert S.dedup_stage(df.where("false")).count() == 0
 
 
+def test_stage_without_ids(spark):
+    near = overlapping("n", 85)
+    rows = [(None, "a b c"), (None, "d e f"), (None, "d e f"), (4, "g h i"), (4, "j k l"), (5, near[0]), (None, near[1])]
+    got = S.dedup_stage(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, "a b c"), (None, "d e f"), (4, "g h i"), (4, "j k l"), (5, near[0])], key=str)
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.root for r in components(spark, edges, "t").collect()}
