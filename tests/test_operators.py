@@ -95,6 +95,14 @@ def test_cells(spark):
     assert got["c1"] == (10, 2, 50.0, pytest.approx(math.log10(2))) and got["c2"] == (1, 1, 0.0, None)
 
 
+def test_knn_many_ties(spark):
+    x = np.random.default_rng(0).integers(0, 3, (500, 2)).astype(float)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id bigint, vec array<double>")
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    want = {(i, k + 1, j) for i in range(500) for k, j in enumerate(sorted((j for j in range(500) if j != i), key=lambda j: (d[i, j], j))[:4])}
+    assert {(r.id, r["rank"], r.other) for r in graph.knn(df, 4).collect()} == want
+
+
 def test_knn_blocks(spark):
     rng = np.random.default_rng(1)
     x = np.r_[rng.normal(size=(60, 4)), np.zeros((3, 4))]
