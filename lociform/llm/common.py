@@ -25,9 +25,12 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local session (tests) gets an own one where
+    it is unset; on a cluster that is an error, since a folder of the driver's machine is not shared."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         path = "file://" + _own_dir()
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -48,7 +51,40 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lociform_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from materialize() that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        old = spark._jvm.org.apache.hadoop.fs.Path(t._lociform_path)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+#: A key is hot from this many rows on, and from this share of all rows on; so there are at most HOT_SHARE hot keys.
+HOT_ROWS = 4096
+HOT_SHARE = 10_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, count: str = "n", how: str = "inner") -> DataFrame:
+    """`rows` joined by `key` to `table` (one row a key, `count` being the rows that have it, dropped from the result).
+
+    Hot keys are broadcast, at most HOT_SHARE of them by their definition, so their rows stay where they are; only rows of
+    other keys are shuffled. `rows` and `table` are read twice if there is a hot key and should be written tables.
+    """
+    from pyspark.sql import functions as F
+
+    figures = table.agg(F.sum(count).alias("all"), F.max(count).alias("most")).first()
+    hot = max(HOT_ROWS, -(-(figures["all"] or 0) // HOT_SHARE))
+    if (figures["most"] or 0) <= hot:
+        return rows.join(table.drop(count), key, how)
+    top = table.where(F.col(count) > hot).drop(count)
+    rest = table.where(F.col(count) <= hot).drop(count)
+    cold = rows.join(F.broadcast(top.select(key)), key, "left_anti").join(rest, key, how)
+    return rows.join(F.broadcast(top), key).unionByName(cold)
 
 
 def batch_limits(spark: SparkSession) -> None:
@@ -95,9 +131,8 @@ def components(spark: SparkSession, edges: DataFrame, label: str) -> DataFrame:
     """Connected components of `edges` (a, b) as (node, root), the root being the smallest node.
 
     Alternating large-star and small-star rewiring: every step is a group by node with a partial minimum and a
-    join, links are never gathered in one place, and each round is written to the shared folder. A node with
-    very many neighbours is only ever read as (node, minimum) against its own rows in a join that adaptive
-    execution may split.
+    join, links are never gathered in one place, and each round is written to the shared folder and replaces the one before
+    it there. A node with very many neighbours does not gather them: its (node, minimum) is broadcast to them.
     """
     from pyspark.sql import functions as F
 
@@ -107,18 +142,19 @@ def components(spark: SparkSession, edges: DataFrame, label: str) -> DataFrame:
     before = stamp(cur)
     while before[0]:
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), label)
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")), label)
         # large star: larger neighbours point at the smallest node around u
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = spread_join(both.where("v > u"), low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, label)
         # small star: u and its smaller neighbours point at the smallest of them
-        low2 = materialize(large.groupBy("a").agg(F.min("b").alias("m")), label)
+        low2 = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), label)
         small = (
-            large.join(low2, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            spread_join(large, low2, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionAll(low2.select("a", F.col("m").alias("b")))
             .distinct()
         )
         small = materialize(small, label)
+        discard(cur, low, large, low2)
         cur, after = small, stamp(small)
         if after == before:
             break

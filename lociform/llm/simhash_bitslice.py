@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_limits, components, materialize
+from .common import batch_limits, components, discard, materialize, spread_join
 
 BLOCKS = 4
 BLOCK_BITS = 16
@@ -27,6 +27,15 @@ RADIUS = 2
 #: Members of a file that are compared with each other; larger files take the exact way by one-bit neighbours.
 FILE_MOST = 512
 SEED = 42
+#: Filed members that a task compares.
+TASK_MEMBERS = 4096
+
+
+def dealt(filed: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Rows of the files of 2 to `most` members, dealt by file over as many tasks as their number asks for."""
+    kept = sizes.where(F.col("n") <= most)
+    rows = kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return filed.join(kept.select("file"), "file").repartition(max(16, -(-rows // TASK_MEMBERS)), "file")
 
 
 def shingle_hashes(text: bytes, width: int = 3, seed: int = SEED) -> np.ndarray:
@@ -177,7 +186,7 @@ def links(distinct: DataFrame, most: int = FILE_MOST) -> DataFrame:
     filed = distinct.select(F.explode(F.array(*files)).alias("file"), "fp")
     sizes = materialize(filed.groupBy("file").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-files")
     shared = filed.join(sizes, "file")
-    small = shared.where(F.col("n") <= most).groupBy("file").agg(F.collect_list("fp").alias("members")).select("members")
+    small = dealt(filed, sizes, most).groupBy("file").agg(F.collect_list("fp").alias("members")).select("members")
     out = small.mapInArrow(_compare, "a bigint, b bigint")
     if not sizes.where(F.col("n") > most).isEmpty():
         # the exact way for large files: one-bit neighbourhoods of their members
@@ -191,16 +200,21 @@ def links(distinct: DataFrame, most: int = FILE_MOST) -> DataFrame:
 def groups(docs: DataFrame, keep: list[str], rank: str, text: str = "text", width: int = 3, label: str = "simhash") -> DataFrame:
     """`keep` columns, fp and component: the smallest `rank` of the documents reachable by links.
 
-    Null and empty texts have fingerprint zero and link like any other; repeated rows stay as rows; a null rank
-    never becomes a component unless all of a component's ranks are null.
+    Null and empty texts have fingerprint zero and link like any other; repeated rows stay as rows, ties and all; a null rank
+    never becomes a component unless all of a component's ranks are null. A very long text is hashed whole, its shingles
+    being all that is held. An empty table gives an empty result. Columns that are not kept are not read, whatever their
+    names; kept columns named fp or component clash with the result's and must be renamed before.
     """
     fp = materialize(fingerprints(docs, keep, text, width), label)
     distinct = materialize(fp.groupBy("fp").agg(F.min(F.col(f"`{rank}`")).alias("low")), label)
     roots = components(docs.sparkSession, links(distinct), label)
-    full = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = full.groupBy("root").agg(F.min("low").alias("component"))
-    table = materialize(full.join(low, "root").select(F.col("fp").alias("__fp"), "component"), label)
-    return fp.join(table, fp.fp == table["__fp"]).drop("__fp")
+    full = materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), label)
+    low = materialize(full.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("n")), label)
+    table = spread_join(full, low, "root").select("fp", "component")
+    times = fp.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    table = materialize(table.join(times, "fp"), label)
+    discard(distinct, full, low)
+    return spread_join(fp, table, "fp")
 
 
 #: Near copies by whole texts: the sets of 5-word shingles have a similarity (shared of all shingles) of 0.8. MinHash files the
@@ -245,7 +259,7 @@ def near_links(distinct: DataFrame, most: int = FILE_MOST, similarity: float = N
     least = int(SKETCH * (similarity - NEAR_SLACK))
     filed = distinct.select(F.explode("keys").alias("file"), F.col("node" if "node" in distinct.columns else "fp").alias("node"), "fp", "sig")
     sizes = materialize(filed.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"), "simhash-near")
-    small = filed.join(sizes.where(F.col("n") <= most), "file").groupBy("file").agg(F.collect_list(F.struct("node", "fp", "sig")).alias("members")).select("members")
+    small = dealt(filed, sizes, most).groupBy("file").agg(F.collect_list(F.struct("node", "fp", "sig")).alias("members")).select("members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,7 +414,7 @@ def near_groups(docs: DataFrame, keep: list[str], rank: str, text: str = "text",
     types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["fp bigint, sig binary, keys array<bigint>, `__set` bigint"])
     fp = materialize(src.mapInArrow(run, types), label)
     low, one = F.min(F.col(f"`{rank}`")).alias("low"), F.min(F.struct(F.col(f"`{rank}`").alias("rank"), "__hash")).alias("one")
-    distinct = materialize(fp.groupBy(F.col("__set").alias("node")).agg(low, one, F.min(F.struct("fp", "sig", "keys")).alias("s")).select("node", "low", "one", "s.fp", "s.sig", "s.keys"), label)
+    distinct = materialize(fp.groupBy(F.col("__set").alias("node")).agg(low, one, F.min(F.struct("fp", "sig", "keys")).alias("s"), F.count(F.lit(1)).alias("copies")).select("node", "low", "one", "copies", "s.fp", "s.sig", "s.keys"), label)
     found = components(docs.sparkSession, near_links(distinct), label)
     found = materialize(found.unionAll(found.select(F.col("root").alias("node"), "root").distinct()), label)
     # one text stands for each shingle set
@@ -408,10 +422,11 @@ def near_groups(docs: DataFrame, keep: list[str], rank: str, text: str = "text",
     texts = docs.select(F.col(f"`{rank}`").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__hash"), F.col(f"`{text}`").alias("text"))
     texts = texts.join(ones, F.col("__id").eqNullSafe(F.col("__rank")) & (F.col("__hash") == F.col("__one"))).select("node", "text")
     roots = confirmed(texts, found, width, label=label)
-    full = distinct.select("node", "low").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    table = full.groupBy("root").agg(F.min("low").alias("component"))
-    table = materialize(full.join(table, "root").select("node", "root", "component"), label)
-    return fp.drop("sig", "keys", "__hash").join(table, F.col("__set") == F.col("node")).drop("__set", "node")
+    full = distinct.select("node", "low", "copies").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", "low", "copies", F.coalesce("root", "node").alias("root"))
+    full = materialize(full, label)
+    table = materialize(full.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("n")), label)
+    table = materialize(spread_join(full, table, "root").select(F.col("node").alias("__set"), "root", "component", "copies"), label)
+    return spread_join(fp.drop("sig", "keys", "__hash"), table, "__set", "copies").drop("__set")
 
 
 def dedup_stage(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
