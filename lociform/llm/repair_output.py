@@ -1,8 +1,8 @@
 """Token ids in Re-Pair compressed shards.
 
 Documents are range-partitioned by id and encoded; consecutive documents form shards. In a shard frequent pairs of
-neighbouring ids are replaced by nonterminals, round after round; a round replaces many pairs at once, and
-where chosen pairs overlap every second one of a run is taken. The shard stores its rules, the length of every
+neighbouring ids are replaced by nonterminals, round after round, until no pair occurs LEAST_COUNT times; a round replaces
+many pairs at once, and where chosen pairs overlap every second one of a run is taken. The shard stores its rules, the length of every
 nonterminal's expansion, and where each document's symbols begin, so any document, or any stretch of one, is decoded
 without the others.
 """
@@ -17,22 +17,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_speculative import slices
 from .common import batch_limits, parts_for, scratch
 
 MAGIC = b"RPR1"
-#: Ids of a shard, rounds, rules of a round, and how often a pair must occur in the shard to become a rule.
+#: Ids of a shard, rules of a round, and how often a pair must occur in the shard to become a rule: a rule takes 12 bytes
+#: and an occurrence saves 4, so rules of fewer occurrences hardly pay.
 SHARD_IDS = 1 << 20
-ROUNDS = 5
-ROUND_RULES = 2048
-LEAST_COUNT = 16
+ROUND_RULES = 16384
+LEAST_COUNT = 8
 #: Id behind every document.
 END_ID = 2
-#: Input bytes of a partition.
+#: Input bytes of a partition, and the most partitions; beyond them partitions grow, and a task's memory does not.
 PART_BYTES = 6 << 20
+PARTS_MOST = 100_000
 #: Pieces remembered by a worker; the memory is emptied when it is full.
 CACHE_WORDS = 500_000
 
@@ -137,15 +138,17 @@ def frequent_pairs(keys: np.ndarray, bins: np.ndarray, most: int, least: int) ->
     return values[np.lexsort((values, -n))][:most]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, rules: int = ROUND_RULES, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(symbols, ends of the documents in them, rules as pairs, first nonterminal). No rule crosses a document's end."""
+def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, rules: int = ROUND_RULES, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(symbols, ends of the documents in them, rules as pairs, first nonterminal). No rule crosses a document's end.
+
+    Rounds go on until no pair occurs `least` times, or for `rounds` of them.
+    """
     seq = ids.astype(np.int64)
     base = int(seq.max(initial=-1)) + 1
     pairs, top = [], base
     ends = ends.astype(np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1 and rounds != 0:
+        rounds = None if rounds is None else rounds - 1
         keys = seq[:-1] << 32 | seq[1:]
         inner = np.ones(len(keys), bool)
         cuts = ends[(ends > 0) & (ends < len(seq))] - 1
@@ -172,12 +175,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, rules: int
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         ends = np.r_[0, np.cumsum(keep)][ends]
-        before = len(seq)
         seq = seq[keep]
         pairs.append(np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], 1))
         top += len(used)
-        if before - len(seq) < before // 200:
-            break
     return seq.astype("<u4"), ends, np.concatenate(pairs).astype("<u4") if pairs else np.zeros((0, 2), "<u4"), base
 
 
@@ -252,14 +252,18 @@ class ShardReader:
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
-    """Write the ids of all documents, in ascending order of key (nulls first, ties by text), to `folder`.
+    """Write the ids of all documents, in ascending order of key (nulls first, ties by the text's hash), to `folder`.
 
-    A row of the files is a shard: part, first (ids of the part before it), keys, body. Null texts are empty.
+    A row of the files is a shard: part, first (ids of the part before it), keys, body. Null texts are empty. Rows repeated
+    or without a key are documents of their own, and many of them are dealt over partitions by the text's hash and by their
+    place in the input. A very long text stands whole in a shard of its own size. An empty table gives no shards. Columns
+    other than key and text are not read, whatever their names.
     """
     batch_limits(docs.sparkSession)
     src = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    parts = parts_for(src, PART_BYTES, 12)
-    dealt = src.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
+    parts = min(PARTS_MOST, parts_for(src, PART_BYTES, 12))
+    order = ["key", "hash", "place"]
+    dealt = src.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text")
     kind = src.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,10 +303,9 @@ def read(spark, folder: str, key: str = "doc_id") -> DataFrame:
     """Per document of the files: key, start (ids of all documents before it), n_tokens, ids_crc32."""
     files = spark.read.parquet(folder)
     kind = files.schema["keys"].dataType.elementType.simpleString()
-    # ids of whole parts: as many numbers as there are parts
-    totals = sorted(files.groupBy("part").agg(F.sum("ids").alias("n")).collect())
-    base = np.r_[0, np.cumsum([t.n for t in totals])].tolist()
-    offsets = spark.createDataFrame([(t.part, b) for t, b in zip(totals, base, strict=False)], "part int, base bigint")
+    # one number for each part, of which there are at most PARTS_MOST, so a window and a broadcast of them are bounded
+    totals = files.groupBy("part").agg(F.sum("ids").alias("n"))
+    offsets = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,6 +322,8 @@ def read(spark, folder: str, key: str = "doc_id") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document key, start, n_tokens and ids_crc32, read back from files that write() made: see there for nulls, ties,
+    repeated rows, long texts, empty tables and clashing columns."""
     spark = docs.sparkSession
     folder = scratch(spark, "repair")
     write(docs, folder, tokenizer, key, text)
