@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import batch_limits, materialize
 
-#: Rows of a shard, and queries of a block.
+#: Rows of a shard, and queries of a block: the most, and the least that a table of any size is dealt to.
 SHARD_ROWS = 8192
-BLOCK_QUERIES = 512
+SHARD_LEAST = 1024
+BLOCK_QUERIES = 4096
+#: Tasks that an input of few shards is still dealt over, and the most tasks of a search.
+TASKS = 32
+TASKS_MOST = 20_000
 
 
 def quantise(values: np.ndarray, scale: int = 256) -> np.ndarray:
@@ -55,13 +59,13 @@ class Shard:
         self.ids, self.matrix = ids, matrix
         self.lists = np.argsort(matrix, axis=0, kind="stable").astype(np.int32).T.copy()
         most = int(np.abs(matrix).max(initial=0))
-        # floating point is exact while all partial sums stay below 2^53, and its products are faster
-        self.exact_float = most < 1 << 20
-        self.floats = matrix.astype(np.float64) if self.exact_float else None
+        self.most = most
+        self.floats = matrix.astype(np.float64) if most < 1 << 53 else None
         self.steps = 0
 
     def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        if self.exact_float and np.abs(q).max(initial=0) < 1 << 20:
+        # floating point is exact while all partial sums stay below 2^53, and its products are faster
+        if self.floats is not None and self.most * int(np.abs(q).max(initial=0)) * len(q) < 1 << 53:
             return (self.floats[rows] @ q.astype(np.float64)).astype(np.int64)
         return self.matrix[rows] @ q
 
@@ -110,12 +114,10 @@ class Shard:
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, shard = None, None
         for batch in batches:
             for r in batch.to_pylist():
-                if at != r["shard"]:
-                    ids = np.frombuffer(r["s_ids"], np.int64)
-                    at, shard = r["shard"], Shard(ids, np.frombuffer(r["s_matrix"], np.int64).reshape(len(ids), r["s_width"]))
+                ids = np.frombuffer(r["s_ids"], np.int64)
+                shard = Shard(ids, np.frombuffer(r["s_matrix"], np.int64).reshape(len(ids), r["s_width"]))
                 qids = np.frombuffer(r["ids"], np.int64)
                 qs = np.frombuffer(r["matrix"], np.int64).reshape(len(qids), r["width"])
                 width = shard.matrix.shape[1]
@@ -136,22 +138,31 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, scale: int = 256, sh
 
     Both frames are (id bigint, vector array). Vectors that are null or hold null or non-finite components, and rows
     without an id, take no part. A shorter vector counts as padded with zeros. Rows repeated with one id are
-    candidates each. Scores are 64-bit integers; components must stay below 2^31 / sqrt(dimensions) in size.
+    candidates each; equal scores rank by the smaller id. An empty table of either kind gives an empty result. Columns
+    other than id and vector are not read, whatever their names. Scores are 64-bit integers: scaled components must stay
+    below 2^31 / sqrt(dimensions) in size; products are summed in floating point only where width x largest product < 2^53.
+
+    Every pair of a shard and a block of queries is one row of a sort-merge join and one call of the search, so neither
+    side is ever held or sorted as more than its own rows, and tasks are as many as pairs.
     """
     spark = rows.sparkSession
     batch_limits(spark)
     finite = F.expr("id IS NOT NULL AND vector IS NOT NULL AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) <> double('infinity'))")
     q, c = queries.where(finite).select("id", "vector"), rows.where(finite).select("id", "vector")
     n, nq = c.count(), q.count()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(nq / block))
+    shards = max(1, math.ceil(n / shard_rows), min(TASKS, n // SHARD_LEAST))
+    blocks = max(1, math.ceil(nq / block))
+    tasks = min(TASKS_MOST, shards * blocks)
     kind = "{} bigint, width int, ids binary, matrix binary"
     packed = c.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     packed = packed.groupBy("shard").applyInArrow(_pack("shard", scale), kind.format("shard"))
     packed = materialize(packed.toDF("shard", "s_width", "s_ids", "s_matrix"), "topk-shards")
     asked = q.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)))
     asked = materialize(asked.groupBy("block").applyInArrow(_pack("block", scale), kind.format("block")), "topk-queries")
-    met = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
-    pairs = packed.join(met, "shard").sortWithinPartitions("shard")
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
+    left = packed.withColumn("block", every(blocks)).repartition(tasks, "shard", "block")
+    right = asked.withColumn("shard", every(shards)).repartition(tasks, "shard", "block")
+    pairs = left.hint("merge").join(right, ["shard", "block"])
     part = pairs.select("shard", "s_width", "s_ids", "s_matrix", "width", "ids", "matrix").mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
