@@ -35,7 +35,9 @@ def fold(events: DataFrame) -> DataFrame:
 
     Order is by seq, ties by kind, role and text. A delta before any set event starts the slot's text; a later
     set event drops what came before; a role is the last one named; a slot whose last event is `delete` is gone.
-    A null text is empty; unknown kinds count as deltas.
+    A null text is empty; unknown kinds count as deltas. Equal events are events each. An empty log gives no messages. Other
+    columns are not read, whatever their names. A slot's events are one group, and render() makes one row of a conversation:
+    that is the size of the result itself, and the one bound is that a conversation fits in a row.
     """
     slot = Window.partitionBy("conv", "slot")
     order = [F.col("seq"), F.col("kind"), F.col("role"), F.col("text")]
@@ -58,6 +60,18 @@ def messages(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     return src.select("conv", F.row_number().over(w).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+def streamed(log: DataFrame) -> DataFrame:
+    """The log of finished messages as it would have been streamed, with the same final texts: an assistant's message starts
+    as a draft, is regenerated and comes in two deltas; another's is sent empty and edited."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    assistant = F.col("role") == "assistant"
+    event = lambda seq, kind, text: F.struct(F.lit(seq).cast("bigint").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    drafted = F.array(event(0, "message", F.lit("...")), event(1, "regenerate", F.lit("")), event(2, "delta", first), event(3, "delta", rest))
+    edited = F.array(event(0, "message", F.lit("")), event(1, "edit", F.col("text")))
+    return log.select("conv", "slot", "role", F.explode(F.when(assistant, drafted).otherwise(edited)).alias("e")).select("conv", "slot", "e.seq", "e.kind", "role", "e.text")
+
+
 def render(final: DataFrame) -> DataFrame:
     """(conv, formatted, mask): each turn as OPEN role newline text CLOSE, texts and roles escaped; mask has, per turn in
     order, the code points from the turn's start to its text and the length of the text if it is under the loss."""

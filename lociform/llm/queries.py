@@ -19,9 +19,9 @@ def tokenizer(name: str) -> str:
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rule_ledger as R
 
-    book = R.ledger(_table(spark, sf_dir, "documents"))
+    book = R.stored(R.ledger(_table(spark, sf_dir, "documents")))
     book = R.apply_policy(R.apply_policy(book, "base", "base_kept"), "v2")
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "n_lines", "n_bangs", "fail_bits")
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "n_lines", "n_bangs", "fail_bits", R.sole_rule("v2").alias("sole_rule"))
 
 
 def op10_bpe_speculative(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op7_chat_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = F.lit("</s>[INST] ok [/INST]")
     own = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), probe.alias("text"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return C.read_back(C.format_events(C.messages(rows))).withColumnRenamed("conv", "conv_id")
+    return C.read_back(C.format_events(C.streamed(C.messages(rows)))).withColumnRenamed("conv", "conv_id")
 
 
 def op3_rake_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,28 +69,33 @@ def op3_rake_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mix(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-def _rake_sql(sweeps: int = 12, budget: float = 0.7) -> str:
-    """The same raking with every sweep written out."""
-    powers = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+def _rake_sql(budget: float = 0.7, tolerance: float = 1e-4, block: int = 4, most: int = 48) -> str:
+    """The same raking as a recursion of sweeps, and the margins' targets by the prefix of values that give all they have."""
+    powers = {"source": 0.7, "lang": 0.8, "topic": 0.8}
     steps = [r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
   CASE WHEN contains(text, '|') THEN 'table' WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic,
   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),
-c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)""".replace("\\\\", "\\")]
+c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)"""]
     for m, p in powers.items():
-        steps.append(f"t_{m} AS (SELECT {m}, pow(t, {p}) / nullif(sum(pow(t, {p})) OVER (), 0) * sum(t) OVER () AS target FROM (SELECT {m}, sum(tokens) AS t FROM c GROUP BY {m}))")
+        steps.append(f"m_{m} AS (SELECT {m}, sum(tokens) AS t FROM c GROUP BY {m})")
+        steps.append(f"x_{m} AS (SELECT {m}, t, coalesce(sum(t) OVER (ORDER BY t, {m} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given, sum(pow(t, {p})) OVER (ORDER BY t DESC, {m} DESC) AS rest, sum(t) OVER () AS everything FROM m_{m})")
+        steps.append(f"r_{m} AS (SELECT min_by(({budget} * everything - given) / rest, t) AS rate FROM x_{m} WHERE rest > 0 AND t >= ({budget} * everything - given) / rest * pow(t, {p}))")
+        steps.append(f"t_{m} AS (SELECT {m}, least(t, rate * pow(t, {p})) AS target FROM m_{m}, r_{m})")
     joins = " ".join(f"LEFT JOIN t_{m} USING ({m})" for m in powers)
-    steps.append(f"w0 AS (SELECT c.*, 1.0::DOUBLE AS w, {', '.join(f't_{m}.target AS g_{m}' for m in powers)} FROM c {joins})")
-    k = 0
-    for _ in range(sweeps):
-        for m in powers:
-            steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (w * coalesce(g_{m} / nullif(sum(tokens * w) OVER (PARTITION BY {m}), 0), 1.0) AS w) FROM w{k})")
-            k += 1
-    steps.append(f"r AS (SELECT source, lang, topic, round(w, 9) AS weight FROM w{k})")
-    steps.append(f"p AS (SELECT *, round(least(1.0, weight * {budget}), 9) AS probability FROM d JOIN r USING (source, lang, topic))")
+    miss = ", ".join(f"abs(sum(tokens * p) OVER (PARTITION BY {m}) - g_{m}) / {budget} / nullif(sum(tokens) OVER (), 0)" for m in powers)
+    src = "s"
+    for m in powers:
+        w = f"OVER (PARTITION BY {m})"
+        src = f"""(SELECT * EXCLUDE (p, have, fixed, free), CASE WHEN g_{m} IS NULL OR have <= 0 THEN p WHEN g_{m} <= have THEN p * g_{m} / have WHEN p >= 1 OR free <= 0 THEN p
+  ELSE least(1, p * greatest(1, (g_{m} - fixed) / free)) END AS p FROM (SELECT *, sum(tokens * p) {w} AS have, sum(CASE WHEN p >= 1 THEN tokens * p ELSE 0 END) {w} AS fixed, sum(CASE WHEN p < 1 THEN tokens * p ELSE 0 END) {w} AS free FROM {src}))"""
+    cols = "source, lang, topic, tokens, g_source, g_lang, g_topic"
+    steps.append(f"s0 AS (SELECT 0 AS k, c.*, {', '.join(f't_{m}.target AS g_{m}' for m in powers)}, {budget}::DOUBLE AS p FROM c {joins})")
+    steps.append(f"s AS (SELECT k, {cols}, p, max(worst) OVER () AS miss FROM (SELECT *, greatest({miss}) AS worst FROM s0) UNION ALL SELECT k, {cols}, p, max(worst) OVER () AS miss FROM (SELECT *, greatest({miss}) AS worst FROM (SELECT k + 1 AS k, {cols}, p FROM {src} WHERE k < {most} AND (k % {block} <> 0 OR miss > {tolerance}))))")
+    steps.append(f"r AS (SELECT source, lang, topic, round(p / {budget}, 9) AS weight, round(p, 9) AS probability, round(coalesce(miss, 0), 5) AS miss FROM s WHERE k = (SELECT max(k) FROM s))")
     return ",\n".join(steps) + """
 SELECT doc_id, source, lang, topic, n_tokens, weight, probability,
-       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT / 4294967296.0 < probability AS selected FROM p"""
+       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT / 4294967296.0 < probability AS selected, miss FROM d JOIN r USING (source, lang, topic)"""
 
 
 def op1_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +192,8 @@ b AS (
     + 32 * (2 * n_bangs > n_words)::INT)::BIGINT AS fail_bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
-       (fail_bits & 63) = 0 AS kept, n_lines, n_bangs, fail_bits
+       (fail_bits & 63) = 0 AS kept, n_lines, n_bangs, fail_bits,
+       CASE fail_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines'
+         WHEN 16 THEN 'word_length' WHEN 32 THEN 'shouting' END AS sole_rule
 FROM b""",
 }

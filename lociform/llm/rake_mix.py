@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
-Documents are summed to cells of their margins (source, language, topic). Raking scales the cells' token weights to
-one margin's targets after the other until all hold; a document is then sampled with the probability that its cell's
-weight gives, decided by a hash of its id. Everything is DataFrame functions; only cells are ever raked.
+Documents are summed to cells of their margins (source, language, topic). Raking scales the cells' sampling probabilities to
+one margin's target tokens after the other until every margin holds within a tolerance. A probability never exceeds 1: what
+a full cell cannot give is taken from the other cells of the margin's value, and what a whole value cannot give from the other
+values. A document is then sampled with its cell's probability, decided by a hash of its id. Everything is DataFrame
+functions; only cells are ever raked.
 """
 
 from __future__ import annotations
@@ -10,11 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, spread_join
 
-SWEEPS = 12
+#: Raking stops when no margin misses a target by more than this share of the sample's tokens, looked at after every block of
+#: sweeps, or after the most sweeps, where targets contradict each other.
+TOLERANCE = 1e-4
+BLOCK_SWEEPS = 4
+MOST_SWEEPS = 48
 #: Margin -> exponent: a value's target share is its share of tokens to this power, made to sum to one.
-TEMPERING = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+TEMPERING = {"source": 0.7, "lang": 0.8, "topic": 0.8}
 #: Share of all tokens that the sample holds where no probability reaches 1.
 BUDGET = 0.7
 #: Cells up to this number are raked in one task, with no shuffle; more are raked by grouped sums and joins.
@@ -35,35 +41,77 @@ def cells_of(rows: DataFrame, margins: list[str]) -> DataFrame:
     return rows.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
 
 
-def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
-    """(margin, target): tokens that the margin's values should have, in sum as many as there are."""
-    t = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t"))
-    total = t.agg(F.sum(F.pow("t", F.lit(power))).alias("s"), F.sum("t").alias("a"))
-    return t.crossJoin(F.broadcast(total)).select(margin, F.coalesce(F.pow("t", F.lit(power)) / F.expr("nullif(s, 0)") * F.col("a"), F.lit(0.0)).alias("target"))
+def tempered(cells: DataFrame, margin: str, power: float, budget: float = BUDGET) -> DataFrame:
+    """(margin, target): tokens that the sample should have of each value, in sum `budget` of all tokens.
 
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, one_task: int = ONE_TASK_CELLS) -> DataFrame:
-    """`cells` with a column weight. A target frame has (margin, target in tokens); values without one keep their
-    weight, as do cells without tokens."""
+    Targets are in proportion to the tokens' `power`; a value that has fewer gives all it has, and the others share the rest.
+    """
+    t = materialize(cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t")), "rake-margin")
+    rate, full = 0.0, -1
+    while True:
+        whole = F.col("t") < rate * F.pow("t", F.lit(power))
+        s = t.agg(F.sum("t").alias("all"), F.sum(F.when(whole, F.col("t")).otherwise(0.0)).alias("given"), F.sum(F.when(whole, 0.0).otherwise(F.pow("t", F.lit(power)))).alias("open"), F.count_if(whole).alias("n")).first()
+        if s.n <= full or not s.open:
+            break
+        full, rate = s.n, (budget * s["all"] - s.given) / s.open
+    return t.select(margin, F.least(F.col("t"), rate * F.pow("t", F.lit(power))).alias("target"))
+
+
+def _step(have: Column, full: Column, free: Column, target: Column) -> Column:
+    """The probability of a cell after a margin's step: shrunk in proportion, or grown by what cells at 1 cannot give."""
+    p = F.col("p")
+    grown = F.when((p >= 1.0) | (free <= 0.0), p).otherwise(F.least(F.lit(1.0), p * F.greatest(F.lit(1.0), F.try_divide(target - full, free))))
+    return F.when(target.isNull() | (have <= 0.0), p).when(target <= have, p * F.try_divide(target, have)).otherwise(grown)
+
+
+def _tokens() -> tuple[Column, Column, Column]:
+    """Of the cells of a value: sampled tokens, those of cells at probability 1, those of the others."""
+    have = F.col("tokens") * F.col("p")
+    return F.sum(have), F.sum(F.when(F.col("p") >= 1.0, have).otherwise(0.0)), F.sum(F.when(F.col("p") < 1.0, have).otherwise(0.0))
+
+
+def misses(cells: DataFrame, margins: list[str]) -> DataFrame:
+    """(margin, value, have, target, miss) of raked cells that still have their target columns; miss is a share of all targets."""
+    out = None
+    for m in margins:
+        g = cells.where(F.col(f"__{m}").isNotNull()).groupBy(F.col(m).alias("value")).agg(F.sum(F.col("tokens") * F.col("p")).alias("have"), F.max(f"__{m}").alias("target"))
+        g = g.select(F.lit(m).alias("margin"), "value", "have", "target")
+        out = g if out is None else out.unionAll(g)
+    every = out.groupBy("margin").agg(F.sum("target").alias("__all"))
+    return out.join(F.broadcast(every), "margin").select("margin", "value", "have", "target", F.coalesce(F.try_divide(F.abs(F.col("have") - F.col("target")), F.col("__all")), F.lit(0.0)).alias("miss"))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], start: float = BUDGET, tolerance: float = TOLERANCE, most: int = MOST_SWEEPS, one_task: int = ONE_TASK_CELLS) -> tuple[DataFrame, float]:
+    """(`cells` with their probability p and the targets as columns __<margin>, the largest miss).
+
+    A target frame has (margin, target in tokens). Values without a target keep their probabilities; cells without tokens
+    keep theirs too.
+    """
     x = cells
     for m, t in targets.items():
         x = x.join(t.withColumnRenamed("target", f"__{m}"), m, "left")
-    x = materialize(x.withColumn("weight", F.lit(1.0)), "rake")
+    x = materialize(x.withColumn("p", F.lit(float(start))), "rake")
     small = x.count() <= one_task
-    if small:
-        x = x.coalesce(1)
-    for _ in range(sweeps):
-        for m in targets:
-            have = F.expr("tokens * weight")
-            if small:
-                s = F.sum(have).over(Window.partitionBy(m))
-                x = x.withColumn("weight", F.col("weight") * F.coalesce(F.col(f"__{m}") / F.nullif(s, F.lit(0.0)), F.lit(1.0)))
-            else:
-                now = materialize(x.groupBy(m).agg(F.sum(have).alias("__s")), "rake")
-                x = x.join(now, m).withColumn("weight", F.col("weight") * F.coalesce(F.col(f"__{m}") / F.expr("nullif(__s, 0)"), F.lit(1.0))).drop("__s")
-        if not small:
-            x = materialize(x, "rake")
-    return x.drop(*[f"__{m}" for m in targets])
+    sweeps = 0
+    while True:
+        miss = misses(x, list(targets)).agg(F.max("miss")).first()[0] or 0.0
+        if miss <= tolerance or sweeps >= most:
+            return x, miss
+        y = x.coalesce(1) if small else x
+        for _ in range(BLOCK_SWEEPS):
+            for m in targets:
+                if small:
+                    w = Window.partitionBy(m)
+                    y = y.withColumn("p", _step(*(s.over(w) for s in _tokens()), F.col(f"__{m}")))
+                else:
+                    have, full, free = _tokens()
+                    now = materialize(y.groupBy(m).agg(have.alias("__have"), full.alias("__full"), free.alias("__free")), "rake")
+                    y = y.join(now, m).withColumn("p", _step(F.col("__have"), F.col("__full"), F.col("__free"), F.col(f"__{m}"))).drop("__have", "__full", "__free")
+            if not small:
+                y = materialize(y, "rake")
+        y = materialize(y, "rake") if small else y
+        discard(x)
+        x, sweeps = y, sweeps + BLOCK_SWEEPS
 
 
 def chance(key: Column) -> Column:
@@ -71,23 +119,33 @@ def chance(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", tempering: dict[str, float] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
-    """`keep` columns, source, lang, topic, n_tokens, weight, probability and selected, one row per input row.
+def mix(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", tempering: dict[str, float] | None = None, budget: float = BUDGET, topic: str | None = None) -> DataFrame:
+    """`keep` columns, source, lang, topic, n_tokens, weight, probability, selected and miss, one row per input row.
 
-    probability = min(1, budget x weight): a document is never repeated, so a cell whose weight exceeds 1 / budget
-    falls short of its target by the excess. Null source or language is a value of its own, written as empty.
+    probability is calibrated: the expected tokens of every source, language and topic are their targets up to `miss`, the
+    largest one left. weight = probability / budget. `topic` names a column with the documents' topics; without it a text's
+    form is its topic. Null source, language or topic is a value of its own, written as empty; a null or empty text has no
+    tokens and keeps its cell's probability. Rows repeated or with one key are decided alike. A very long text is counted
+    whole. An empty table gives no rows. Kept columns must not be named like the result's.
     """
     tempering = TEMPERING if tempering is None else tempering
     t = F.col(f"`{text}`")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__keep"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
-        topic_of(t).alias("topic"), tokens_of(t).alias("n_tokens"), chance(F.col(f"`{key}`")).alias("chance"),
+        (topic_of(t) if topic is None else F.coalesce(F.col(f"`{topic}`").cast("string"), F.lit(""))).alias("topic"), tokens_of(t).alias("n_tokens"), chance(F.col(f"`{key}`")).alias("chance"),
     )
     margins = ["source", "lang", "topic"]
     cells = materialize(cells_of(rows, margins), "rake-cells")
-    raked = materialize(rake(cells, {m: tempered(cells, m, p) for m, p in tempering.items()}, sweeps).select(*margins, F.round("weight", 9).alias("weight")), "rake-weights")
-    out = rows.join(raked, margins).withColumn("probability", F.round(F.least(F.lit(1.0), F.col("weight") * budget), 9))
-    return out.select("__keep.*", *margins, "n_tokens", "weight", "probability", (F.col("chance") < F.col("probability")).alias("selected"))
+    raked, miss = rake(cells, {m: tempered(cells, m, p, budget) for m, p in tempering.items()}, budget)
+    raked = raked.select(*margins, F.round(F.col("p") / budget, 9).alias("weight"), F.round("p", 9).alias("probability"), F.col("n_docs").alias("n"))
+    out = spread_cells(rows, raked, margins)
+    return out.select("__keep.*", *margins, "n_tokens", "weight", "probability", (F.col("chance") < F.col("probability")).alias("selected"), F.round(F.lit(miss), 5).alias("miss"))
+
+
+def spread_cells(rows: DataFrame, cells: DataFrame, margins: list[str]) -> DataFrame:
+    """`rows` joined to their cell; documents of large cells stay where they are."""
+    key = F.concat_ws("\x01", *margins)
+    return spread_join(rows.withColumn("__cell", key), cells.withColumn("__cell", key).drop(*margins), "__cell").drop("__cell")
 
 
 def mix_stage(docs: DataFrame, budget: float = BUDGET) -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once per document. The ledger keeps the measurements and one failure bit per rule;
-policies are versioned masks over those bits and are applied, compared and ablated without reading a text again.
+Every rule is evaluated once per document. The ledger keeps the measurements and one failure bit per rule and is stored;
+policies are versioned masks over those bits and are applied, compared and ablated on the stored ledger without reading a
+text again.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_limits
+from .common import batch_limits, materialize
 
 #: Symbols counted by n_symbols.
 SYMBOLS = "#*$%&|<>"
@@ -89,7 +90,7 @@ def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None, r
     """`keep` columns (default doc_id), the measurements and `fail_bits`, one row per input row.
 
     A null text has no words. Empty tables give empty ledgers; repeated rows give repeated rows; a kept column
-    named like a measurement is refused, since one of the two would hide the other.
+    named like a measurement is refused, since one of the two would hide the other. A very long text is measured whole.
     """
     keep = ["doc_id"] if keep is None else keep
     rules = RULES if rules is None else rules
@@ -106,25 +107,52 @@ def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None, r
     return out.withColumn("fail_bits", bits)
 
 
-def mask(policy: str, rules: dict[str, str] | None = None) -> int:
+def stored(book: DataFrame) -> DataFrame:
+    """The ledger, written once: what is computed from it does not measure texts again."""
+    return materialize(book, "ledger")
+
+
+def policy_table(spark, rules: dict[str, str] | None = None, policies: dict[str, list[str]] | None = None) -> DataFrame:
+    """(policy, rule, bit) of all versions, to be stored beside a ledger."""
+    names = list(RULES if rules is None else rules)
+    rows = [(p, r, 1 << names.index(r)) for p, rs in (POLICIES if policies is None else policies).items() for r in rs]
+    return spark.createDataFrame(rows, "policy string, rule string, bit bigint")
+
+
+def mask(policy: str, rules: dict[str, str] | None = None, policies: dict[str, list[str]] | None = None) -> int:
     names = list(RULES if rules is None else rules)
-    return sum(1 << names.index(r) for r in POLICIES[policy])
+    return sum(1 << names.index(r) for r in (POLICIES if policies is None else policies)[policy])
 
 
-def apply_policy(book: DataFrame, policy: str, column: str = "kept") -> DataFrame:
-    return book.withColumn(column, F.col("fail_bits").bitwiseAND(F.lit(mask(policy)).cast("bigint")) == 0)
+def failed(policy: str, rules: dict[str, str] | None = None, policies: dict[str, list[str]] | None = None):
+    """The bits of the policy's rules that a document of the ledger fails."""
+    return F.col("fail_bits").bitwiseAND(F.lit(mask(policy, rules, policies)).cast("bigint"))
 
 
-def ablation(book: DataFrame, policy: str) -> DataFrame:
+def apply_policy(book: DataFrame, policy: str, column: str = "kept", rules: dict[str, str] | None = None, policies: dict[str, list[str]] | None = None) -> DataFrame:
+    """`book` with whether the policy keeps the document; `rules` are those that the ledger was made with."""
+    return book.withColumn(column, failed(policy, rules, policies) == 0)
+
+
+def sole_rule(policy: str, rules: dict[str, str] | None = None, policies: dict[str, list[str]] | None = None):
+    """The rule without which the policy would keep the document that it rejects; null where there is none or several."""
+    bits, names = failed(policy, rules, policies), list(RULES if rules is None else rules)
+    alone = F.lit(None).cast("string")
+    for r in (POLICIES if policies is None else policies)[policy]:
+        alone = F.when(bits == 1 << names.index(r), r).otherwise(alone)
+    return alone
+
+
+def ablation(book: DataFrame, policy: str, rules: dict[str, str] | None = None, policies: dict[str, list[str]] | None = None) -> DataFrame:
     """Per rule of the policy: documents that fail it, that only it rejects, and those kept without it.
 
     Documents are first counted by their failure bits (at most 2^rules groups, combined before the shuffle);
     the rest is bit arithmetic on those few rows.
     """
-    every = mask(policy)
-    names = list(RULES)
+    every = mask(policy, rules, policies)
+    names = list(RULES if rules is None else rules)
     seen = book.groupBy(F.col("fail_bits").bitwiseAND(F.lit(every).cast("bigint")).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
-    rule = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << names.index(r)).cast("bigint").alias("bit")) for r in POLICIES[policy]])).alias("r")
+    rule = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << names.index(r)).cast("bigint").alias("bit")) for r in (POLICIES if policies is None else policies)[policy]])).alias("r")
     x = seen.select("bits", "n", rule).select("bits", "n", "r.rule", "r.bit")
     zero = F.lit(0).cast("bigint")
     hit = F.col("bits").bitwiseAND(F.col("bit")) != 0
@@ -138,7 +166,7 @@ def ablation(book: DataFrame, policy: str) -> DataFrame:
 
 
 def quality_stage(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The documents that the policy keeps, with their own columns."""
+    """The documents that the policy keeps, with their own columns. A null or empty text has no words and goes."""
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("text"))
     return apply_policy(ledger(packed, keep=["row"]), policy).where("kept").select("row.*")

@@ -80,7 +80,7 @@ def without_passages(rows, window=200):
 def sampled(rows):
     from test_rake_mix import brute
 
-    got, *_ = brute([(r[0], r[1], r[3], r[2]) for r in rows], rake_mix.SWEEPS, rake_mix.BUDGET)
+    got, *_ = brute([(r[0], r[1], r[3], r[2]) for r in rows], rake_mix.BUDGET)
     ids = {r[0] for r in got if r[-1]}
     return [r for r in rows if r[0] in ids]
 
