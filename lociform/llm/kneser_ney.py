@@ -2,9 +2,10 @@
 
 Words are 64-bit hashes, computed for all bytes of a batch at once. A worker counts the bigrams of a batch, packs
 the distinct ones by ranges of their context's hash and ships the packs; a reducer merges the packs of a range, so
-context totals are complete there, and writes the range as a file of sorted keys and counts. Word-level counts
-(occurrences, continuations, context statistics) take the same way by ranges of the word's hash. Scoring workers
-map those files and look up the distinct keys of a batch in ascending order, which reads the files forward once.
+writes the range as a file of sorted keys and counts. Bigrams of hot contexts (a sample names them, which only decides where
+they are counted) are ranged by the word instead. Word-level counts (occurrences, continuations, context statistics) are
+sums over all ranges and take the same way by ranges of the word's hash. Scoring workers map those files, each once, and look up
+the distinct keys of a batch in ascending order, which reads the files forward once.
 
 The folder in spark.checkpoint.dir must be a path that workers can map (a local or network file system).
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_speculative import slices
-from .common import as_binary, batch_limits, parts_for, scratch
+from .common import as_binary, batch_limits, discard, materialize, parts_for, plan_bytes, scratch
 
 #: Input bytes for each hash range, and the least number of ranges.
 RANGE_BYTES = 4 << 20
@@ -35,8 +36,14 @@ SCORE_BYTES = 4 << 20
 #: Passes over the texts while counting, and the count from which a bigram stands in the file of frequent ones.
 PASSES = 2
 MANY = 255
-#: Text bytes hashed at a time.
+#: Text bytes hashed at a time; a longer text is cut at white space.
 HASH_BYTES = 1 << 19
+#: Text bytes, about, of the sample that names hot contexts, and the share of a range's tokens that makes a context hot.
+SAMPLE_BYTES = 64 << 20
+HOT_SHARE = 0.125
+
+#: Files that a worker maps at a time; the one opened first is closed when it would open more.
+OPEN_MOST = 16_384
 
 _TOP = np.uint64(0xFFFF << 48)
 _LOW = np.uint64((1 << 48) - 1)
@@ -98,21 +105,51 @@ def tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.r_[words, np.full(n_docs, END)][order], every[order]
 
 
+def cuts(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, document of each piece): texts, those beyond HASH_BYTES cut at the first white space from there on."""
+    long = np.flatnonzero(np.diff(offsets) > HASH_BYTES)
+    if not len(long):
+        return offsets, np.arange(len(offsets) - 1)
+    space, more, owner = _byte_values()[1], [], []
+    for k in long.tolist():
+        at, end = int(offsets[k]) + HASH_BYTES, int(offsets[k + 1])
+        while at < end:
+            found = -1
+            for s in range(at, end, HASH_BYTES):
+                hit = space[data[s : min(end, s + HASH_BYTES)]]
+                if hit.any():
+                    found = s + int(hit.argmax())
+                    break
+            if found < 0:
+                break
+            more.append(found)
+            owner.append(k)
+            at = found + HASH_BYTES
+    docs = np.r_[np.arange(len(offsets) - 1), np.array(owner, np.int64)]
+    starts = np.r_[offsets[:-1], np.array(more, np.int64)]
+    order = np.lexsort((starts, docs))
+    return np.r_[starts[order], offsets[-1]], docs[order]
+
+
 def all_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, contexts, document of each) of a column, hashed a slice of texts at a time: what is needed for each byte of a
+    """(hashes, contexts, document of each) of a column, hashed a slice at a time: what is needed for each byte of a
     text is only held for a slice."""
     offsets, data = as_binary(column)
+    offsets, owner = cuts(offsets, data)
     group = offsets[:-1] // HASH_BYTES
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(group) else []
-    words, before, docs = [], [], []
+    words, docs = [], []
     for a, b in zip(starts, [*starts[1:], len(offsets) - 1], strict=True):
         w, d = tokens(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-        words.append(w)
-        before.append(contexts(w, d))
-        docs.append(d + a)
+        d = d + a
+        # the end mark of a piece that goes on is none
+        goes_on = np.r_[owner[1:] == owner[:-1], False][d] & np.r_[d[1:] != d[:-1], True]
+        words.append(w[~goes_on])
+        docs.append(owner[d[~goes_on]])
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(words), np.concatenate(before), np.concatenate(docs)
+    words, docs = np.concatenate(words), np.concatenate(docs)
+    return words, contexts(words, docs), docs
 
 
 def contexts(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -121,9 +158,13 @@ def contexts(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return before
 
 
-def bigram_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The upper 16 bits are the context's, so keys of a context range are a key range."""
-    return (context & _TOP) | (mix64(context * np.uint64(3) + word) & _LOW)
+def bigram_keys(context: np.ndarray, word: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The upper 16 bits are the context's, or the word's under a hot context (hot: ascending), so a range is a key range."""
+    top = context
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+        top = np.where(hot[at] == context, mix64(word ^ context), context)
+    return (top & _TOP) | (mix64(context * np.uint64(3) + word) & _LOW)
 
 
 def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -177,22 +218,45 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 _WORDS = ["<u8", "<u4", "<u4", "<u8", "<u4", "<u4", "<u4"]  # word, count, continuations, context total, bigram types seen once, twice, more
 
 
-def _count(ranges: int, passes: int, turn: int):
+def _hot(texts: DataFrame, ranges: int) -> np.ndarray:
+    """Contexts, ascending, with at least HOT_SHARE of a range's tokens in a sample: at most ranges / HOT_SHARE of them.
+
+    They only decide where bigrams are counted, so the sample changes no result.
+    """
+    share = min(1.0, SAMPLE_BYTES / max(1, plan_bytes(texts)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches, COUNT_BYTES):
+            _, before, _ = all_tokens(batch.column(0))
+            u, n = np.unique(before, return_counts=True)
+            # a context that is hot overall has its share in some piece
+            u, n = (x[n >= HOT_SHARE * len(before) / ranges] for x in (u, n))
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n, pa.int64()), pa.array(np.r_[len(before), np.zeros(len(u) - 1, np.int64)] if len(u) else [], pa.int64())], names=["u", "n", "tokens"])
+
+    sample = texts.sample(False, share, 42) if share < 1 else texts
+    found = materialize(sample.mapInArrow(run, "u bigint, n bigint, tokens bigint"), "kneser-ney-hot")
+    total = found.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    rows = found.groupBy("u").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_SHARE * total / ranges).select("u").collect()
+    discard(found)
+    return np.sort(np.unique(np.r_[np.array([r.u for r in rows], np.int64).view(np.uint64), BEGIN]))
+
+
+def _count(ranges: int, passes: int, turn: int, hot: np.ndarray):
     """Training texts to packs of distinct bigrams by context range, for the ranges of this pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, COUNT_BYTES):
             words, before, _ = all_tokens(batch.column(0))
-            mine = range_of(before, ranges) % passes == turn
-            words, before = words[mine], before[mine]
-            key = bigram_keys(before, words)
+            key = bigram_keys(before, words, hot)
+            mine = range_of(key, ranges) % passes == turn
+            words, before, key = words[mine], before[mine], key[mine]
             order = np.argsort(key, kind="stable")
             k = key[order]
             first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
             count = np.diff(np.r_[first, len(k)]).astype(np.uint32)
             u, w = before[order[first]], words[order[first]]
             where, blobs = [], []
-            bounds = np.searchsorted(range_of(u, ranges), np.arange(ranges + 1))
+            bounds = np.searchsorted(range_of(k[first], ranges), np.arange(ranges + 1))
             for r in range(turn, ranges, passes):
                 a, b = bounds[r], bounds[r + 1]
                 if a < b:
@@ -216,7 +280,7 @@ def _store(path: str, *arrays: np.ndarray) -> None:
     os.replace(part, path)
 
 
-def _reduce_bigrams(folder: str, ranges: int):
+def _reduce_bigrams(folder: str, ranges: int, hot: np.ndarray):
     """Packs of one context range to its file; gives word packs (context statistics, continuations) and counts of counts."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -229,7 +293,7 @@ def _reduce_bigrams(folder: str, ranges: int):
             cs.append(c)
         u, w, c = map(np.concatenate, (us, ws, cs))
         del us, ws, cs
-        key = bigram_keys(u, w)
+        key = bigram_keys(u, w, hot)
         order = np.argsort(key, kind="stable")
         k = key[order]
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
@@ -302,6 +366,7 @@ class Model:
     bigram: tuple[float, float, float]
     unigram: tuple[float, float, float]
     types_by: tuple[int, int, int]  # words with one, two, more continuations
+    hot: np.ndarray  # contexts whose bigrams are ranged by the word
     _open: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -314,10 +379,13 @@ class Model:
                 self._open[kind, r] = None
             else:
                 n = size // sum(np.dtype(k).itemsize for k in kinds)
-                at, out = 0, []
+                # one mapping a file, whatever its arrays, and only as many files open as OPEN_MOST
+                whole, at, out = np.memmap(path, np.uint8, "r"), 0, []
                 for k in kinds:
-                    out.append(np.memmap(path, k, "r", at, (n,)))
+                    out.append(whole[at : at + n * np.dtype(k).itemsize].view(k))
                     at += n * np.dtype(k).itemsize
+                while len(self._open) >= OPEN_MOST:
+                    self._open.pop(next(iter(self._open)))
                 self._open[kind, r] = out
         return self._open[kind, r]
 
@@ -345,7 +413,7 @@ class Model:
         types = max(1, self.types)
         spare = (d[1] * e1 + d[2] * e2 + d[3] * e3) / types if self.types else 1.0
         low = np.maximum(cont - d[np.minimum(cont, 3)], 0) / types + spare / (self.words + 1)
-        keys, kback = np.unique(bigram_keys(before, words), return_inverse=True)
+        keys, kback = np.unique(bigram_keys(before, words, self.hot), return_inverse=True)
         (pair,) = self._find("bigram", ["<u8", "u1"], keys)
         if len(many := np.flatnonzero(pair == MANY)):
             (pair[many],) = self._find("often", ["<u8", "<u4"], keys[many])
@@ -360,7 +428,12 @@ class Model:
 
 
 def fit(texts: DataFrame, text: str = "text") -> Model:
-    """Count the texts (null: empty) and store the model."""
+    """Count the texts (null: empty) and store the model.
+
+    Texts repeated in the table are counted as often; a very long text is hashed in pieces; an empty table gives a model that
+    scores every word alike. Counts of equal keys are sums, so ties decide nothing. Columns other than text are not read,
+    whatever their names. The order is 2: see the README for the figures of trigrams.
+    """
     spark: SparkSession = texts.sparkSession
     batch_limits(spark)
     folder = scratch(spark, "kneser-ney")
@@ -372,11 +445,12 @@ def fit(texts: DataFrame, text: str = "text") -> Model:
     before = spark.conf.get(key)
     spark.conf.set(key, "true")
     packs = "kind int, range int, pack binary"
+    hot = _hot(src, ranges)
     try:
         # every pass reads the texts again and ships its share of the ranges, so that less is on the way at a time
         for turn in range(PASSES):
-            sent = src.mapInArrow(_count(ranges, PASSES, turn), "range int, pack binary")
-            sent.groupBy("range").applyInArrow(_reduce_bigrams(local, ranges), packs).write.parquet(f"{folder}/contexts/{turn}")
+            sent = src.mapInArrow(_count(ranges, PASSES, turn, hot), "range int, pack binary")
+            sent.groupBy("range").applyInArrow(_reduce_bigrams(local, ranges, hot), packs).write.parquet(f"{folder}/contexts/{turn}")
         second = spark.read.schema(packs).parquet(*[f"{folder}/contexts/{t}" for t in range(PASSES)])
         stats = second.where("kind = 2").select("pack").collect()  # five numbers a range
         sums = second.where("kind = 1").groupBy("range").applyInArrow(_reduce_words(local), "range int, sums array<bigint>").collect()
@@ -386,11 +460,12 @@ def fit(texts: DataFrame, text: str = "text") -> Model:
     old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     counts = np.array([np.frombuffer(bytes(r.pack), "<i8") for r in stats]).reshape(-1, 5).sum(0).tolist()
     s = np.array([r.sums for r in sums], np.int64).reshape(-1, 8).sum(0).tolist()
-    return Model(local, ranges, s[0], s[1], counts[4], discounts(*counts[:4]), discounts(*s[3:7]), (s[3], s[4], s[7]))
+    return Model(local, ranges, s[0], s[1], counts[4], discounts(*counts[:4]), discounts(*s[3:7]), (s[3], s[4], s[7]), hot)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """`keep` columns, n_tokens, n_known, base_score and score, one row per input row. A null text is its end mark."""
+    """`keep` columns, n_tokens, n_known, base_score and score, one row per input row. A null text is its end mark. Kept columns must not be
+    named like the result's; others are not read."""
     batch_limits(docs.sparkSession)
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
 

@@ -110,3 +110,28 @@ def test_empty(spark):
     assert model.tokens == 0 and K.score(df, model, ["doc_id"]).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     assert K.score(one, model, ["doc_id"]).first().n_known == 0
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rows = [*texts(), "y" * 5000 + " z", " " * 3000]
+    whole = K.all_tokens(pa.array(rows))
+    monkeypatch.setattr(K, "HASH_BYTES", 64)
+    for a, b in zip(whole, K.all_tokens(pa.array(rows)), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_hot_contexts_and_many_ranges(spark, monkeypatch):
+    rows = texts()
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id bigint, text string")
+    n, want, _ = brute(rows, rows)
+    results = []
+    for share, ranges, most in ((0.125, 64, 16384), (1e9, 64, 16384), (1e-9, 64, 7), (0.125, 7000, 300)):
+        monkeypatch.setattr(K, "HOT_SHARE", share)
+        monkeypatch.setattr(K, "LEAST_RANGES", ranges)
+        monkeypatch.setattr(K, "OPEN_MOST", most)
+        model = K.fit(df)
+        assert model.ranges == ranges and K.BEGIN in model.hot
+        results.append(sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in K.score(df, model, ["doc_id"]).collect()))
+    assert all(r == sorted((k, *w) for k, w in enumerate(want)) for r in results)
