@@ -22,8 +22,8 @@ from .common import batch_limits
 
 #: The public pattern by which byte-level vocabularies of this kind split a text (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words remembered by a worker; the memory is emptied when it is full.
-CACHE_WORDS = 400_000
+#: Words remembered by a worker in each of two generations; when the younger is full it becomes the older.
+CACHE_WORDS = 300_000
 #: A word longer than this is merged with a heap and is not remembered.
 LONG_WORD = 256
 
@@ -64,6 +64,7 @@ class Codec:
         self.pair_keys, self.pair_good = np.zeros(0, np.int64), np.zeros(0, bool)
         self.fresh: dict[int, bool] = {}
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.counts = {"proposed": 0, "failed": 0}
 
     def merge(self, word: bytes) -> list[int]:
@@ -187,10 +188,15 @@ class Codec:
         words: set = set()
         for x in split:
             words.update(x)
-        new = [w for w in words if w not in self.memory]
-        if len(self.memory) + len(new) > CACHE_WORDS:
-            self.memory = {}
-            new = list(words)
+        if len(self.memory) > CACHE_WORDS:
+            self.older, self.memory = self.memory, {}
+        new = []
+        for w in words:
+            if w not in self.memory:
+                if w in self.older:
+                    self.memory[w] = self.older[w]
+                else:
+                    new.append(w)
         got = self.learn([w for w in new if isinstance(w, str)])
         got |= {w: np.array([w], "<u4").tobytes() for w in new if not isinstance(w, str)}
         self.memory.update(got)

@@ -10,6 +10,7 @@ without the others.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
 import zlib
@@ -34,8 +35,8 @@ END_ID = 2
 #: Input bytes of a partition, and the most partitions; beyond them partitions grow, and a task's memory does not.
 PART_BYTES = 6 << 20
 PARTS_MOST = 100_000
-#: Pieces remembered by a worker; the memory is emptied when it is full.
-CACHE_WORDS = 500_000
+#: Pieces remembered by a worker in each of two generations; when the younger is full it becomes the older.
+CACHE_WORDS = 450_000
 
 
 #: Marks that end a piece of letters (fixed values); the vocabulary's splitter parts them from letters too.
@@ -62,6 +63,7 @@ class Encoder:
         self.own.no_truncation()
         self.own.no_padding()
         self.memory: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         # a character of one id that parts joined pieces, since a call for each piece costs more than its merges
         self.part, self.part_id = next((c, ids[0]) for c in PARTING if len(ids := self.own.encode(c, add_special_tokens=False).ids) == 1)
         self.letter = np.zeros(256, bool)
@@ -69,40 +71,52 @@ class Encoder:
         self.mark = np.zeros(256, bool)
         self.mark[list(MARKS)] = True
 
-    def pieces(self, text: bytes) -> list[bytes]:
-        if b"<|" in text:
-            return text.split()
-        data = np.frombuffer(text.lower(), np.uint8)
+    def pieces(self, texts: list[bytes]) -> list[list[bytes]]:
+        """The pieces of each text; the bytes of all texts are looked at together."""
+        lowered = [t if b"<|" in t else t.lower() for t in texts]
+        data = np.frombuffer(b"\n".join(lowered), np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in lowered]) - 1
         at = np.flatnonzero(self.letter[data[:-1]] & self.mark[data[1:]]) + 1
-        if not len(at):
-            return data.tobytes().split()
+        for k in [k for k, t in enumerate(lowered) if b"<|" in t]:
+            at = at[(at < ends[k] - len(lowered[k])) | (at >= ends[k])]
         # a space before every mark that follows a letter
         out = np.full(len(data) + len(at), 32, np.uint8)
         keep = np.ones(len(out), bool)
         keep[at + np.arange(len(at))] = False
         out[keep] = data
-        return out.tobytes().split()
+        raw = out.tobytes()
+        stops = (ends + np.searchsorted(at, ends)).tolist()
+        return [raw[a:b].split() for a, b in zip([0, *stops], stops, strict=False)]
 
     def learn(self, pieces: list[bytes]) -> None:
         """Remember the ids of pieces: many are joined by the parting character and cut again at its id."""
         mark = self.part.encode()
         alone = [w for w in pieces if mark in w or b"<|" in w]
+        for w, e in zip(alone, self.own.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
+            self.memory[w] = np.array(e.ids, "<u4").tobytes()
         rest = [w for w in pieces if mark not in w and b"<|" not in w] if alone else pieces
-        groups = [rest[a : a + JOINED] for a in range(0, len(rest), JOINED)] + [[w] for w in alone]
-        texts = [f" {self.part} ".join(map(bytes.decode, g)) for g in groups]
-        for g, e in zip(groups, self.own.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cut = 4 * np.flatnonzero(ids == self.part_id) if len(g) > 1 else np.zeros(0, np.int64)
-            raw = ids.tobytes()
-            for w, a, b in zip(g, [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True):
-                self.memory[w] = raw[a:b]
+        end = b" " + mark
+        joined = [(end + b" ").join(rest[a : a + JOINED]) + end for a in range(0, len(rest), JOINED)]
+        got = self.own.encode_batch_fast([t.decode() for t in joined], add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in got), "<u4")
+        cut = (4 * np.flatnonzero(ids == self.part_id)).tolist()
+        raw, at = ids.tobytes(), 0
+        for w, b in zip(rest, cut, strict=True):
+            self.memory[w] = raw[at:b]
+            at = b + 4
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t.encode()) for t in texts]
+        split = self.pieces([t.encode() for t in texts])
         words: set[bytes] = set().union(*split) if split else set()
-        new = [w for w in words if w not in self.memory]
-        if len(self.memory) + len(new) > CACHE_WORDS:
-            self.memory, new = {}, list(words)
+        if len(self.memory) > CACHE_WORDS:
+            self.older, self.memory = self.memory, {}
+        memory, older, new = self.memory, self.older, []
+        for w in words:
+            if w not in memory:
+                if w in older:
+                    memory[w] = older[w]
+                else:
+                    new.append(w)
         for a in range(0, len(new), 20_000):
             self.learn(new[a : a + 20_000])
         get = self.memory.__getitem__
@@ -114,68 +128,78 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-BIN_BITS = 18
+def bins_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * np.int64(-7046029254386353131)) >> np.int64(64 - bits)) & np.int64((1 << bits) - 1)
 
 
-def bins_of(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.int64(-7046029254386353131)) >> np.int64(64 - BIN_BITS)) & np.int64((1 << BIN_BITS) - 1)
+def frequent_pairs(keys: np.ndarray, bins: np.ndarray, bits: int, most: int, least: int) -> np.ndarray:
+    """Frequent values of `keys` (at most `most`, each at least `least` times, no two in a bin), most frequent first.
 
-
-def frequent_pairs(keys: np.ndarray, bins: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent values of `keys` (at most `most`, each at least `least` times), most frequent first.
-
-    Counts are first taken by hash; only values in the fullest of those bins are counted exactly. A value that
-    shares none of these bins occurs less often than the bins' bound, so none of the `most` is missed.
+    One value stands for each bin and is counted exactly; what shares its bin waits for a later round. Only where
+    no bin's own value is frequent are the others looked at, so nothing is found if and only if no value is frequent.
     """
-    counts = np.bincount(bins, minlength=1 << BIN_BITS)
-    full = np.sort(counts[counts >= least])[::-1]
-    if not len(full):
-        return np.zeros(0, np.int64)
-    bound = full[most - 1] if len(full) > most else least
-    values, n = np.unique(keys[(counts >= max(least, bound))[bins]], return_counts=True)
-    good = n >= least
-    values, n = values[good], n[good]
+    own = np.empty(1 << bits, np.int64)
+    own[bins] = keys
+    counts = np.bincount(bins[own[bins] == keys], minlength=1 << bits)
+    at = np.flatnonzero(counts >= least)
+    values, n = own[at], counts[at]
+    if not len(values):
+        values, n = np.unique(keys, return_counts=True)
+        values, n = values[n >= least], n[n >= least]
+    if len(values) > most:
+        bound = -np.partition(-n, most - 1)[most - 1]
+        values, n = values[n >= bound], n[n >= bound]
     return values[np.lexsort((values, -n))][:most]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, rules: int = ROUND_RULES, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, ends of the documents in them, rules as pairs, first nonterminal). No rule crosses a document's end.
 
-    Rounds go on until no pair occurs `least` times, or for `rounds` of them.
+    Rounds go on until no pair occurs `least` times, or for `rounds` of them. A pair that is too rare stays so, for
+    replacements only make pairs with new symbols; so a round looks only at places that are not known to be rare.
     """
     seq = ids.astype(np.int64)
     base = int(seq.max(initial=-1)) + 1
     pairs, top = [], base
     ends = ends.astype(np.int64)
+    live = np.ones(len(seq), bool)
     while len(seq) > 1 and rounds != 0:
         rounds = None if rounds is None else rounds - 1
-        keys = seq[:-1] << 32 | seq[1:]
-        inner = np.ones(len(keys), bool)
-        cuts = ends[(ends > 0) & (ends < len(seq))] - 1
-        inner[cuts] = False
-        bins = bins_of(keys)
-        chosen = frequent_pairs(keys[inner], bins[inner], rules, least)
+        live[ends[ends > 0] - 1] = False
+        live[-1] = False
+        at = np.flatnonzero(live)
+        keys = seq[at] << 32 | seq[at + 1]
+        bits = 20 if len(at) > 1 << 18 else 18
+        bins = bins_of(keys, bits)
+        often = np.bincount(bins, minlength=1 << bits)[bins] >= least
+        live[at[~often]] = False
+        at, keys, bins = at[often], keys[often], bins[often]
+        chosen = frequent_pairs(keys, bins, bits, rules, least) if len(at) else keys
         if not len(chosen):
             break
         # one place per bin: a chosen pair whose bin a more frequent one has waits for the next round
-        table = np.full(1 << BIN_BITS, -1, np.int32)
-        table[bins_of(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+        table = np.full(1 << bits, -1, np.int32)
+        table[bins_of(chosen, bits)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
         place = table[bins]
-        at = np.flatnonzero((place >= 0) & inner)
-        place = place[at].astype(np.int64)
-        hit = chosen[place] == keys[at]
+        hit = np.flatnonzero(place >= 0)
+        hit = hit[chosen[place[hit]] == keys[hit]]
         at, place = at[hit], place[hit]
         # in a run of overlapping occurrences every second is taken, from the first
         head = np.r_[True, np.diff(at) != 1]
         run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
         at, place = at[take], place[take]
-        used, place = np.unique(place, return_inverse=True)
-        seq[at] = top + place
+        used = np.flatnonzero(np.bincount(place, minlength=len(chosen)))
+        number = np.zeros(len(chosen), np.int64)
+        number[used] = np.arange(len(used))
+        seq[at] = top + number[place]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        ends = np.r_[0, np.cumsum(keep)][ends]
-        seq = seq[keep]
+        ends = ends - np.searchsorted(at + 1, ends)
+        seq, live = seq[keep], live[keep]
+        at = at - np.arange(len(at))
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
         pairs.append(np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], 1))
         top += len(used)
     return seq.astype("<u4"), ends, np.concatenate(pairs).astype("<u4") if pairs else np.zeros((0, 2), "<u4"), base
@@ -197,8 +221,32 @@ def lengths(pairs: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
-    """Symbols to ids, one level of rules at a time."""
+#: Ids up to which all rules are expanded beforehand.
+FLAT_IDS = 4 << 20
+
+
+def flat_rules(pairs: np.ndarray, base: int, sizes: np.ndarray) -> np.ndarray | None:
+    """The expansions of all rules one after the other, or None where they are longer than FLAT_IDS."""
+    return _by_levels(np.arange(base, base + len(pairs)), pairs, base) if sizes.sum() <= FLAT_IDS else None
+
+
+def expand(symbols: np.ndarray, pairs: np.ndarray, base: int, sizes: np.ndarray | None = None, flat: np.ndarray | None = None) -> np.ndarray:
+    """Symbols to ids: with the rules' expansions at hand in one step, else one level of rules at a time."""
+    if flat is None:
+        return _by_levels(symbols, pairs, base)
+    seq = symbols.astype(np.int64)
+    big = seq >= base
+    rule = seq[big] - base
+    size = np.ones(len(seq), np.int64)
+    size[big] = sizes[rule]
+    out = np.repeat(seq, size)
+    first = np.r_[0, np.cumsum(sizes, dtype=np.int64)][rule]
+    length = size[big]
+    out[np.repeat(big, size)] = flat[np.repeat(first - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())]
+    return out.astype("<u4")
+
+
+def _by_levels(symbols: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
     seq = symbols.astype(np.int64)
     while len(big := np.flatnonzero(seq >= base)):
         two = np.ones(len(seq), np.int64)
@@ -231,12 +279,13 @@ class ShardReader:
         self.cuts = np.frombuffer(body, "<i8", n_docs, at := at + 4 * n_rules)
         self.ends = np.frombuffer(body, "<i8", n_docs, at := at + 8 * n_docs)
         self.symbols = np.frombuffer(body, "<u4", n_symbols, at + 8 * n_docs)
+        self.flat = flat_rules(self.pairs, self.base, self.lengths)
 
     def __len__(self) -> int:
         return len(self.cuts)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.pairs, self.base)
+        return expand(self.symbols, self.pairs, self.base, self.lengths, self.flat)
 
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start:stop of document k; only the symbols that cover them are expanded."""
@@ -248,7 +297,7 @@ class ShardReader:
         stop = int(ends[-1]) if len(ends) and stop is None else stop or 0
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
         skip = start - (int(ends[a - 1]) if a else 0)
-        return expand(part[a:b], self.pairs, self.base)[skip : skip + max(0, stop - start)]
+        return expand(part[a:b], self.pairs, self.base, self.lengths, self.flat)[skip : skip + max(0, stop - start)]
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:

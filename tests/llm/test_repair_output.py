@@ -31,11 +31,33 @@ def test_compress_round_trip():
 
 
 def test_frequent_pairs_are_exact():
-    rng = np.random.default_rng(2)
-    keys = rng.zipf(1.2, 50_000) % 5000 << 32 | rng.integers(0, 3, 50_000)
-    v, n = np.unique(keys, return_counts=True)
-    want = v[np.lexsort((v, -n))][:100]
-    assert R.frequent_pairs(keys, R.bins_of(keys), 100, 2).tolist() == want.tolist()
+    rng = np.random.default_rng(3)
+    for bits in (3, 18):
+        for most, least in ((5, 2), (1000, 3), (1000, 50), (7, 1000)):
+            keys = rng.zipf(1.3, 4000).astype(np.int64) % 900
+            got = R.frequent_pairs(keys, R.bins_of(keys, bits), bits, most, least)
+            value, n = np.unique(keys, return_counts=True)
+            times = dict(zip(value.tolist(), n.tolist(), strict=True))
+            assert len(got) <= most and all(times[k] >= least for k in got.tolist())
+            assert len(got) > 0 or not (n >= least).any()
+            if bits == 18:
+                assert sorted(times[k] for k in got.tolist()) == sorted(n[n >= least].tolist())[-most:]
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        ids = (rng.zipf(1.4, 6000) % 60).astype("<u4")
+        ends = np.array([0, 1500, 1500, 6000])
+        seq, cuts, pairs, base = R.compress(ids, ends, least=4)
+        inner = np.ones(len(seq) - 1, bool)
+        inner[cuts[(cuts > 0) & (cuts < len(seq))] - 1] = False
+        left = (seq[:-1].astype(np.int64) << 32 | seq[1:])[inner]
+        # overlapping occurrences of one symbol count twice but can be taken once
+        assert all(n < 4 or k >> 32 == k & 0xFFFFFFFF for k, n in zip(*np.unique(left, return_counts=True), strict=True))
+        sizes = R.lengths(pairs, base)
+        for flat in (None, R.flat_rules(pairs, base, sizes)):
+            assert (R.expand(seq, pairs, base, sizes, flat) == ids).all()
 
 
 def texts():
