@@ -12,31 +12,33 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_speculative import slices
-from .common import batch_limits, parts_for, scratch
+from .bpe_speculative import byte_alphabet, slices
+from .common import as_binary, batch_limits, parts_for, scratch
 
 MAGIC = b"RPR1"
 #: Ids of a shard, rules of a round, and how often a pair must occur in the shard to become a rule: a rule takes 12 bytes
 #: and an occurrence saves 4, so rules of fewer occurrences hardly pay.
 SHARD_IDS = 1 << 20
 ROUND_RULES = 16384
-LEAST_COUNT = 8
+LEAST_COUNT = 16
 #: Id behind every document.
 END_ID = 2
 #: Input bytes of a partition, and the most partitions; beyond them partitions grow, and a task's memory does not.
 PART_BYTES = 6 << 20
 PARTS_MOST = 100_000
 #: Pieces remembered by a worker in each of two generations; when the younger is full it becomes the older.
-CACHE_WORDS = 450_000
+CACHE_WORDS = 350_000
 
 
 #: Marks that end a piece of letters (fixed values); the vocabulary's splitter parts them from letters too.
@@ -45,6 +47,8 @@ MARKS = b".,;:!?%$&*#|()"
 PARTING = "\u26bd\u2615\u2605"
 #: Pieces joined for a call.
 JOINED = 100
+#: Lower-case letters that the normaliser leaves alone; a word of nothing else is one piece of the splitter.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class Encoder:
@@ -52,7 +56,8 @@ class Encoder:
 
     The vocabulary's normaliser and splitter never join what ASCII white space parts, drop the white space, part
     letters from marks, and ignore case, so a text's ids are those of its lower-cased pieces in order. Only a text that may hold a
-    special token keeps its case and its marks.
+    special token keeps its case and its marks. Words of plain letters go to the library's model itself, in the stand-in
+    characters of their bytes; other pieces take the whole way.
     """
 
     def __init__(self, path: str):
@@ -62,34 +67,50 @@ class Encoder:
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
-        self.memory: dict[bytes, bytes] = {}
+        self.memory: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
         # a character of one id that parts joined pieces, since a call for each piece costs more than its merges
         self.part, self.part_id = next((c, ids[0]) for c in PARTING if len(ids := self.own.encode(c, add_special_tokens=False).ids) == 1)
+        self.stand_in = {b: c for c, b in byte_alphabet().items()}
         self.letter = np.zeros(256, bool)
         self.letter[97:123] = True
         self.mark = np.zeros(256, bool)
         self.mark[list(MARKS)] = True
 
-    def pieces(self, texts: list[bytes]) -> list[list[bytes]]:
-        """The pieces of each text; the bytes of all texts are looked at together."""
+    def pieces(self, texts: list[bytes]) -> pa.Array:
+        """The texts, lower-cased and with a space before every mark that follows a letter: white space parts the pieces."""
         lowered = [t if b"<|" in t else t.lower() for t in texts]
         data = np.frombuffer(b"\n".join(lowered), np.uint8)
         ends = np.cumsum([len(t) + 1 for t in lowered]) - 1
         at = np.flatnonzero(self.letter[data[:-1]] & self.mark[data[1:]]) + 1
         for k in [k for k, t in enumerate(lowered) if b"<|" in t]:
             at = at[(at < ends[k] - len(lowered[k])) | (at >= ends[k])]
-        # a space before every mark that follows a letter
         out = np.full(len(data) + len(at), 32, np.uint8)
         keep = np.ones(len(out), bool)
         keep[at + np.arange(len(at))] = False
         out[keep] = data
-        raw = out.tobytes()
-        stops = (ends + np.searchsorted(at, ends)).tolist()
-        return [raw[a:b].split() for a, b in zip([0, *stops], stops, strict=False)]
+        stops = np.r_[0, ends + np.searchsorted(at, ends)].astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(stops), pa.py_buffer(out))
 
     def learn(self, pieces: list[bytes]) -> None:
-        """Remember the ids of pieces: many are joined by the parting character and cut again at its id."""
+        """Remember the ids of pieces; those that are not plain words are joined by the parting character and cut again at its id."""
+        tokenize, plain, stand_in, others = self.own.model.tokenize, PLAIN.fullmatch, self.stand_in, []
+        counts, flat, words = [], [], []
+        for w in pieces:
+            if not plain(word := w.decode()):
+                others.append(w)
+                continue
+            got = [t.id for t in tokenize(word if len(word) == len(w) else w.decode("latin-1").translate(stand_in))]
+            words.append(w)
+            counts.append(len(got))
+            flat += got
+        raw, at = np.array(flat, "<u4").tobytes(), 0
+        for w, n in zip(words, counts, strict=True):
+            self.memory[w] = raw[at : at + 4 * n]
+            at += 4 * n
+        self.learn_joined(others)
+
+    def learn_joined(self, pieces: list[bytes]) -> None:
         mark = self.part.encode()
         alone = [w for w in pieces if mark in w or b"<|" in w]
         for w, e in zip(alone, self.own.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
@@ -106,10 +127,15 @@ class Encoder:
             at = b + 4
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = self.pieces([t.encode() for t in texts])
-        words: set[bytes] = set().union(*split) if split else set()
+        """Ids of each text. Pieces are numbered and ids put together in Arrow; only distinct pieces are Python objects."""
+        if not texts:
+            return []
+        pieces = pc.ascii_split_whitespace(self.pieces([t.encode() for t in texts]))
+        ends = pieces.offsets.to_numpy()
+        coded = pieces.values.dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
         if len(self.memory) > CACHE_WORDS:
-            self.older, self.memory = self.memory, {}
+            self.older, self.memory = self.memory, {b"": b""}
         memory, older, new = self.memory, self.older, []
         for w in words:
             if w not in memory:
@@ -119,8 +145,11 @@ class Encoder:
                     new.append(w)
         for a in range(0, len(new), 20_000):
             self.learn(new[a : a + 20_000])
-        get = self.memory.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        ids = pa.array([memory[w] for w in words], pa.large_binary()).take(coded.indices)
+        offsets, raw = as_binary(ids)
+        at = offsets[ends].tolist()
+        raw = raw.tobytes()
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -301,18 +330,17 @@ class ShardReader:
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
-    """Write the ids of all documents, in ascending order of key (nulls first, ties by the text's hash), to `folder`.
+    """Write the ids of all documents, in ascending order of key (nulls first, ties by their place in the input), to `folder`.
 
     A row of the files is a shard: part, first (ids of the part before it), keys, body. Null texts are empty. Rows repeated
-    or without a key are documents of their own, and many of them are dealt over partitions by the text's hash and by their
-    place in the input. A very long text stands whole in a shard of its own size. An empty table gives no shards. Columns
+    or without a key are documents of their own, and many of them are dealt over partitions by their place in the input. A very long text stands whole in a shard of its own size. An empty table gives no shards. Columns
     other than key and text are not read, whatever their names.
     """
     batch_limits(docs.sparkSession)
     src = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     parts = min(PARTS_MOST, parts_for(src, PART_BYTES, 12))
-    order = ["key", "hash", "place"]
-    dealt = src.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text")
+    order = ["key", "place"]
+    dealt = src.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text")
     kind = src.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
