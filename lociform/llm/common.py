@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import math
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,15 +55,44 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lociform_path = path
+    if _scopes:
+        _scopes[-1].add(path)
     return out
 
 
+#: Paths written by materialize() in each tables_of() that is open, the innermost last.
+_scopes: list[set[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables from materialize() that nothing will read again."""
     for t in tables:
-        spark = t.sparkSession
-        old = spark._jvm.org.apache.hadoop.fs.Path(t._lociform_path)
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        _delete(t.sparkSession, t._lociform_path)
+        for s in _scopes:
+            s.discard(t._lociform_path)
+
+
+@contextlib.contextmanager
+def tables_of(spark: SparkSession) -> Iterator[Callable]:
+    """Tables that materialize() writes inside are deleted at the end, but for those passed to what this yields."""
+    _scopes.append(set())
+
+    def keep(*tables: DataFrame) -> None:
+        for t in tables:
+            _scopes[-1].discard(t._lociform_path)
+            if len(_scopes) > 1:
+                _scopes[-2].add(t._lociform_path)
+
+    try:
+        yield keep
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
 
 
 #: A key is hot from this many rows on, and from this share of all rows on; so there are at most HOT_SHARE hot keys.
@@ -159,4 +190,6 @@ def components(spark: SparkSession, edges: DataFrame, label: str) -> DataFrame:
         if after == before:
             break
         before = after
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._lociform_path = cur._lociform_path
+    return out

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, spread_join
+from .common import discard, materialize, spread_join, tables_of
 
 #: Raking stops when no margin misses a target by more than this share of the sample's tokens, looked at after every block of
 #: sweeps, or after the most sweeps, where targets contradict each other.
@@ -136,7 +136,9 @@ def mix(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text
     )
     margins = ["source", "lang", "topic"]
     cells = materialize(cells_of(rows, margins), "rake-cells")
-    raked, miss = rake(cells, {m: tempered(cells, m, p, budget) for m, p in tempering.items()}, budget)
+    with tables_of(docs.sparkSession) as keep_table:
+        raked, miss = rake(cells, {m: tempered(cells, m, p, budget) for m, p in tempering.items()}, budget)
+        keep_table(raked)
     raked = raked.select(*margins, F.round(F.col("p") / budget, 9).alias("weight"), F.round("p", 9).alias("probability"), F.col("n_docs").alias("n"))
     out = spread_cells(rows, raked, margins)
     return out.select("__keep.*", *margins, "n_tokens", "weight", "probability", (F.col("chance") < F.col("probability")).alias("selected"), F.round(F.lit(miss), 5).alias("miss"))

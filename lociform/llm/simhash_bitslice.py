@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_limits, components, discard, materialize, spread_join
+from .common import batch_limits, components, materialize, spread_join, tables_of
 
 BLOCKS = 4
 BLOCK_BITS = 16
@@ -206,14 +206,15 @@ def groups(docs: DataFrame, keep: list[str], rank: str, text: str = "text", widt
     names; kept columns named fp or component clash with the result's and must be renamed before.
     """
     fp = materialize(fingerprints(docs, keep, text, width), label)
-    distinct = materialize(fp.groupBy("fp").agg(F.min(F.col(f"`{rank}`")).alias("low")), label)
-    roots = components(docs.sparkSession, links(distinct), label)
-    full = materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), label)
-    low = materialize(full.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("n")), label)
-    table = spread_join(full, low, "root").select("fp", "component")
-    times = fp.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    table = materialize(table.join(times, "fp"), label)
-    discard(distinct, full, low)
+    with tables_of(docs.sparkSession) as keep_table:
+        distinct = materialize(fp.groupBy("fp").agg(F.min(F.col(f"`{rank}`")).alias("low")), label)
+        roots = components(docs.sparkSession, links(distinct), label)
+        full = materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), label)
+        low = materialize(full.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("n")), label)
+        table = spread_join(full, low, "root").select("fp", "component")
+        times = fp.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+        table = materialize(table.join(times, "fp"), label)
+        keep_table(table)
     return spread_join(fp, table, "fp")
 
 
@@ -413,19 +414,21 @@ def near_groups(docs: DataFrame, keep: list[str], rank: str, text: str = "text",
 
     types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["fp bigint, sig binary, keys array<bigint>, `__set` bigint"])
     fp = materialize(src.mapInArrow(run, types), label)
-    low, one = F.min(F.col(f"`{rank}`")).alias("low"), F.min(F.struct(F.col(f"`{rank}`").alias("rank"), "__hash")).alias("one")
-    distinct = materialize(fp.groupBy(F.col("__set").alias("node")).agg(low, one, F.min(F.struct("fp", "sig", "keys")).alias("s"), F.count(F.lit(1)).alias("copies")).select("node", "low", "one", "copies", "s.fp", "s.sig", "s.keys"), label)
-    found = components(docs.sparkSession, near_links(distinct), label)
-    found = materialize(found.unionAll(found.select(F.col("root").alias("node"), "root").distinct()), label)
-    # one text stands for each shingle set
-    ones = found.join(distinct, "node").select("node", F.col("one.rank").alias("__rank"), F.col("one.__hash").alias("__one"))
-    texts = docs.select(F.col(f"`{rank}`").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__hash"), F.col(f"`{text}`").alias("text"))
-    texts = texts.join(ones, F.col("__id").eqNullSafe(F.col("__rank")) & (F.col("__hash") == F.col("__one"))).select("node", "text")
-    roots = confirmed(texts, found, width, label=label)
-    full = distinct.select("node", "low", "copies").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", "low", "copies", F.coalesce("root", "node").alias("root"))
-    full = materialize(full, label)
-    table = materialize(full.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("n")), label)
-    table = materialize(spread_join(full, table, "root").select(F.col("node").alias("__set"), "root", "component", "copies"), label)
+    with tables_of(docs.sparkSession) as keep_table:
+        low, one = F.min(F.col(f"`{rank}`")).alias("low"), F.min(F.struct(F.col(f"`{rank}`").alias("rank"), "__hash")).alias("one")
+        distinct = materialize(fp.groupBy(F.col("__set").alias("node")).agg(low, one, F.min(F.struct("fp", "sig", "keys")).alias("s"), F.count(F.lit(1)).alias("copies")).select("node", "low", "one", "copies", "s.fp", "s.sig", "s.keys"), label)
+        found = components(docs.sparkSession, near_links(distinct), label)
+        found = materialize(found.unionAll(found.select(F.col("root").alias("node"), "root").distinct()), label)
+        # one text stands for each shingle set
+        ones = found.join(distinct, "node").select("node", F.col("one.rank").alias("__rank"), F.col("one.__hash").alias("__one"))
+        texts = docs.select(F.col(f"`{rank}`").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__hash"), F.col(f"`{text}`").alias("text"))
+        texts = texts.join(ones, F.col("__id").eqNullSafe(F.col("__rank")) & (F.col("__hash") == F.col("__one"))).select("node", "text")
+        roots = confirmed(texts, found, width, label=label)
+        full = distinct.select("node", "low", "copies").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", "low", "copies", F.coalesce("root", "node").alias("root"))
+        full = materialize(full, label)
+        table = materialize(full.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("n")), label)
+        table = materialize(spread_join(full, table, "root").select(F.col("node").alias("__set"), "root", "component", "copies"), label)
+        keep_table(table)
     return spread_join(fp.drop("sig", "keys", "__hash"), table, "__set", "copies").drop("__set")
 
 
@@ -436,9 +439,11 @@ def dedup_stage(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
     """
     names = docs.columns
     row = F.xxhash64("text")
-    g = near_groups(docs.select("doc_id", "text", row.alias("__row")), ["doc_id", "__row"], "doc_id", width=width)
-    heads = g.where("doc_id <=> component").groupBy(F.col("doc_id").alias("__head"), "__row", F.col("root").alias("__root")).agg(F.count(F.lit(1)).alias("n"))
-    heads = materialize(heads, "simhash-heads")
+    with tables_of(docs.sparkSession) as keep_table:
+        g = near_groups(docs.select("doc_id", "text", row.alias("__row")), ["doc_id", "__row"], "doc_id", width=width)
+        heads = g.where("doc_id <=> component").groupBy(F.col("doc_id").alias("__head"), "__row", F.col("root").alias("__root")).agg(F.count(F.lit(1)).alias("n"))
+        heads = materialize(heads, "simhash-heads")
+        keep_table(heads)
     same = docs.doc_id.eqNullSafe(heads["__head"]) & (row == heads["__row"])
     # the text is shuffled again only where a group has several heads
     if heads.groupBy("__root").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():

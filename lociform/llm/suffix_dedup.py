@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, batch_limits, materialize
+from .common import as_binary, batch_limits, materialize, tables_of
 
 WINDOW = 200
 GRAM = 32
@@ -364,14 +364,16 @@ def removed(rows: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     batch_limits(spark)
     texts = rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))
     anchors = texts.mapInArrow(_anchor_rows(window), "h bigint, rid bigint, at bigint")
-    often = materialize(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-anchors")
-    figures = often.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
-    shards = max(64, math.ceil(figures["all"] * 1.45 * window / SHARD_BYTES))
-    wanted = anchors.join(often, "h").groupBy("rid").agg(F.collect_list("at").alias("ats"), F.collect_list("n").alias("ns"))
-    blocks = texts.join(wanted, "rid").select("rid", "text", "ats", "ns").mapInArrow(_block_rows(window), "h bigint, n bigint, rid bigint, at bigint, block binary")
-    salt = F.when(F.col("n") > hot, F.pmod(F.xxhash64("rid", "at"), F.ceil(F.col("n") / hot))).otherwise(F.lit(0)).cast("bigint")
-    dealt = blocks.withColumn("shard", F.pmod(F.xxhash64("h", salt), F.lit(shards)).cast("int"))
-    found = materialize(dealt.groupBy("shard").applyInArrow(_shard(window, hot), OUT), "suffix-found")
+    with tables_of(spark) as keep_table:
+        often = materialize(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-anchors")
+        figures = often.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+        shards = max(64, math.ceil(figures["all"] * 1.45 * window / SHARD_BYTES))
+        wanted = anchors.join(often, "h").groupBy("rid").agg(F.collect_list("at").alias("ats"), F.collect_list("n").alias("ns"))
+        blocks = texts.join(wanted, "rid").select("rid", "text", "ats", "ns").mapInArrow(_block_rows(window), "h bigint, n bigint, rid bigint, at bigint, block binary")
+        salt = F.when(F.col("n") > hot, F.pmod(F.xxhash64("rid", "at"), F.ceil(F.col("n") / hot))).otherwise(F.lit(0)).cast("bigint")
+        dealt = blocks.withColumn("shard", F.pmod(F.xxhash64("h", salt), F.lit(shards)).cast("int"))
+        found = materialize(dealt.groupBy("shard").applyInArrow(_shard(window, hot), OUT), "suffix-found")
+        keep_table(found)
     spans = found.where("kind = 0").select("rid", "a", "b")
     if figures["most"] > hot:
         ranges = F.pmod(F.col("d1"), F.lit(max(64, shards // 4))).alias("range")

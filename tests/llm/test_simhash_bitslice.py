@@ -183,3 +183,67 @@ def test_components_chain(spark):
     got = {r.node: r.root for r in components(spark, edges, "t").collect()}
     assert got == {k: 0 for k in range(1, 61)} | {101: 100}
     assert components(spark, edges.where(F.lit(False)), "t").count() == 0
+
+
+def test_near_copies_by_degree_of_edits(spark):
+    """Copies with words replaced, dropped and inserted up to a similarity of 0.8 are found, others at 0.7 and below are not."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    grams = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    rows, wanted, unwanted = [], 0, 0
+    kept = {}
+    for k in range(150):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        rows.append((2 * k, " ".join(base)))
+        other = list(base)
+        for _ in range(rng.randint(1, max(1, len(base) // 30))):
+            at = rng.randrange(len(other))
+            other[at : at + rng.choice([0, 1])] = [word()] if rng.random() < 0.7 else []
+        a, b = grams(base), grams(other)
+        kept[2 * k + 1] = len(a & b) / len(a | b) >= 0.8
+        rows.append((2 * k + 1, " ".join(other)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component for r in S.near_groups(df, ["doc_id"], "doc_id").collect()}
+    for d, near in kept.items():
+        wanted += near and got[d] != d - 1
+        unwanted += not near and got[d] == d - 1
+    assert sum(kept.values()) > 50 and not all(kept.values())
+    assert wanted == 0 and unwanted == 0
+
+
+def test_hot_groups_and_tables_left(spark, monkeypatch, tmp_path):
+    import os
+
+    from lociform.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(k, " ".join(base)) for k in range(60)]
+    for k in range(60, 120):
+        other = list(base)
+        other[k] = "changed"
+        rows.append((k, " ".join(other)))
+    rows += [(k, f"alone {k} " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(60))) for k in range(120, 160)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in S.dedup_stage(df).collect()) == [0, *range(120, 160)]
+    assert len(os.listdir(tmp_path)) == 1  # what the result reads
+    got = {r.doc_id: r.component for r in S.groups(df, ["doc_id"], "doc_id").collect()}
+    assert all(got[k] == 0 for k in range(60)) and len(got) == 160
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    import pytest
+
+    from lociform.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
