@@ -16,19 +16,42 @@ def cell_metrics(expr: DataFrame, subsets: dict[str, str] | None = None) -> Data
     return g.withColumn("log10_genes_per_umi", F.try_divide(F.log10("detected"), F.when(F.col("sum") > 1, F.log10("sum"))))
 
 
-def filter_mad(metrics: DataFrame, columns: list[str], k: float = 3.0) -> DataFrame:
-    """Cells with fail_<column> (beyond k MADs, constant 1.4826, of the median) and keep (none fails)."""
+def _low_high(metrics: DataFrame, value, side: str, k: float):
+    """One row (cut): the median less, or plus, k MADs (constant 1.4826)."""
+    v = metrics.select(F.lit(1).alias("all"), value.alias("value"))
+    sign = -1 if side == "low" else 1
+    return mad(v, ["all"]).select((F.col("median") + sign * k * F.col("mad")).alias("cut"))
+
+
+def filter_adaptive(metrics: DataFrame, share: str | None = "pct_mito", k: float = 3.0, cap: float | None = None, doublet: str | None = None) -> DataFrame:
+    """Cells with a column per reason and keep (none holds): low_lib_size and low_n_features (log counts and log detected genes
+    more than k MADs below their medians), high_<share> (more than k MADs above), hard_cap and doublets where asked for."""
     x = metrics
-    for c in columns:
-        v = metrics.select("cell", F.lit(1).alias("all"), F.col(c).alias("value"))
-        m = mad(v, ["all"]).select(F.col("median").alias("__m"), F.col("mad").alias("__d"))
-        x = x.crossJoin(F.broadcast(m)).withColumn(f"fail_{c}", F.coalesce(F.abs(F.col(c) - F.col("__m")) > k * F.col("__d"), F.lit(False))).drop("__m", "__d")
+    tests = [("low_lib_size", F.log2(F.col("sum")), "low"), ("low_n_features", F.log2(F.col("detected")), "low")]
+    if share is not None:
+        tests.append((f"high_{share}", F.col(share), "high"))
+    for name, value, side in tests:
+        cut = _low_high(metrics, value, side, k)
+        bad = value < F.col("cut") if side == "low" else value > F.col("cut")
+        x = x.crossJoin(F.broadcast(cut)).withColumn(name, F.coalesce(bad, F.lit(False))).drop("cut")
+    reasons = [t[0] for t in tests]
+    if cap is not None and share is not None:
+        x, reasons = x.withColumn("hard_cap", F.coalesce(F.col(share) > cap, F.lit(False))), [*reasons, "hard_cap"]
+    if doublet is not None:
+        x, reasons = x.withColumn("doublets", F.coalesce(F.col(doublet) == "doublet", F.lit(False))), [*reasons, "doublets"]
     keep = F.lit(True)
-    for c in columns:
-        keep = keep & ~F.col(f"fail_{c}")
+    for r in reasons:
+        keep = keep & ~F.col(r)
     return x.withColumn("keep", keep)
 
 
+def filter_reasons(filtered: DataFrame) -> DataFrame:
+    """(reason, n): cells that each reason of a filter discards, all of them, and those kept."""
+    names = [c for c, t in filtered.dtypes if t == "boolean" and c != "keep"]
+    counts = [F.count_if(F.col(c)).alias(c) for c in names] + [F.count_if(~F.col("keep")).alias("discarded"), F.count_if(F.col("keep")).alias("kept")]
+    return filtered.agg(*counts).unpivot([], [*names, "discarded", "kept"], "reason", "n")
+
+
 def filter_fixed(metrics: DataFrame, **bounds: tuple[float | None, float | None]) -> DataFrame:
     keep = F.lit(True)
     for c, (lo, hi) in bounds.items():
@@ -36,9 +59,11 @@ def filter_fixed(metrics: DataFrame, **bounds: tuple[float | None, float | None]
     return metrics.withColumn("keep", F.coalesce(keep, F.lit(False)))
 
 
-def log_normalize(expr: DataFrame, target: float = 1e4) -> DataFrame:
+def log_normalize(expr: DataFrame) -> DataFrame:
+    """logcounts = log2(counts / size factor + 1); a cell's size factor is its total over the mean total of all cells."""
     total = expr.groupBy("cell").agg(F.sum("counts").alias("__t"))
-    return expr.join(total, "cell").withColumn("logcounts", F.log1p(F.col("counts") / F.col("__t") * target)).drop("__t")
+    mean = total.agg(F.avg("__t").alias("__m"))
+    return expr.join(total.crossJoin(F.broadcast(mean)), "cell").withColumn("logcounts", F.log2(F.col("counts") * F.col("__m") / F.col("__t") + 1)).drop("__t", "__m")
 
 
 def variable_genes(expr: DataFrame, n_cells: DataFrame, top: int) -> DataFrame:
@@ -74,33 +99,62 @@ def label_summary(cells: DataFrame) -> DataFrame:
     return x.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("grouping", "grp")))
 
 
-def type_scores(expr: DataFrame, cells: DataFrame, markers_: DataFrame) -> DataFrame:
-    """Cell-type score per cluster: z-scored expression times marker weight (+ up, - down), summed over cells and divided by the
-    square root of the markers present. markers_: (cell_type, gene, sign); a gene's weight falls with the number of types it marks."""
+def type_scores(expr: DataFrame, cells: DataFrame, markers_: DataFrame, most: float = 10.0) -> DataFrame:
+    """Cell-type score per cluster: per cell, expression scaled per gene (capped at +-most), summed over up markers less down markers
+    and divided by the square root of the markers present; summed over the cluster's cells. markers_: (cell_type, gene, sign).
+
+    Only non-zero rows are read: the cells of a cluster without the gene all have its scaled zero.
+    """
     n = cells.agg(F.count(F.lit(1)).alias("n"))
-    g = expr.groupBy("gene").agg(F.sum("logcounts").alias("s"), F.sum(F.col("logcounts") * F.col("logcounts")).alias("q")).crossJoin(F.broadcast(n))
-    g = g.select("gene", (F.col("s") / F.col("n")).alias("m"), F.sqrt(F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))).alias("d"))
-    types = markers_.agg(F.countDistinct("cell_type").alias("t"))
-    w = markers_.groupBy("gene").agg(F.countDistinct("cell_type").alias("k")).crossJoin(F.broadcast(types))
-    w = w.select("gene", F.when(F.col("t") > 1, 1 - (F.col("k") - 1) / (F.col("t") - 1)).otherwise(1.0).alias("weight"))
+    m = markers_.distinct()
+    x = expr.join(m.select("gene").distinct(), "gene", "left_semi")
+    g = x.groupBy("gene").agg(F.sum("logcounts").alias("s"), F.sum(F.col("logcounts") * F.col("logcounts")).alias("q")).crossJoin(F.broadcast(n))
+    sd = F.sqrt(F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0)))
+    g = g.select("gene", (F.col("s") / F.col("n")).alias("m"), F.greatest(sd, F.lit(2.220446049250313e-16)).alias("d"))
+    clip = lambda c: F.greatest(F.lit(-most), F.least(F.lit(most), c))
     size = cells.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_cells"))
-    per = expr.join(cells.select("cell", "cluster"), "cell").groupBy("cluster", "gene").agg(F.sum("logcounts").alias("s"))
-    full = size.crossJoin(F.broadcast(markers_.select("gene").distinct().join(g.where("d > 0"), "gene")))
-    z = full.join(per, ["cluster", "gene"], "left").select("cluster", "gene", ((F.coalesce("s", F.lit(0.0)) - F.col("n_cells") * F.col("m")) / F.col("d")).alias("z"))
-    x = z.join(markers_, "gene").join(w, "gene").groupBy("cluster", "cell_type").agg((F.sum(F.col("z") * F.col("weight") * F.col("sign")) / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("score"))
-    return x.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.round("score", 9).desc(), "cell_type")))
-
-
-def potency(expr: DataFrame, n_genes: int) -> DataFrame:
-    """Ordering score: mean log expression of the genes that correlate most with genes detected per cell, as an average-tie rank in (0, 1]."""
-    count = expr.where("counts > 0").groupBy("cell").agg(F.count(F.lit(1)).alias("detected"))
-    tot = count.agg(F.count(F.lit(1)).alias("n"), F.sum("detected").cast("double").alias("sy"), F.sum(F.col("detected") * F.col("detected")).cast("double").alias("syy"))
-    g = expr.join(count, "cell").groupBy("gene").agg(F.sum("logcounts").alias("sx"), F.sum(F.col("logcounts") * F.col("logcounts")).alias("sxx"), F.sum(F.col("logcounts") * F.col("detected")).alias("sxy")).crossJoin(F.broadcast(tot))
-    r = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))))
-    best = g.select("gene", F.round(r, 9).alias("r")).where("r IS NOT NULL").orderBy(F.col("r").desc(), "gene").limit(n_genes)
-    s = expr.join(F.broadcast(best.select("gene")), "gene", "left_semi").groupBy("cell").agg((F.sum("logcounts") / n_genes).alias("s"))
-    x = count.join(s, "cell", "left").select("cell", F.round(F.coalesce("s", F.lit(0.0)), 9).alias("s"))
-    return binned_rank(x, "s", 0.01).select("cell", (F.col("rank") / F.col("n_rows")).alias("score"))
+    per = x.join(g, "gene").join(cells.select("cell", "cluster"), "cell").groupBy("cluster", "gene").agg(F.sum(clip((F.col("logcounts") - F.col("m")) / F.col("d"))).alias("s"), F.count(F.lit(1)).alias("k"))
+    full = size.crossJoin(F.broadcast(g)).join(per, ["cluster", "gene"], "left")
+    z = full.select("cluster", "gene", (F.coalesce("s", F.lit(0.0)) + (F.col("n_cells") - F.coalesce("k", F.lit(0))) * clip(-F.col("m") / F.col("d"))).alias("z"))
+    t = z.join(m, "gene").groupBy("cluster", "cell_type").agg((F.sum(F.col("z") * F.col("sign")) / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("score"))
+    return t.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.round("score", 9).desc(), "cell_type")))
+
+
+def gene_count_correlation(expr: DataFrame) -> DataFrame:
+    """(gene, r): Spearman correlation, over all cells, of a gene's expression with the number of genes a cell expresses.
+
+    Only non-zero rows are read: a gene's zeros share one rank, and the ranks of the gene counts sum to a known total.
+    """
+    count = expr.where("logcounts > 0").groupBy("cell").agg(F.count(F.lit(1)).alias("detected"))
+    y = binned_rank(count, "detected", 1.0, "ry").select("cell", "ry", F.col("n_rows").alias("n"))
+    n = F.col("n").cast("double")
+    syy = y.agg(F.sum((F.col("ry") - (n + 1) / 2) * (F.col("ry") - (n + 1) / 2)).alias("syy"))
+    x = expr.where("logcounts > 0").join(y, "cell")
+    w = Window.partitionBy("gene")
+    rx = F.rank().over(w.orderBy("logcounts")) + (F.count(F.lit(1)).over(Window.partitionBy("gene", "logcounts")) - 1) / 2.0
+    x = x.withColumns({"k": F.count(F.lit(1)).over(w), "rx": rx}).withColumn("rx", F.col("rx") + F.col("n") - F.col("k"))
+    mid = (n + 1) / 2
+    dx, dy = F.col("rx") - mid, F.col("ry") - mid
+    g = x.groupBy("gene").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.sum(dx * dy).alias("xy"), F.sum(dx * dx).alias("xx"), F.sum(dy).alias("y"))
+    zero = (F.col("n") - F.col("k") + 1) / 2 - mid
+    g = g.crossJoin(F.broadcast(syy))
+    r = F.try_divide(F.col("xy") - zero * F.col("y"), F.sqrt((F.col("xx") + (F.col("n") - F.col("k")) * zero * zero) * F.col("syy")))
+    return g.select("gene", F.coalesce(r, F.lit(0.0)).alias("r"))
+
+
+def potency(expr: DataFrame, graph: DataFrame, n_genes: int) -> DataFrame:
+    """Ordering score in [0, 1]: the mean expression of the genes that correlate most, by absolute value, with the genes a cell
+    expresses; averaged over each cell's neighbours in `graph` (cell, other), 0 without any; scaled to its range and inverted."""
+    best = gene_count_correlation(expr).select("gene", F.round("r", 9).alias("r")).orderBy(F.abs("r").desc(), "gene").limit(n_genes)
+    k = best.agg(F.count(F.lit(1)).alias("k"))
+    cells = expr.select("cell").distinct()
+    s = expr.join(best.select("gene"), "gene", "left_semi").groupBy("cell").agg(F.sum("logcounts").alias("s"))
+    raw = cells.join(s, "cell", "left").crossJoin(F.broadcast(k)).select("cell", (F.coalesce("s", F.lit(0.0)) / F.col("k")).alias("raw"))
+    near = graph.join(raw.withColumnRenamed("cell", "other"), "other").groupBy("cell").agg(F.avg("raw").alias("v"))
+    x = cells.join(near, "cell", "left").select("cell", F.coalesce("v", F.lit(0.0)).alias("v"))
+    ends = x.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    x = x.crossJoin(F.broadcast(ends))
+    return x.select("cell", F.when(F.col("hi") > F.col("lo"), 1 - (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5).alias("score"))
 
 
 def composition(cells: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import complement
@@ -27,21 +27,28 @@ def parse_counts(text: DataFrame, column: str = "BaseCount[A,C,G,T]") -> DataFra
 
 
 def primary_alt(sites: DataFrame) -> DataFrame:
-    """The non-reference base with most reads (first of A, C, G, T on ties), its count and share."""
-    alts = F.array(*[F.struct(F.when(F.col("reference") != b, F.col(f"count_{b}")).otherwise(F.lit(-1)).cast("bigint").alias("n"), F.lit(-k).alias("k"), F.lit(b).alias("b")) for k, b in enumerate(BASES)])
-    x = sites.withColumn("__a", F.array_max(alts))
+    """The base with most reads among the substitution codes of all_subs whose first letter is the reference (the first code on
+    ties), its count and share; NULL where no code is."""
+    counts = F.create_map(*[x for b in BASES for x in (F.lit(b), F.col(f"count_{b}").cast("bigint"))])
+    codes = F.filter(F.split("all_subs", r"\s+"), lambda c: (F.length(c) == 2) & (F.substring(c, 1, 1) == F.col("reference")))
+    best = F.array_max(F.transform(codes, lambda c, k: F.struct(F.element_at(counts, F.substring(c, 2, 1)).alias("n"), (-k).alias("k"), F.substring(c, 2, 1).alias("b"))))
+    x = sites.withColumn("__a", best)
     return x.withColumns({"alt": F.col("__a.b"), "alt_count": F.col("__a.n"), "alt_share": F.try_divide(F.col("__a.n"), F.col("coverage"))}).drop("__a")
 
 
-def germline(editing: DataFrame, dna: DataFrame, min_coverage: int = 10, min_reads: int = 3, min_share: float = 0.1) -> DataFrame:
-    """Sites with DNA evidence: `status` is uncovered (no or too little DNA), germline (the edited base is in the DNA by
-    both bounds) or somatic."""
-    d = dna.select("region", "position", F.col("coverage").alias("dna_coverage"), *[F.col(f"count_{b}").alias(f"dna_{b}") for b in BASES])
-    x = editing.join(d, ["region", "position"], "left")
-    n = F.coalesce(*[F.when(F.col("alt") == b, F.col(f"dna_{b}")) for b in BASES], F.lit(0))
-    x = x.withColumns({"dna_alt": n, "dna_share": F.try_divide(n, F.col("dna_coverage"))})
-    status = F.when(F.coalesce("dna_coverage", F.lit(0)) < min_coverage, "uncovered").when((F.col("dna_alt") >= min_reads) & (F.col("dna_share") >= min_share), "germline").otherwise("somatic")
-    return x.withColumn("status", status).drop(*[f"dna_{b}" for b in BASES])
+def germline(editing: DataFrame, dna: DataFrame, candidate: Column | None = None, min_coverage: int = 10, min_reads: int = 3, min_share: float = 0.1) -> DataFrame:
+    """All editing sites; the candidates among them that have a primary alternative get dna_coverage, dna_alt_reads, dna_alt_freq
+    and germline_status: undetermined (no or too little DNA), germline (the edited base is in the DNA by both bounds) or
+    confirmed_somatic. The rest keep NULLs."""
+    ok = F.col("alt").isNotNull() if candidate is None else F.coalesce(candidate, F.lit(False)) & F.col("alt").isNotNull()
+    d = dna.select("region", "position", F.col("coverage").alias("__cover"), *[F.col(f"count_{b}").alias(f"__dna_{b}") for b in BASES])
+    x = editing.join(d, ["region", "position"], "left").withColumn("__ok", ok)
+    n = F.coalesce(*[F.when(F.col("alt") == b, F.col(f"__dna_{b}")) for b in BASES])
+    only = lambda c: F.when(F.col("__ok"), c)
+    x = x.withColumns({"dna_coverage": only(F.col("__cover")), "dna_alt_reads": only(n)})
+    x = x.withColumn("dna_alt_freq", F.when(F.col("dna_coverage") > 0, F.col("dna_alt_reads") / F.col("dna_coverage")))
+    status = F.when(F.coalesce("dna_coverage", F.lit(0)) < min_coverage, "undetermined").when(F.coalesce((F.col("dna_alt_reads") >= min_reads) & (F.col("dna_alt_freq") >= min_share), F.lit(False)), "germline").otherwise("confirmed_somatic")
+    return x.withColumn("germline_status", only(status)).drop("__cover", "__ok", *[f"__dna_{b}" for b in BASES])
 
 
 def motif_rates(catalog: DataFrame, editing: DataFrame, code: str = "CT", min_coverage: int = 1) -> DataFrame:
@@ -71,9 +78,14 @@ def read_filter(alignments: DataFrame, min_mapq: int = 20, min_length: int = 1,
 
 
 def mark_duplicates(alignments: DataFrame) -> DataFrame:
-    """`duplicate`: another read starts at the same place on the same strand with a better mean quality (or smaller name)."""
-    w = Window.partitionBy("chr", "pos", F.col("flag").bitwiseAND(F.lit(16))).orderBy(F.col("mapq").desc(), "qname")
-    return alignments.withColumn("duplicate", F.row_number().over(w) > 1)
+    """`duplicate`: another template has the same ends (place and strand of both mates) and a better summed base quality (or a
+    smaller name). Both mates of a template are marked alike. A read without quality counts 0."""
+    quality = F.aggregate(F.filter(F.split("qual", ""), lambda c: c != ""), F.lit(0), lambda a, c: a + F.ascii(c) - 33)
+    end = F.struct("chr", "pos", F.col("flag").bitwiseAND(F.lit(16)).alias("strand"))
+    t = alignments.groupBy("qname").agg(F.sort_array(F.collect_list(end)).alias("ends"), F.sum(F.coalesce(quality, F.lit(0))).alias("__q"))
+    w = Window.partitionBy("ends").orderBy(F.col("__q").desc(), "qname")
+    t = t.select("qname", (F.row_number().over(w) > 1).alias("duplicate"))
+    return alignments.join(t, "qname")
 
 
 def substitution_spectrum(sites: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import ordered_rank
+
 
 def significant(p: str = "padj", lfc: str = "log2FoldChange", p_cut: float = 0.05, lfc_cut: float = 1.0, p_closed: bool = True, lfc_closed: bool = True) -> Column:
     """Whether a result passes; the bounds belong to it or not as told, NULLs do not pass."""
@@ -22,8 +24,14 @@ def select(results: DataFrame, how: str = "union", **cuts) -> DataFrame:
     return hits.crossJoin(F.broadcast(n)).where("n_comparisons = __n").drop("__n")
 
 
-def comparison_table(results: DataFrame, comparisons: list[str]) -> DataFrame:
-    """One row per feature with lfc and padj columns of each listed comparison."""
+def comparison_table(results: DataFrame, comparisons: list[str], p: str = "padj", p_cut: float = 0.05, lfc_cut: float = 0.0) -> DataFrame:
+    """One row per feature that is significant (p < p_cut, |lfc| >= lfc_cut) in a listed comparison, with its lfc and padj in each,
+    NULL where it was not tested. It is an error if no feature is significant."""
+    r = results.where(F.col("comparison").isin(comparisons))
+    hits = r.where(significant(p=p, p_cut=p_cut, lfc_cut=lfc_cut, p_closed=False)).select("feature_id").distinct()
+    if hits.isEmpty():
+        raise ValueError(f"no feature is significant ({p} < {p_cut}, |log2 fold change| >= {lfc_cut}) in any comparison")
+    results = r.join(hits, "feature_id", "left_semi")
     pick = lambda c, column: F.max(F.when(F.col("comparison") == c, F.col(column)))
     cols = [pick(c, k).alias(f"{c}_{n}") for c in comparisons for k, n in (("log2FoldChange", "lfc"), ("padj", "padj"))]
     return results.groupBy("feature_id").agg(*cols)
@@ -63,25 +71,25 @@ def over_representation(sets: DataFrame, hits: DataFrame, universe: DataFrame, l
     return g.withColumn("odds_ratio", a * d / (b * c + 1e-10))
 
 
-def gsea(ranked: DataFrame, sets: DataFrame, least: int = 1, most: int = 10_000) -> DataFrame:
-    """Running-sum enrichment score (weight 1) of each set over a ranked list (gene, stat).
+def gsea(ranked: DataFrame, sets: DataFrame, least: int = 1, most: int = 10_000, by: list[str] | None = None) -> DataFrame:
+    """Running-sum enrichment score (weight 1) of each set over a ranked list (gene, stat), or one such list per `by`.
 
     The extremes lie at a set's own genes, right at or right before them, so only those rows are visited: the misses
     before a gene follow from its rank.
     """
-    r = ranked.where("stat IS NOT NULL").groupBy("gene").agg(F.max("stat").alias("stat"))
-    r = r.withColumn("rank", F.row_number().over(Window.orderBy(F.col("stat").desc(), "gene")))
-    n = r.agg(F.count(F.lit(1)).alias("n"))
+    by = by or []
+    r = ranked.where("stat IS NOT NULL").groupBy(*by, "gene").agg(F.max("stat").alias("stat"))
+    r = ordered_rank(r, by, "stat", "gene")
     m = sets.distinct().join(r, "gene")
-    w = Window.partitionBy("set_id")
+    w = Window.partitionBy(*by, "set_id")
     m = m.withColumns({"size": F.count(F.lit(1)).over(w), "norm": F.sum(F.abs("stat")).over(w), "hit": F.sum(F.abs("stat")).over(w.orderBy("rank")), "k": F.row_number().over(w.orderBy("rank"))})
-    m = m.where(F.col("size").between(least, most)).crossJoin(F.broadcast(n))
+    m = m.where(F.col("size").between(least, most))
     miss = F.try_divide(F.col("rank") - F.col("k"), (F.col("n") - F.col("size")).cast("double"))
     miss = F.coalesce(miss, F.lit(0.0))
     top = F.try_divide(F.col("hit"), F.col("norm")) - miss
     low = F.try_divide(F.col("hit") - F.abs("stat"), F.col("norm")) - miss
-    g = m.groupBy("set_id").agg(F.max("size").alias("size"), F.max(top).alias("hi"), F.min(low).alias("lo"))
-    return g.select("set_id", "size", F.when(F.col("hi") >= -F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("es"))
+    g = m.groupBy(*by, "set_id").agg(F.max("size").alias("size"), F.max(top).alias("hi"), F.min(low).alias("lo"))
+    return g.select(*by, "set_id", "size", F.when(F.col("hi") >= -F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("es"))
 
 
 def set_similarity(sets: DataFrame) -> DataFrame:

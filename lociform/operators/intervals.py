@@ -124,7 +124,9 @@ def nearest(queries: DataFrame, subjects: DataFrame, subject_id: str, width: int
     x = u.join(small, ["chr", "__bin"])
     order = Window.partitionBy("chr", "__bin").orderBy("__at", "__q")
     left = F.max("__left").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    right = F.min("__right").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # the mirrored order, since a frame that only grows is aggregated once
+    mirrored = Window.partitionBy("chr", "__bin").orderBy(F.col("__at").desc(), F.col("__q").desc())
+    right = F.min("__right").over(mirrored.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     x = x.withColumns({"__l2": F.greatest(left, F.col("__lc")), "__r2": F.least(right, F.col("__rc"))}).where("__q = 1")
     dl = F.greatest(F.lit(0), F.col("start") - F.col("__l2.e"))
     dr = F.greatest(F.lit(0), F.col("__r2.s") - F.col("stop"))
@@ -135,11 +137,29 @@ def nearest(queries: DataFrame, subjects: DataFrame, subject_id: str, width: int
 
 
 def within(genes: DataFrame, peaks: DataFrame, distance: int) -> DataFrame:
-    """Pairs of genes (gene_id, chr, tss) and peaks (peak_id, chr, start, stop) that lie within `distance` of the TSS."""
-    g = genes.select("gene_id", "chr", "tss", F.greatest(F.lit(0), F.col("tss") - distance).alias("start"), (F.col("tss") + distance + 1).alias("stop"))
-    p = overlap_pairs(g, peaks)
-    gap = F.when(F.col("b_start") > F.col("tss"), F.col("b_start") - F.col("tss")).when(F.col("b_stop") <= F.col("tss"), F.col("tss") - F.col("b_stop") + 1).otherwise(0)
-    return p.select("gene_id", F.col("b_peak_id").alias("peak_id"), "chr", gap.alias("distance"))
+    """Pairs of genes (gene_id, chr, 1-based tss, strand, further columns) and peaks (peak_id, chr, start, stop) that touch the
+    window of `distance` around the TSS, with distance_to_tss: from the TSS to the peak's middle, rounded half to even,
+    negative upstream of the gene."""
+    rest = [c for c in genes.columns if c not in ("gene_id", "chr", "tss", "strand")]
+    g = genes.withColumns({"start": F.greatest(F.lit(0), F.col("tss") - distance - 1), "stop": F.col("tss") + distance})
+    p = overlap_pairs(g, peaks.select("peak_id", "chr", "start", "stop"))
+    away = (F.col("b_start") + 1 + F.col("b_stop")) / 2 - F.col("tss")
+    signed = F.bround(F.when(F.col("strand") == "-", -away).otherwise(away), 0).cast("bigint")
+    return p.select("gene_id", F.col("b_peak_id").alias("peak_id"), "chr", signed.alias("distance_to_tss"), F.abs(signed).alias("abs_distance"), *rest)
+
+
+def gene_links(genes: DataFrame, links: DataFrame) -> DataFrame:
+    """All genes with has_peak, n_peaks and nearest_peak_distance (NULL without a peak)."""
+    g = links.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_peaks"), F.min("abs_distance").alias("nearest_peak_distance"))
+    x = genes.join(g, "gene_id", "left")
+    return x.withColumns({"has_peak": F.col("n_peaks").isNotNull(), "n_peaks": F.coalesce("n_peaks", F.lit(0))})
+
+
+def peak_links(peaks: DataFrame, links: DataFrame) -> DataFrame:
+    """All peaks with near_gene, n_genes, nearest_gene (ties to the smaller id) and nearest_gene_distance."""
+    g = links.groupBy("peak_id").agg(F.count(F.lit(1)).alias("n_genes"), F.min(F.struct("abs_distance", "gene_id")).alias("__b"))
+    x = peaks.join(g, "peak_id", "left")
+    return x.withColumns({"near_gene": F.col("n_genes").isNotNull(), "n_genes": F.coalesce("n_genes", F.lit(0)), "nearest_gene": F.col("__b.gene_id"), "nearest_gene_distance": F.col("__b.abs_distance")}).drop("__b")
 
 
 def coverage(df: DataFrame, keys: list[str] | None = None, width: int = BIN) -> DataFrame:
@@ -185,21 +205,25 @@ def bin_counts(df: DataFrame, size: int, cap_sds: float | None = None, keys: lis
 
 
 def set_algebra(a: DataFrame, b: DataFrame, kind: str, width: int = BIN) -> DataFrame:
-    """Positions in both (intersect), in a only (subtract) or in either (union) as maximal stretches, by one event sweep."""
-    mark = lambda df, side: merge(df.select("chr", "start", "stop"), 0, width=width).select("chr", "start", "stop", F.lit(side).alias("side"))
-    u = mark(a, 0).unionAll(mark(b, 1))
-    d = lambda side, sign: F.when(F.col("side") == side, sign).otherwise(0)
-    ev = u.select("chr", F.explode(F.array(F.struct(F.col("start").alias("at"), d(0, 1).alias("x"), d(1, 1).alias("y")), F.struct(F.col("stop").alias("at"), d(0, -1).alias("x"), d(1, -1).alias("y")))).alias("e"))
-    ev = _bin(ev.groupBy("chr", F.col("e.at").alias("at")).agg(F.sum("e.x").alias("x"), F.sum("e.y").alias("y")), "at", width)
-    small = ev.groupBy("chr", "__bin").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.min("at").alias("first"))
-    wb = Window.partitionBy("chr").orderBy("__bin")
-    pre = wb.rowsBetween(Window.unboundedPreceding, -1)
-    small = small.select("chr", "__bin", F.sum("x").over(pre).alias("bx"), F.sum("y").over(pre).alias("by"), F.lead("first").over(wb).alias("nx"))
-    w = Window.partitionBy("chr", "__bin").orderBy("at")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = ev.join(small, ["chr", "__bin"]).select("chr", F.col("at").alias("start"), F.coalesce(F.lead("at").over(w), F.col("nx")).alias("stop"), (F.coalesce("bx", F.lit(0)) + F.sum("x").over(run)).alias("in_a"), (F.coalesce("by", F.lit(0)) + F.sum("y").over(run)).alias("in_b"))
-    keep = {"intersect": "in_a > 0 AND in_b > 0", "subtract": "in_a > 0 AND in_b = 0", "union": "in_a > 0 OR in_b > 0"}[kind]
-    return merge(s.where(keep).where("stop IS NOT NULL"), 0, width=width)
+    """Positions in both (intersect), in a only (subtract) or in either (union) as maximal stretches, by one event sweep.
+
+    The events are shuffled once, by chromosome and bin. A bin takes the depths at its start from one small row per bin, so it
+    knows at each of its events whether the wanted state begins or ends there; begins and ends then alternate.
+    """
+    one = lambda df, x, y: df.select("chr", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(x).alias("x"), F.lit(y).alias("y")), F.struct(F.col("stop").alias("at"), F.lit(-x).alias("x"), F.lit(-y).alias("y")))).alias("e")).select("chr", "e.at", "e.x", "e.y")
+    ev = _bin(one(a.where("start < stop"), 1, 0).unionAll(one(b.where("start < stop"), 0, 1)), "at", width).repartition("chr", "__bin")
+    ev = ev.groupBy("chr", "__bin", "at").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    small = ev.groupBy("chr", "__bin").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    pre = Window.partitionBy("chr").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    small = small.select("chr", "__bin", F.coalesce(F.sum("x").over(pre), F.lit(0)).alias("bx"), F.coalesce(F.sum("y").over(pre), F.lit(0)).alias("by"))
+    run = Window.partitionBy("chr", "__bin").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = {"intersect": lambda x, y: (x > 0) & (y > 0), "subtract": lambda x, y: (x > 0) & (y == 0), "union": lambda x, y: (x > 0) | (y > 0)}[kind]
+    s = ev.join(small, ["chr", "__bin"]).withColumns({"in_a": F.col("bx") + F.sum("x").over(run), "in_b": F.col("by") + F.sum("y").over(run)})
+    s = s.withColumns({"on": wanted(F.col("in_a"), F.col("in_b")), "was": wanted(F.col("in_a") - F.col("x"), F.col("in_b") - F.col("y"))}).where("on <> was").select("chr", "__bin", "at", "on")
+    first = s.groupBy("chr", "__bin").agg(F.min("at").alias("first"))
+    first = first.select("chr", "__bin", F.lead("first").over(Window.partitionBy("chr").orderBy("__bin")).alias("next"))
+    after = F.coalesce(F.lead("at").over(Window.partitionBy("chr", "__bin").orderBy("at")), F.col("next"))
+    return s.join(first, ["chr", "__bin"]).select("chr", F.col("at").alias("start"), after.alias("stop"), "on").where("on").select("chr", "start", "stop")
 
 
 def profile(points: DataFrame, fragments: DataFrame, flank: int, bin_size: int) -> DataFrame:
@@ -220,9 +244,11 @@ def annotate_priority(peaks: DataFrame, features: DataFrame, order: list[str], d
 
 
 def shift_fragments(pairs: DataFrame, plus: int = 4, minus: int = 5) -> DataFrame:
-    """Read pairs (BEDPE) to shifted fragments: mates on one chromosome, + mates by `plus`, - mates by -`minus`."""
-    lo, hi = F.least("start1", "start2") + plus, F.greatest("stop1", "stop2") - minus
-    return pairs.where("chr1 = chr2").select(F.col("chr1").alias("chr"), F.greatest(F.lit(0), lo).alias("start"), hi.alias("stop"), "name").where("start < stop")
+    """Read pairs (BEDPE) of one chromosome to fragments, moved whole: by `plus` to the right where the first mate is on +, else by
+    `minus` to the left, both ends stopping at 0."""
+    lo, hi = F.least("start1", "start2"), F.greatest("stop1", "stop2")
+    move = lambda x: F.when(F.col("strand1") == "+", x + plus).otherwise(F.greatest(F.lit(0), x - minus))
+    return pairs.where("chr1 = chr2").select(F.col("chr1").alias("chr"), move(lo).alias("start"), move(hi).alias("stop"), "name", F.col("strand1").alias("strand")).where("start < stop")
 
 
 def exon_span(exons: DataFrame) -> DataFrame:

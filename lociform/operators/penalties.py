@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,18 +21,39 @@ def proximal_lasso(x: Column, old: Column, tau: float) -> Column:
     return F.when(F.abs(x) > tau, soft(x, tau)).otherwise(old)
 
 
-def proximal_elastic(x: Column, tau: float, mu: float) -> Column:
-    return soft(x, tau) / (1 + 2 * mu * tau)
+def proximal_elastic(x: Column, old: Column, tau: float, tau_en: float, mu: float = 1.0) -> Column:
+    """x = omega + mu c, shrunken by mu tau_en and scaled by the ridge part 1 + 2 mu tau; the old weight in the dead zone."""
+    return F.when(F.abs(x) > mu * tau_en, soft(x, mu * tau_en) / (1 + 2 * mu * tau)).otherwise(old)
 
 
-def sparsity_quality(share: Column, best: float = 0.5, width: float = 0.2) -> Column:
-    """1 at the wanted share of zeros, falling off on both sides; nothing or everything selected is 0."""
-    return F.when((share <= 0) | (share >= 1), F.lit(0.0)).otherwise(F.exp(-F.pow((share - best) / width, 2.0) / 2))
+def proximal_scad(x: Column, old: Column, tau: float, mu: float = 1.0, a: float = 3.7) -> Column:
+    """x = omega + mu c: soft-thresholded while the result stays within tau, then the rescaled middle piece up to a tau, then x
+    itself; the old weight where no piece applies."""
+    e1, e2 = -1 / (2 * (a - 1)), 2 * a * tau / (2 * (a - 1))
+    up, down = x - mu * tau, x + mu * tau
+    mid_up, mid_down = (x - mu * e2) / (1 + 2 * mu * e1), (x + mu * e2) / (1 + 2 * mu * e1)
+    return (
+        F.when((up > 0) & (up <= tau), up).when((down >= -tau) & (down < 0), down)
+        .when((mid_up > tau) & (mid_up <= a * tau), mid_up).when((mid_down >= -a * tau) & (mid_down <= -tau), mid_down)
+        .when(F.abs(x) > a * tau, x).otherwise(old)
+    )
 
 
-def fold_of(key: Column, k: int, seed: int = 1) -> Column:
-    """Fold 0..k-1 fixed by the key's hash, so that it does not depend on the partitioning."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int")
+def sparsity_quality(share: Column, low: float = 0.05, high: float = 0.30, steepness: float = 2.0) -> Column:
+    """1 while the share of selected features lies in [low, high], falling off exponentially on both sides."""
+    below, above = F.exp(-steepness * (low - share) / low), F.exp(-steepness * (share - high) / (1 - high))
+    return F.when(share < low, below).when(share > high, above).when(share.isNotNull(), F.lit(1.0))
+
+
+def folds(df: DataFrame, key: str, k: int, seed: int = 1, bins: int = 1024) -> DataFrame:
+    """`df` (one row a key) with `fold` 0..k-1: rows in the order of a hash of the key, cut into k folds whose sizes differ by one
+    at most. The place in that order is that in a bin of the hash plus the counts of the bins before."""
+    x = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("__bin", F.pmod(F.col("__h"), F.lit(bins)))
+    c = x.groupBy("__bin").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__bin")  # as many rows as bins
+    c = c.select("__bin", (F.sum("__n").over(w) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__bin").orderBy("__h", key)) - 1
+    return x.join(F.broadcast(c), "__bin").withColumn("fold", F.floor(place * k / F.col("__all")).cast("int")).drop("__h", "__bin", "__before", "__all")
 
 
 def matrix_power(m: np.ndarray, p: float) -> np.ndarray:

@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Texts that mean a missing value, compared trimmed and lower-cased (fixed values).
-MISSING = ["", "-", "--", "?", ".", "na", "n/a", "n.a.", "nan", "nd", "nil", "none", "not available", "null", "missing", "unknown", "unk", "#n/a", "#na", "#value!"]
+#: Texts that mean a missing value, compared trimmed and as they are written (fixed values).
+MISSING = [
+    "NA", "N/A", "na", "n/a", "Na", "N/a",
+    "None", "none", "NONE",
+    "NULL", "null", "Null",
+    "NaN", "nan", "NAN",
+    "", " ", "  ", ".", "-", "--", "---",
+    "missing", "Missing", "MISSING",
+    "not available", "Not Available", "NOT AVAILABLE",
+    "unknown", "Unknown", "UNKNOWN", "unk", "UNK",
+    "#N/A", "#NA", "#VALUE!", "#REF!", "#DIV/0!", "#NAME?",
+    "n.a.", "N.A.", "n.a", "N.A",
+    "nil", "NIL", "Nil",
+    "undefined", "UNDEFINED",
+]
 NUMERIC = {"int", "bigint", "double", "float", "smallint", "tinyint"}
 
 
 def normalise_missing(df: DataFrame) -> DataFrame:
     """String columns trimmed, texts that mean missing to NULL."""
-    t = {c: F.when(~F.lower(F.trim(F.col(f"`{c}`"))).isin(MISSING), F.trim(F.col(f"`{c}`"))) for c, k in df.dtypes if k == "string"}
+    t = {c: F.when(~F.trim(F.col(f"`{c}`")).isin(MISSING), F.trim(F.col(f"`{c}`"))) for c, k in df.dtypes if k == "string"}
     return df.withColumns(t) if t else df
 
 
@@ -54,8 +67,11 @@ def derived_id(sheet: DataFrame):
 
 
 def npx_filter(npx: DataFrame, most_warned: float = 0.25) -> DataFrame:
-    """Assay rows of samples (no controls, id present), in assays whose share of warned rows is at most the bound."""
+    """Assay rows of samples (no controls, id present, SampleQC not FAIL where there is one), in assays whose share of warned rows is
+    at most the bound."""
     x = npx.where((F.col("AssayType") == "assay") & (F.col("SampleType") == "SAMPLE") & (F.trim("SampleID") != ""))
+    if "SampleQC" in npx.columns:
+        x = x.where(F.coalesce(F.col("SampleQC") != "FAIL", F.lit(True)))
     warned = x.groupBy("OlinkID").agg(F.avg(F.when(F.col("AssayQC").isin("WARN", "FAIL"), 1.0).otherwise(0.0)).alias("w"))
     return x.join(warned.where(F.col("w") <= most_warned).select("OlinkID"), "OlinkID", "left_semi")
 

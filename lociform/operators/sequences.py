@@ -2,19 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import longest_run
+
+#: Letters looked at together.
+CHUNK = 1 << 22
+
+
+class _Longest:
+    """The longest run of true values over chunks that follow each other."""
+
+    def __init__(self):
+        self.best = self.open = 0
+
+    def add(self, flags: np.ndarray) -> None:
+        breaks = np.flatnonzero(~flags)
+        if not len(breaks):
+            self.open += len(flags)
+        else:
+            self.best = max(self.best, self.open + int(breaks[0]), int(np.diff(breaks).max(initial=1)) - 1)
+            self.open = len(flags) - 1 - int(breaks[-1])
+        self.best = max(self.best, self.open)
+
+
+def _describe(seq: bytes) -> tuple[int, ...]:
+    """Length, counts of A, C, G, T, N, longest run of one base, longest repeat of two bases."""
+    counts, same, alternate = np.zeros(256, np.int64), _Longest(), _Longest()
+    for at in range(0, len(seq), CHUNK):
+        s = np.frombuffer(seq, np.uint8, min(CHUNK + 2, len(seq) - at), at)
+        counts += np.bincount(s[:CHUNK], minlength=256)
+        base = _BASE[s]
+        same.add(((s[1:] == s[:-1]) & base[1:])[:CHUNK])
+        alternate.add(((s[2:] == s[:-2]) & (s[1:-1] != s[:-2]) & base[:-2] & base[1:-1])[:CHUNK])
+    n = [int(counts[ord(b)]) for b in "ACGTN"]
+    pairs = (alternate.best + 2) // 2 * 2
+    return (len(seq), *n, same.best + 1 if sum(n[:4]) else 0, pairs if pairs >= 4 else 0)
+
+
+_BASE = np.zeros(256, bool)
+_BASE[[ord(b) for b in "ACGT"]] = True
 
 
 def composition(seqs: DataFrame) -> DataFrame:
-    """Length, base counts, GC share of the unambiguous bases, longest homopolymer and longest dinucleotide repeat."""
-    s = F.upper("seq")
-    n = {b: (F.length(s) - F.length(F.replace(s, F.lit(b), F.lit("")))).cast("bigint") for b in "ACGTN"}
-    pairs = [a + b for a in "ACGT" for b in "ACGT" if a != b]
-    runs = [F.coalesce(F.array_max(F.transform(F.regexp_extract_all(s, F.lit(f"((?:{p}){{2,}})"), 1), F.length)), F.lit(0)) for p in pairs]
-    out = seqs.select("id", F.length(s).cast("bigint").alias("length"), *[n[b].alias(f"n_{b}") for b in "ACGTN"], F.greatest(*[longest_run(s, b) for b in "ACGT"]).alias("longest_homopolymer"), F.greatest(*runs).cast("bigint").alias("longest_dinucleotide"))
+    """Length, base counts, GC share of the unambiguous bases, longest homopolymer and longest dinucleotide repeat, in one pass
+    over each sequence."""
+    names = ["length", *[f"n_{b}" for b in "ACGTN"], "longest_homopolymer", "longest_dinucleotide"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [None if t is None else _describe(t.upper().encode()) for t in batch.column(1).to_pylist()]
+            cols = [pa.array([None if r is None else r[k] for r in rows], pa.int64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", *names])
+
+    kind = seqs.schema["id"].dataType.simpleString()
+    out = seqs.select("id", "seq").mapInArrow(run, ", ".join([f"id {kind}", *[f"{n} bigint" for n in names]]))
     return out.withColumn("gc", F.try_divide(F.col("n_G") + F.col("n_C"), F.col("length") - F.col("n_N")))
 
 

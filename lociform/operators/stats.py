@@ -35,6 +35,19 @@ def binned_rank(df: DataFrame, value: str, width: float, out: str = "rank") -> D
     return b.join(c, "__bin").withColumn(out, F.col("__before") + S.average_rank(["__bin"], value)).drop("__bin", "__before")
 
 
+def ordered_rank(df: DataFrame, by: list[str], value: str, tie: str, bins: int = 64) -> DataFrame:
+    """`df` with `rank` (1.. by descending value, ties by `tie`) and the number `n` of rows, within `by`; no task sorts a whole list:
+    rows are ranked between approximate quantiles, and the counts of the stretches before are carried in."""
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, [k / bins for k in range(1, bins)], 1000).alias("__cuts"))
+    x = df.join(cuts, by) if by else df.crossJoin(F.broadcast(cuts))
+    x = x.withColumn("__bin", F.size(F.filter("__cuts", lambda c: c > F.col(value)))).drop("__cuts")
+    c = x.groupBy(*by, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*by)
+    c = c.select(*by, "__bin", (F.sum("__n").over(w.orderBy("__bin")) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("n"))
+    place = F.row_number().over(Window.partitionBy(*by, "__bin").orderBy(F.col(value).desc(), tie))
+    return x.join(c, [*by, "__bin"]).withColumn("rank", (F.col("__before") + place).cast("int")).drop("__bin", "__before")
+
+
 def bonferroni(p: Column, n: Column) -> Column:
     return F.least(F.lit(1.0), p * n)
 

@@ -79,7 +79,11 @@ def pairwise_identical(values: DataFrame, tolerance: float) -> DataFrame:
 
 
 def scale(values: DataFrame, how: str = "zscore") -> DataFrame:
-    """Per feature: zscore, minmax or robust (median and interquartile range); constant features give NULL."""
+    """Per feature: zscore, minmax or robust; constant features give NULL.
+
+    robust takes the median and the interquartile range, where that is 0 the MAD (constant 1.4826), where that is 0 too 1; a
+    feature of one value, or of no variance, becomes 0.
+    """
     g = values.groupBy("feature_id")
     if how == "zscore":
         s = g.agg(F.avg("value").alias("__m"), F.stddev_samp("value").alias("__d"))
@@ -87,7 +91,12 @@ def scale(values: DataFrame, how: str = "zscore") -> DataFrame:
         s = g.agg(F.min("value").alias("__m"), (F.max("value") - F.min("value")).alias("__d"))
     else:
         p = F.percentile("value", [0.25, 0.5, 0.75])
-        s = g.agg(p.alias("p")).select("feature_id", F.col("p")[1].alias("__m"), (F.col("p")[2] - F.col("p")[0]).alias("__d"))
+        s = g.agg(p.alias("p"), F.var_samp("value").alias("v")).select("feature_id", F.col("p")[1].alias("__m"), (F.col("p")[2] - F.col("p")[0]).alias("iqr"), "v")
+        x = values.join(s, "feature_id")
+        d = x.groupBy("feature_id").agg((F.percentile(F.abs(F.col("value") - F.col("__m")), 0.5) * 1.4826).alias("mad"))
+        spread = F.when(F.col("iqr") > 0, F.col("iqr")).when(F.col("mad") > 0, F.col("mad")).otherwise(1.0)
+        scaled = F.when(F.coalesce("v", F.lit(0.0)) == 0, F.col("value") * 0.0).otherwise((F.col("value") - F.col("__m")) / spread)
+        return x.join(d, "feature_id").withColumn("value", scaled).drop("__m", "iqr", "v", "mad")
     out = values.join(s, "feature_id")
     return out.withColumn("value", F.try_divide(F.col("value") - F.col("__m"), F.col("__d"))).drop("__m", "__d")
 

@@ -57,7 +57,7 @@ SAM = """sam AS (SELECT 's' || k AS sample_id, CASE WHEN k % 2 = 0 THEN 'a' ELSE
 EXPR = """expr AS (SELECT event_type || json_extract_string(props, '$.k') AS gene, user_id AS cell, count(*)::BIGINT AS counts FROM events GROUP BY 1, 2),
 cel AS (SELECT user_id AS cell, 'k' || (user_id % 4) AS cluster, 's' || (user_id % 6) AS sample_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE 't' || (user_id % 3) END AS label FROM events GROUP BY 1)"""
 LOGX = """tot AS (SELECT cell, sum(counts) AS t FROM expr GROUP BY 1),
-lx AS (SELECT gene, expr.cell, counts, ln(1 + counts / t * 1e4) AS logcounts FROM expr JOIN tot USING (cell))"""
+lx AS (SELECT gene, expr.cell, counts, log2(counts / (t / (SELECT avg(t) FROM tot)) + 1) AS logcounts FROM expr JOIN tot USING (cell))"""
 DE = """de AS (SELECT p_brand || '|' || p_type AS feature_id, 'y' || (year(l_shipdate) % 4) AS comparison, round_even(avg(l_discount) * 100 - 5, 6) + 0.0 AS "log2FoldChange",
   (count(*) % 97) / 97.0 AS pvalue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 EDIT = """ed AS (SELECT 'c' || (l_suppkey % 8) AS region, l_partkey % 500 AS position, substr('ACGT', ((l_partkey % 500) % 4 + 1)::INT, 1) AS reference, 's' || (l_suppkey % 3) AS sample_id,
@@ -205,29 +205,33 @@ def nearest_region(spark, d):
 
 
 LINK = f"""WITH {FRAG}, {REG}{ISL.format(src='frag', dist=0)}, pk AS (SELECT chr || ':' || min(start) AS peak_id, chr, min(start) AS start, max(stop) AS stop FROM isl GROUP BY chr, island),
-lk AS (SELECT region_id AS gene_id, peak_id, reg.chr AS chr, CASE WHEN pk.start > tss THEN pk.start - tss WHEN pk.stop <= tss THEN tss - pk.stop + 1 ELSE 0 END AS distance
-  FROM (SELECT *, CASE WHEN strand = '+' THEN start ELSE stop END AS tss FROM reg) reg JOIN pk ON reg.chr = pk.chr AND pk.start < tss + 501 AND pk.stop > greatest(0, tss - 500))"""
+gn AS (SELECT region_id AS gene_id, chr, strand, CASE WHEN strand = '+' THEN start ELSE stop END AS tss, (region_id % 7)::DOUBLE AS lfc FROM reg),
+lk AS (SELECT gene_id, peak_id, gn.chr AS chr, round_even(CASE WHEN strand = '-' THEN tss - (start + 1 + stop) / 2.0 ELSE (start + 1 + stop) / 2.0 - tss END, 0)::BIGINT AS distance_to_tss, lfc
+  FROM gn JOIN pk ON gn.chr = pk.chr AND start + 1 <= tss + 500 AND stop >= greatest(1, tss - 500)),
+lf AS (SELECT *, abs(distance_to_tss) AS abs_distance FROM lk)"""
 
 
-def _links(spark, d):
-    genes = regions(spark, d).select(F.col("region_id").alias("gene_id"), "chr", F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("stop")).alias("tss"))
+def _link_parts(spark, d):
+    genes = regions(spark, d).select(F.col("region_id").alias("gene_id"), "chr", "strand", F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("stop")).alias("tss"), (F.col("region_id") % 7).cast("double").alias("lfc"))
     peaks = I.merge(fragments(spark, d)).select(F.concat("chr", F.lit(":"), "start").alias("peak_id"), "chr", "start", "stop")
-    return I.within(genes, peaks, 500)
+    return genes, peaks, I.within(genes, peaks, 500)
 
 
-@query(f"{LINK} SELECT * FROM lk")
+@query(f"{LINK} SELECT * FROM lf")
 def link_within_distance(spark, d):
-    return _links(spark, d)
+    return _link_parts(spark, d)[2]
 
 
-@query(f"{LINK} SELECT gene_id, count(*) AS n_peaks, min(distance) AS closest FROM lk GROUP BY 1")
+@query(f"{LINK}, g AS (SELECT gene_id, count(*) AS n, min(abs_distance) AS m FROM lf GROUP BY 1) SELECT gn.*, n IS NOT NULL AS has_peak, coalesce(n, 0) AS n_peaks, m AS nearest_peak_distance FROM gn LEFT JOIN g USING (gene_id)")
 def link_gene_summary(spark, d):
-    return _links(spark, d).groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_peaks"), F.min("distance").alias("closest"))
+    genes, _, links = _link_parts(spark, d)
+    return I.gene_links(genes, links)
 
 
-@query(f"{LINK} SELECT peak_id, count(*) AS n_genes, min(distance) AS closest FROM lk GROUP BY 1")
+@query(f"{LINK}, g AS (SELECT peak_id, gene_id, abs_distance, count(*) OVER (PARTITION BY peak_id) AS n FROM lf QUALIFY row_number() OVER (PARTITION BY peak_id ORDER BY abs_distance, gene_id) = 1) SELECT pk.*, n IS NOT NULL AS near_gene, coalesce(n, 0) AS n_genes, gene_id AS nearest_gene, abs_distance AS nearest_gene_distance FROM pk LEFT JOIN g USING (peak_id)")
 def link_peak_summary(spark, d):
-    return _links(spark, d).groupBy("peak_id").agg(F.count(F.lit(1)).alias("n_genes"), F.min("distance").alias("closest"))
+    _, peaks, links = _link_parts(spark, d)
+    return I.peak_links(peaks, links)
 
 
 COV = f"""WITH {FRAG}, ev AS (SELECT chr, pos, sum(d) AS d FROM (SELECT chr, start AS pos, 1 AS d FROM frag UNION ALL SELECT chr, stop, -1 FROM frag) GROUP BY ALL HAVING sum(d) <> 0),
@@ -288,12 +292,18 @@ def tss_profile(spark, d):
     return I.profile(p, fragments(spark, d), 1000, 100)
 
 
-@query("SELECT 'c' || (o_custkey % 8) AS chr, greatest(0, least(o_orderkey * 3, o_orderkey * 3 + o_custkey % 50) + 4) AS start, greatest(o_orderkey * 3 + 30, o_orderkey * 3 + o_custkey % 50 + 25) - 5 AS stop, o_orderkey::VARCHAR AS name FROM orders WHERE o_custkey % 8 = o_orderkey % 8")
+PAIR = """pr AS (SELECT 'c' || (o_custkey % 8) AS chr, o_orderkey * 3 % 1000 AS start1, o_orderkey * 3 % 1000 + o_orderkey % 5 AS stop1, o_orderkey * 3 % 1000 + o_custkey % 50 AS start2, o_orderkey * 3 % 1000 + o_custkey % 50 + o_orderkey % 4 AS stop2,
+  CASE WHEN o_orderkey % 3 = 0 THEN '+' ELSE '-' END AS strand, o_orderkey::VARCHAR AS name FROM orders WHERE o_custkey % 8 = o_orderkey % 8)"""
+
+
+@query(f"""WITH {PAIR}, e AS (SELECT chr, name, strand, least(start1, start2) AS a, greatest(stop1, stop2) AS b FROM pr), m AS (SELECT chr, name, strand,
+CASE WHEN strand = '+' THEN a + 4 WHEN a >= 5 THEN a - 5 ELSE 0 END AS start, CASE WHEN strand = '+' THEN b + 4 WHEN b >= 5 THEN b - 5 ELSE 0 END AS stop FROM e) SELECT * FROM m WHERE stop > start""")
 def bedpe_fragments(spark, d):
     o = table(spark, d, "orders")
-    s = F.col("o_orderkey") * 3
+    k = F.col("o_orderkey")
+    s = k * 3 % 1000
     m = s + F.col("o_custkey") % 50
-    p = o.select(F.concat(F.lit("c"), F.col("o_custkey") % 8).alias("chr1"), s.alias("start1"), (s + 30).alias("stop1"), F.concat(F.lit("c"), F.col("o_orderkey") % 8).alias("chr2"), m.alias("start2"), (m + 25).alias("stop2"), F.col("o_orderkey").cast("string").alias("name"))
+    p = o.select(F.concat(F.lit("c"), F.col("o_custkey") % 8).alias("chr1"), s.alias("start1"), (s + k % 5).alias("stop1"), F.concat(F.lit("c"), k % 8).alias("chr2"), m.alias("start2"), (m + k % 4).alias("stop2"), k.cast("string").alias("name"), F.when(k % 3 == 0, "+").otherwise("-").alias("strand1"))
     return I.shift_fragments(p)
 
 
@@ -398,9 +408,16 @@ def scale_minmax(spark, d):
     return V.scale(counts(spark, d), "minmax").withColumn("value", r6(F.col("value")))
 
 
-@query(f"WITH {CNT}, q AS (SELECT feature_id, quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM cnt GROUP BY 1) SELECT feature_id, sample_id, round_even((value - q[2]) / nullif(q[3] - q[1], 0), 6) AS value FROM cnt JOIN q USING (feature_id)")
+ROB = "rb AS (SELECT 'f' || (l_partkey % 40) AS feature_id, 's' || l_orderkey || '_' || l_linenumber AS sample_id, CASE WHEN l_partkey % 40 < 10 THEN 7 WHEN l_partkey % 40 < 25 THEN greatest(l_quantity - 45, 0) ELSE l_quantity END::DOUBLE AS value FROM lineitem)"
+
+
+@query(f"""WITH {ROB}, q AS (SELECT feature_id, median(value) AS m, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, var_samp(value) AS v FROM rb GROUP BY 1), a AS (SELECT feature_id, median(abs(value - m)) * 1.4826 AS mad FROM rb JOIN q USING (feature_id) GROUP BY 1)
+SELECT feature_id, sample_id, round_even(CASE WHEN v IS NULL OR v = 0 THEN 0 WHEN iqr <> 0 THEN (value - m) / iqr WHEN mad <> 0 THEN (value - m) / mad ELSE value - m END, 6) + 0.0 AS value FROM rb JOIN q USING (feature_id) JOIN a USING (feature_id)""")
 def scale_robust(spark, d):
-    return V.scale(counts(spark, d), "robust").withColumn("value", r6(F.col("value")))
+    k = F.col("l_partkey") % 40
+    v = F.when(k < 10, 7).when(k < 25, F.greatest(F.col("l_quantity") - 45, F.lit(0))).otherwise(F.col("l_quantity")).cast("double")
+    x = table(spark, d, "lineitem").select(F.concat(F.lit("f"), k).alias("feature_id"), F.concat(F.lit("s"), "l_orderkey", F.lit("_"), "l_linenumber").alias("sample_id"), v.alias("value"))
+    return V.scale(x, "robust").withColumn("value", r6(F.col("value")) + 0.0)
 
 
 @query(f"WITH {CNT}, m AS (SELECT sample_id, median(value) AS m FROM cnt GROUP BY 1) SELECT feature_id, sample_id, round_even(value - m + (SELECT avg(m) FROM m), 6) AS value FROM cnt JOIN m USING (sample_id)")
@@ -477,9 +494,9 @@ def de_select_intersect(spark, d):
     return X.select(results(spark, d), "intersect", p="pvalue", p_cut=0.9, lfc_cut=0.0)
 
 
-@query(f'WITH {DE} SELECT feature_id, ' + ", ".join(f"max(CASE WHEN comparison = 'y{k}' THEN \"log2FoldChange\" END) AS y{k}_lfc, max(CASE WHEN comparison = 'y{k}' THEN pvalue END) AS y{k}_padj" for k in range(3)) + " FROM de GROUP BY 1")
+@query(f'WITH {DE}, hit AS (SELECT DISTINCT feature_id FROM de WHERE comparison IN (\'y0\', \'y1\', \'y2\') AND pvalue < 0.2 AND abs("log2FoldChange") >= 0.05) SELECT feature_id, ' + ", ".join(f"max(CASE WHEN comparison = 'y{k}' THEN \"log2FoldChange\" END) AS y{k}_lfc, max(CASE WHEN comparison = 'y{k}' THEN pvalue END) AS y{k}_padj" for k in range(3)) + " FROM de JOIN hit USING (feature_id) GROUP BY 1")
 def de_comparison_table(spark, d):
-    return X.comparison_table(results(spark, d).withColumnRenamed("pvalue", "padj"), ["y0", "y1", "y2"])
+    return X.comparison_table(results(spark, d).withColumnRenamed("pvalue", "padj"), ["y0", "y1", "y2"], p_cut=0.2, lfc_cut=0.05)
 
 
 @query(f'WITH {DE} SELECT comparison, count(*) FILTER ({SIG} AND "log2FoldChange" > 0) AS n_up, count(*) FILTER ({SIG} AND "log2FoldChange" < 0) AS n_down, round_even(avg("log2FoldChange"), 6) AS mean_lfc, round_even(median("log2FoldChange"), 6) AS median_lfc FROM de GROUP BY 1')
@@ -528,6 +545,17 @@ def gsea_running_sum(spark, d):
     return X.gsea(ranked, sets).withColumn("es", r6(F.col("es")))
 
 
+@query(f"""WITH {DE}, r0 AS (SELECT comparison, feature_id AS gene, max("log2FoldChange") AS stat FROM de GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY comparison ORDER BY stat DESC, gene) AS rank FROM r0),
+s AS (SELECT DISTINCT split_part(feature_id, '|', 2) AS set_id, feature_id AS gene FROM de), x AS (SELECT comparison, k.set_id, r.gene, rank, s.gene IS NOT NULL AS hit, CASE WHEN s.gene IS NOT NULL THEN abs(stat) ELSE 0 END AS w FROM r CROSS JOIN (SELECT DISTINCT set_id FROM s) k LEFT JOIN s ON s.gene = r.gene AND s.set_id = k.set_id),
+y AS (SELECT *, sum(w) OVER o / sum(w) OVER a - count(*) FILTER (NOT hit) OVER o::DOUBLE / nullif(count(*) FILTER (NOT hit) OVER a, 0) AS run, count(*) FILTER (hit) OVER a AS size FROM x WINDOW o AS (PARTITION BY comparison, set_id ORDER BY rank), a AS (PARTITION BY comparison, set_id))
+SELECT comparison, set_id, any_value(size) AS size, round_even(CASE WHEN max(run) >= -min(run) THEN max(run) ELSE min(run) END, 6) AS es FROM y GROUP BY 1, 2""")
+def gsea_per_comparison(spark, d):
+    de = results(spark, d)
+    ranked = de.select("comparison", F.col("feature_id").alias("gene"), F.col("log2FoldChange").alias("stat"))
+    sets = de.select(F.split("feature_id", "\\|")[1].alias("set_id"), F.col("feature_id").alias("gene"))
+    return X.gsea(ranked, sets, by=["comparison"]).withColumn("es", r6(F.col("es")))
+
+
 @query("WITH s AS (SELECT DISTINCT p_type || '_' || (p_size % 5) AS set_id, 'g' || (p_partkey % 300) AS gene FROM part), n AS (SELECT set_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.set_id AS x, b.set_id AS y, count(*) AS shared FROM s a JOIN s b ON a.gene = b.gene AND a.set_id < b.set_id GROUP BY 1, 2) SELECT x, y, shared, round_even(shared / (nx.n + ny.n - shared)::DOUBLE, 6) AS jaccard FROM p JOIN n nx ON nx.set_id = x JOIN n ny ON ny.set_id = y")
 def set_similarity(spark, d):
     p = table(spark, d, "part")
@@ -635,9 +663,9 @@ def outliers_mad(spark, d):
     return T.outliers(v, ["g"], "mad", 1.8)
 
 
-@query("WITH a AS (SELECT vec_id AS item, r AS run, (vec_id * (r + 3) // 7 + label) % 4 AS cluster FROM embeddings, range(5) t(r) WHERE vec_id < 200), p AS (SELECT x.item AS item, y.item AS other, count(*) AS n, count(*) FILTER (x.cluster = y.cluster) AS k FROM a x JOIN a y ON x.run = y.run AND x.item <> y.item GROUP BY 1, 2) SELECT item, count(*) AS n_pairs, round_even(avg(k / n), 6) AS consensus FROM p GROUP BY 1")
+@query("WITH a AS (SELECT vec_id AS item, r AS run, (vec_id * (r + 3) // 7 + label) % 4 AS cluster FROM embeddings, range(5) t(r)), p AS (SELECT x.item AS item, y.item AS other, count(*) AS n, count(*) FILTER (x.cluster = y.cluster) AS k FROM a x JOIN a y ON x.run = y.run AND x.item <> y.item GROUP BY 1, 2) SELECT item, count(*) AS n_pairs, round_even(avg(k / n), 6) AS consensus FROM p GROUP BY 1")
 def item_consensus(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 200").crossJoin(F.broadcast(spark.range(5).withColumnRenamed("id", "run")))
+    e = table(spark, d, "embeddings").crossJoin(F.broadcast(spark.range(5).withColumnRenamed("id", "run")))
     a = e.select(F.col("vec_id").alias("item"), "run", ((F.floor(F.col("vec_id") * (F.col("run") + 3) / 7) + F.col("label")) % 4).alias("cluster"))
     return T.item_consensus(a).withColumn("consensus", r6(F.col("consensus")))
 
@@ -736,9 +764,23 @@ def cell_qc(spark, d):
     return _metrics(spark, d)
 
 
-@query(f"{METR}, s AS (SELECT median(sum) AS ms, median(pct_err) AS mp FROM m), a AS (SELECT median(abs(sum - ms)) * 1.4826 AS ds, median(abs(pct_err - mp)) * 1.4826 AS dp FROM m, s) SELECT m.*, abs(sum - ms) > 1.5 * ds AS fail_sum, abs(pct_err - mp) > 1.5 * dp AS fail_pct_err, NOT (abs(sum - ms) > 1.5 * ds OR abs(pct_err - mp) > 1.5 * dp) AS keep FROM m, s, a")
+FILT = f"""{METR}, s AS (SELECT median(log2(sum)) AS ms, median(log2(detected)) AS md, median(pct_err) AS mp FROM m), a AS (SELECT median(abs(log2(sum) - ms)) * 1.4826 AS ds, median(abs(log2(detected) - md)) * 1.4826 AS dd, median(abs(pct_err - mp)) * 1.4826 AS dp FROM m, s),
+fl AS (SELECT m.*, log2(sum) < ms - 1.5 * ds AS low_lib_size, log2(detected) < md - 1.5 * dd AS low_n_features, pct_err > mp + 1.5 * dp AS high_pct_err, pct_err > 40 AS hard_cap, cell % 11 = 0 AS doublets FROM m, s, a)"""
+
+
+def _filtered(spark, d):
+    m = _metrics(spark, d).withColumn("doublet_class", F.when(F.col("cell") % 11 == 0, "doublet").otherwise("singlet"))
+    return C.filter_adaptive(m, "pct_err", 1.5, 40.0, "doublet_class").drop("doublet_class")
+
+
+@query(f"{FILT} SELECT *, NOT (low_lib_size OR low_n_features OR high_pct_err OR hard_cap OR doublets) AS keep FROM fl")
 def cell_filter_mad(spark, d):
-    return C.filter_mad(_metrics(spark, d), ["sum", "pct_err"], 1.5)
+    return _filtered(spark, d)
+
+
+@query(f"{FILT}, k AS (SELECT *, NOT (low_lib_size OR low_n_features OR high_pct_err OR hard_cap OR doublets) AS keep FROM fl) " + " UNION ALL ".join(f"SELECT '{n}' AS reason, count(*) FILTER ({c}) AS n FROM k" for n, c in [("low_lib_size", "low_lib_size"), ("low_n_features", "low_n_features"), ("high_pct_err", "high_pct_err"), ("hard_cap", "hard_cap"), ("doublets", "doublets"), ("discarded", "NOT keep"), ("kept", "keep")]))
+def cell_filter_reasons(spark, d):
+    return C.filter_reasons(_filtered(spark, d))
 
 
 @query(f"WITH {EXPR}, {LOGX} SELECT gene, cell, counts, round_even(logcounts, 6) AS logcounts FROM lx")
@@ -789,19 +831,35 @@ def _marker_table(x):
     return x.where(last % 5 < 3).select(F.concat(F.lit("T"), F.length("gene") % 3).alias("cell_type"), "gene", F.when(last % 2 == 0, 1).otherwise(-1).alias("sign")).distinct()
 
 
-@query(f"""WITH {EXPR}, {LOGX}, {MK}, n AS (SELECT count(*) AS n FROM cel), g AS (SELECT gene, sum(logcounts) / n AS m, sqrt(greatest((sum(logcounts * logcounts) - sum(logcounts) * sum(logcounts) / n) / (n - 1), 0)) AS d FROM lx, n GROUP BY gene, n),
-w AS (SELECT gene, CASE WHEN t > 1 THEN 1 - (count(DISTINCT cell_type) - 1) / (t - 1)::DOUBLE ELSE 1 END AS weight FROM mk, (SELECT count(DISTINCT cell_type) AS t FROM mk) GROUP BY gene, t), s AS (SELECT cluster, count(*) AS n_cells FROM cel GROUP BY 1),
-p AS (SELECT cluster, gene, sum(logcounts) AS s FROM lx JOIN cel USING (cell) GROUP BY 1, 2), z AS (SELECT s.cluster, g.gene, (coalesce(p.s, 0) - n_cells * m) / d AS z FROM s CROSS JOIN (SELECT * FROM g WHERE d > 0 AND gene IN (SELECT gene FROM mk)) g LEFT JOIN p ON p.cluster = s.cluster AND p.gene = g.gene),
-r AS (SELECT cluster, cell_type, sum(z * weight * sign) / sqrt(count(*)) AS score FROM z JOIN mk USING (gene) JOIN w USING (gene) GROUP BY 1, 2) SELECT cluster, cell_type, round_even(score, 5) AS score, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, cell_type)::INT AS rank FROM r""")
+@query(f"""WITH {EXPR}, {LOGX}, {MK}, x AS (SELECT g.gene, cel.cell, cluster, coalesce(logcounts, 0) AS v FROM (SELECT DISTINCT gene FROM mk) g CROSS JOIN cel LEFT JOIN lx ON lx.gene = g.gene AND lx.cell = cel.cell),
+z AS (SELECT cluster, cell, gene, greatest(-10, least(10, (v - avg(v) OVER w) / greatest(stddev_samp(v) OVER w, 2.220446049250313e-16))) AS z FROM x WINDOW w AS (PARTITION BY gene)),
+c AS (SELECT cluster, cell, cell_type, sum(z * sign) / sqrt(count(*)) AS score FROM z JOIN mk USING (gene) GROUP BY 1, 2, 3), r AS (SELECT cluster, cell_type, sum(score) AS score FROM c GROUP BY 1, 2)
+SELECT cluster, cell_type, round_even(score, 5) AS score, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, cell_type)::INT AS rank FROM r""")
 def sctype_score(spark, d):
     x = C.log_normalize(expression(spark, d))
     s = C.type_scores(x, cell_table(spark, d), _marker_table(x))
     return s.select("cluster", "cell_type", F.bround("score", 5).alias("score"), "rank")
 
 
-@query(f"WITH {EXPR}, {LOGX}, c AS (SELECT cell, count(*) AS detected FROM expr GROUP BY 1), g AS (SELECT gene, corr(coalesce(logcounts, 0), detected) AS r FROM (SELECT DISTINCT gene FROM lx) CROSS JOIN c LEFT JOIN lx USING (gene, cell) GROUP BY 1), b AS (SELECT gene FROM g WHERE r IS NOT NULL ORDER BY round(r, 9) DESC, gene LIMIT 40), s AS (SELECT c.cell, round(coalesce(sum(CASE WHEN gene IN (SELECT gene FROM b) THEN logcounts END), 0) / 40, 9) AS s FROM c LEFT JOIN lx ON lx.cell = c.cell GROUP BY 1) SELECT cell, round_even((rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0) / count(*) OVER (), 6) AS score FROM s")
+CYTO = f"""WITH {EXPR}, {LOGX}, c AS (SELECT cell, count(*) AS detected FROM expr GROUP BY 1), x AS (SELECT gene, c.cell, detected, coalesce(logcounts, 0) AS v FROM (SELECT DISTINCT gene FROM lx) CROSS JOIN c LEFT JOIN lx USING (gene, cell)),
+k AS (SELECT gene, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY gene ORDER BY detected) + (count(*) OVER (PARTITION BY gene, detected) - 1) / 2.0 AS rd FROM x),
+g AS (SELECT gene, coalesce(corr(rv, rd), 0) AS r FROM k GROUP BY 1)"""
+
+
+@query(f"{CYTO} SELECT gene, round_even(r, 6) + 0.0 AS r FROM g")
+def gene_count_correlation(spark, d):
+    return C.gene_count_correlation(C.log_normalize(expression(spark, d))).withColumn("r", r6(F.col("r")) + 0.0)
+
+
+@query(f"""{CYTO}, b AS (SELECT gene FROM g ORDER BY abs(round(r, 9)) DESC, gene LIMIT 40), raw AS (SELECT cell, sum(CASE WHEN gene IN (SELECT gene FROM b) THEN v ELSE 0 END) / 40 AS raw FROM x GROUP BY 1),
+gr AS (SELECT a.cell, b.cell AS other FROM c a JOIN c b ON a.cell % 50 = b.cell % 50 AND a.cell <> b.cell WHERE a.cell % 7 > 0), s AS (SELECT c.cell, coalesce(avg(raw), 0) AS v FROM c LEFT JOIN gr ON gr.cell = c.cell LEFT JOIN raw ON raw.cell = gr.other GROUP BY 1)
+SELECT cell, round_even(1 - (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) + 0.0 AS score FROM s""")
 def cytotrace_score(spark, d):
-    return C.potency(C.log_normalize(expression(spark, d)), 40).withColumn("score", r6(F.col("score")))
+    x = C.log_normalize(expression(spark, d))
+    c = x.select("cell").distinct()
+    o = c.select(F.col("cell").alias("other"))
+    graph = c.join(o, (F.col("cell") % 50 == F.col("other") % 50) & (F.col("cell") != F.col("other"))).where("cell % 7 > 0")
+    return C.potency(x, graph, 40).withColumn("score", r6(F.col("score")) + 0.0)
 
 
 @query("SELECT user_id AS cell, sum(CASE WHEN event_type = 'click' THEN 2 ELSE 1 END)::BIGINT AS spliced, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)::BIGINT AS unspliced, round_even(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) / sum(CASE WHEN event_type = 'click' THEN 2 WHEN event_type = 'view' THEN 2 ELSE 1 END)::DOUBLE, 6) AS unspliced_share FROM events GROUP BY 1")
@@ -850,8 +908,8 @@ def embedding_pca(spark, d):
 
 # --- editing and sequences ---------------------------------------------------------------------------------------
 
-ALT = """alt AS (SELECT *, CASE WHEN a_n >= c_n AND a_n >= g_n AND a_n >= t_n THEN 'A' WHEN c_n >= g_n AND c_n >= t_n THEN 'C' WHEN g_n >= t_n THEN 'G' ELSE 'T' END AS alt, greatest(a_n, c_n, g_n, t_n) AS alt_count
-  FROM (SELECT *, CASE WHEN reference = 'A' THEN -1 ELSE count_A END AS a_n, CASE WHEN reference = 'C' THEN -1 ELSE count_C END AS c_n, CASE WHEN reference = 'G' THEN -1 ELSE count_G END AS g_n, CASE WHEN reference = 'T' THEN -1 ELSE count_T END AS t_n FROM site))"""
+ALT = """sub AS (SELECT region, position, reference, sample_id, base, count(*) AS n FROM ed WHERE base <> reference GROUP BY ALL),
+alt AS (SELECT site.*, s.base AS alt, s.n AS alt_count FROM site LEFT JOIN (SELECT * FROM sub QUALIFY row_number() OVER (PARTITION BY region, position, reference, sample_id ORDER BY n DESC, base) = 1) s USING (region, position, reference, sample_id))"""
 
 
 @query(f"WITH {EDIT}, {SITE} SELECT * FROM site")
@@ -859,17 +917,25 @@ def editing_sites(spark, d):
     return sites(spark, d)
 
 
+def _coded(spark, d):
+    """Sites with their substitution codes, most frequent base last, so that the order of codes decides nothing but ties."""
+    codes = F.array_join(F.array_compact(F.array(*[F.when((F.col("reference") != b) & (F.col(f"count_{b}") > 0), F.concat("reference", F.lit(b))) for b in "ACGT"])), " ")
+    return sites(spark, d).withColumn("all_subs", F.when(codes == "", "-").otherwise(codes))
+
+
 @query(f"WITH {EDIT}, {SITE}, {ALT} SELECT region, position, sample_id, reference, coverage, alt, alt_count, round_even(alt_count / coverage::DOUBLE, 6) AS alt_share FROM alt")
 def editing_primary_alt(spark, d):
-    x = E.primary_alt(sites(spark, d))
+    x = E.primary_alt(_coded(spark, d))
     return x.select("region", "position", "sample_id", "reference", "coverage", "alt", "alt_count", r6(F.col("alt_share")).alias("alt_share"))
 
 
-@query(f"WITH {EDIT}, {SITE}, {ALT}, rna AS (SELECT * FROM alt WHERE sample_id = 's0'), dna AS (SELECT * FROM site WHERE sample_id = 's1'), j AS (SELECT rna.region, rna.position, rna.alt, dna.coverage AS dna_coverage, coalesce(CASE rna.alt WHEN 'A' THEN dna.count_A WHEN 'C' THEN dna.count_C WHEN 'G' THEN dna.count_G ELSE dna.count_T END, 0) AS dna_alt FROM rna LEFT JOIN dna ON rna.region = dna.region AND rna.position = dna.position) SELECT *, CASE WHEN coalesce(dna_coverage, 0) < 5 THEN 'uncovered' WHEN dna_alt >= 1 AND dna_alt / dna_coverage::DOUBLE >= 0.1 THEN 'germline' ELSE 'somatic' END AS status FROM j")
+@query(f"""WITH {EDIT}, {SITE}, {ALT}, rna AS (SELECT *, coverage >= 3 AND alt IS NOT NULL AS ok FROM alt WHERE sample_id = 's0'), dna AS (SELECT * FROM site WHERE sample_id = 's1'),
+j AS (SELECT rna.region, rna.position, rna.alt, ok, CASE WHEN ok THEN dna.coverage END AS dna_coverage, CASE WHEN ok THEN CASE rna.alt WHEN 'A' THEN dna.count_A WHEN 'C' THEN dna.count_C WHEN 'G' THEN dna.count_G WHEN 'T' THEN dna.count_T END END AS dna_alt_reads FROM rna LEFT JOIN dna ON rna.region = dna.region AND rna.position = dna.position)
+SELECT region, position, alt, dna_coverage, dna_alt_reads, round_even(dna_alt_reads / nullif(dna_coverage, 0)::DOUBLE, 6) AS dna_alt_freq, CASE WHEN NOT ok THEN NULL WHEN coalesce(dna_coverage, 0) < 5 THEN 'undetermined' WHEN dna_alt_reads >= 1 AND dna_alt_reads / dna_coverage::DOUBLE >= 0.1 THEN 'germline' ELSE 'confirmed_somatic' END AS germline_status FROM j""")
 def germline_flag(spark, d):
-    s = sites(spark, d)
-    x = E.germline(E.primary_alt(s.where("sample_id = 's0'")), s.where("sample_id = 's1'"), 5, 1, 0.1)
-    return x.select("region", "position", "alt", "dna_coverage", "dna_alt", "status")
+    s = _coded(spark, d)
+    x = E.germline(E.primary_alt(s.where("sample_id = 's0'")), s.where("sample_id = 's1'"), F.col("coverage") >= 3, 5, 1, 0.1)
+    return x.select("region", "position", "alt", "dna_coverage", "dna_alt_reads", r6(F.col("dna_alt_freq")).alias("dna_alt_freq"), "germline_status")
 
 
 @query(f"""WITH {EDIT}, {SITE}, cat AS (SELECT DISTINCT 'c' || (p_partkey % 8) AS region, p_partkey % 500 AS position, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS gtf_strand, CASE WHEN p_partkey % 3 = 0 THEN 'target' ELSE 'control' END AS grp FROM part),
@@ -1189,12 +1255,20 @@ def network_connectivity(spark, d):
     return MV.adjacency_power(T.correlation_pairs(v), 6.0).withColumn("connectivity", r6(F.col("connectivity")))
 
 
-@query("WITH x AS (SELECT s_suppkey, s_acctbal / 2000 - 2 AS v FROM supplier) SELECT s_suppkey, round_even(sign(v) * greatest(abs(v) - 0.5, 0), 6) + 0.0 AS soft, round_even(CASE WHEN abs(v) <= 1 THEN sign(v) * greatest(abs(v) - 0.5, 0) WHEN abs(v) <= 1.85 THEN (2.7 * v - sign(v) * 1.85) / 1.7 ELSE v END, 6) + 0.0 AS scad, round_even(CASE WHEN abs(v) > 0.5 THEN sign(v) * (abs(v) - 0.5) ELSE 0.25 END, 6) + 0.0 AS proximal, round_even(sign(v) * greatest(abs(v) - 0.5, 0) / (1 + 2 * 0.3 * 0.5), 6) + 0.0 AS elastic FROM x")
+@query("""WITH x AS (SELECT s_suppkey, s_acctbal / 2000 - 2 AS v FROM supplier) SELECT s_suppkey, round_even(sign(v) * greatest(abs(v) - 0.5, 0), 6) + 0.0 AS soft, round_even(CASE WHEN abs(v) <= 1 THEN sign(v) * greatest(abs(v) - 0.5, 0) WHEN abs(v) <= 1.85 THEN (2.7 * v - sign(v) * 1.85) / 1.7 ELSE v END, 6) + 0.0 AS scad, round_even(CASE WHEN abs(v) > 0.5 THEN sign(v) * (abs(v) - 0.5) ELSE 0.25 END, 6) + 0.0 AS proximal, round_even(CASE WHEN v > 0.8 * 0.4 THEN (v - 0.8 * 0.4) / (1 + 2 * 0.8 * 0.3) WHEN v < -0.8 * 0.4 THEN (v + 0.8 * 0.4) / (1 + 2 * 0.8 * 0.3) ELSE 0.25 END, 6) + 0.0 AS elastic,
+round_even(CASE WHEN 0 < v - 0.4 AND v - 0.4 <= 0.5 THEN v - 0.4 WHEN -0.5 <= v + 0.4 AND v + 0.4 < 0 THEN v + 0.4 WHEN 0.5 < (v - 0.8 * e2) / (1 + 1.6 * e1) AND (v - 0.8 * e2) / (1 + 1.6 * e1) <= 1.85 THEN (v - 0.8 * e2) / (1 + 1.6 * e1)
+WHEN -1.85 <= (v + 0.8 * e2) / (1 + 1.6 * e1) AND (v + 0.8 * e2) / (1 + 1.6 * e1) <= -0.5 THEN (v + 0.8 * e2) / (1 + 1.6 * e1) WHEN abs(v) > 1.85 THEN v ELSE 0.25 END, 6) + 0.0 AS proximal_scad,
+round_even(CASE WHEN w >= 0.05 AND w <= 0.3 THEN 1.0 WHEN w < 0.05 THEN exp(-2 * (0.05 - w) / 0.05) ELSE exp(-2 * (w - 0.3) / 0.7) END, 6) AS quality FROM (SELECT *, -1 / 5.4 AS e1, 3.7 / 5.4 AS e2, abs(v) / 4 AS w FROM x)""")
 def penalty_functions(spark, d):
     x = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 2000 - 2).alias("v"))
     v = F.col("v")
     z = lambda c: r6(c) + 0.0
-    return x.select("s_suppkey", z(P.soft(v, 0.5)).alias("soft"), z(P.scad(v, 0.5)).alias("scad"), z(P.proximal_lasso(v, F.lit(0.25), 0.5)).alias("proximal"), z(P.proximal_elastic(v, 0.5, 0.3)).alias("elastic"))
+    return x.select("s_suppkey", z(P.soft(v, 0.5)).alias("soft"), z(P.scad(v, 0.5)).alias("scad"), z(P.proximal_lasso(v, F.lit(0.25), 0.5)).alias("proximal"), z(P.proximal_elastic(v, F.lit(0.25), 0.3, 0.4, 0.8)).alias("elastic"), z(P.proximal_scad(v, F.lit(0.25), 0.5, 0.8)).alias("proximal_scad"), r6(P.sparsity_quality(F.abs(v) / 4)).alias("quality"))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM customer), f AS (SELECT f, (((f + 1) * n + 4) // 5) - ((f * n + 4) // 5) AS n FROM range(5) t(f), n) SELECT f::INT AS fold, n FROM f")
+def folds_equal(spark, d):
+    return P.folds(table(spark, d, "customer").select("c_custkey"), "c_custkey", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- plot frames -------------------------------------------------------------------------------------------------------
@@ -1233,11 +1307,11 @@ def quantile_normalize(spark, d):
     return K.quantile_normalize(counts(spark, d)).withColumn("value", r6(F.col("value")))
 
 
-RUNS = "a AS (SELECT vec_id AS item, r AS run, (vec_id * (r + 3) // 7 + label) % 4 AS cluster FROM embeddings, range(5) t(r) WHERE vec_id < 200 AND (vec_id + r) % 3 > 0)"
+RUNS = "a AS (SELECT vec_id AS item, r AS run, (vec_id * (r + 3) // 7 + label) % 4 AS cluster FROM embeddings, range(5) t(r) WHERE (vec_id + r) % 3 > 0)"
 
 
 def _runs(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 200").crossJoin(F.broadcast(spark.range(5).withColumnRenamed("id", "run"))).where("(vec_id + run) % 3 > 0")
+    e = table(spark, d, "embeddings").crossJoin(F.broadcast(spark.range(5).withColumnRenamed("id", "run"))).where("(vec_id + run) % 3 > 0")
     return e.select(F.col("vec_id").alias("item"), "run", ((F.floor(F.col("vec_id") * (F.col("run") + 3) / 7) + F.col("label")) % 4).alias("cluster"))
 
 

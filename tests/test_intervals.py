@@ -91,10 +91,34 @@ def test_expand_priority_profile_and_shift(spark):
     peaks = spark.createDataFrame([("p1", "c1", 0, 5), ("p2", "c1", 50, 60), ("p3", "c2", 0, 9)], "peak_id string, chr string, start bigint, stop bigint")
     kinds = spark.createDataFrame([("c1", 4, 8, "exon"), ("c1", 2, 3, "promoter"), ("c1", 60, 70, "exon")], "chr string, start bigint, stop bigint, kind string")
     assert {r.peak_id: r.annotation for r in I.annotate_priority(peaks, kinds, ["promoter", "exon"]).collect()} == {"p1": "promoter", "p2": "intergenic", "p3": "intergenic"}
-    pairs = spark.createDataFrame([("c1", 2, 12, "c1", 30, 40, "a"), ("c1", 2, 12, "c2", 30, 40, "b")], "chr1 string, start1 bigint, stop1 bigint, chr2 string, start2 bigint, stop2 bigint, name string")
-    assert [tuple(r) for r in I.shift_fragments(pairs).collect()] == [("c1", 6, 35, "a")]
+    rows = [
+        ("c1", 2, 30, "c1", 10, 40, "plus", "+"), ("c1", 100, 140, "c1", 120, 180, "minus", "-"), ("c1", 2, 9, "c1", 3, 12, "minus at the start", "-"),
+        ("c1", 1, 3, "c1", 0, 4, "nothing left", "-"), ("c1", 5, 9, "c2", 5, 9, "two chromosomes", "+"),
+    ]
+    pairs = spark.createDataFrame(rows, "chr1 string, start1 bigint, stop1 bigint, chr2 string, start2 bigint, stop2 bigint, name string, strand1 string")
+    got = {r.name: (r.start, r.stop, r.strand) for r in I.shift_fragments(pairs).collect()}
+    assert got == {"plus": (6, 44, "+"), "minus": (95, 175, "-"), "minus at the start": (0, 7, "-")}
 
 
 def test_empty(spark):
     e = spark.createDataFrame([], S)
     assert I.merge(e).count() == I.coverage(e).count() == I.overlap_pairs(e, e).count() == I.set_algebra(e, e, "union").count() == 0
+
+
+def test_links_are_signed_by_strand(spark):
+    genes = spark.createDataFrame([("a", "c1", 1000, "+", 1.5), ("b", "c1", 1000, "-", 2.5), ("far", "c1", 9000, "+", 0.0)], "gene_id string, chr string, tss bigint, strand string, lfc double")
+    peaks = spark.createDataFrame([("p", "c1", 899, 1000), ("edge", "c1", 1499, 1510), ("beyond", "c1", 1500, 1510)], "peak_id string, chr string, start bigint, stop bigint")
+    links = I.within(genes, peaks, 500)
+    got = {(r.gene_id, r.peak_id): (r.distance_to_tss, r.abs_distance, r.lfc) for r in links.collect()}
+    # the middle of 900..1000 is 950; that of 1500..1510 is 1505
+    assert got == {("a", "p"): (-50, 50, 1.5), ("b", "p"): (50, 50, 2.5), ("a", "edge"): (505, 505, 1.5), ("b", "edge"): (-505, 505, 2.5)}
+    g = {r.gene_id: (r.has_peak, r.n_peaks, r.nearest_peak_distance) for r in I.gene_links(genes, links).collect()}
+    assert g == {"a": (True, 2, 50), "b": (True, 2, 50), "far": (False, 0, None)}
+    p = {r.peak_id: (r.near_gene, r.n_genes, r.nearest_gene, r.nearest_gene_distance) for r in I.peak_links(peaks, links).collect()}
+    assert p == {"p": (True, 2, "a", 50), "edge": (True, 2, "a", 505), "beyond": (False, 0, None, None)}
+
+
+def test_nearest_has_no_frame_that_shrinks(spark):
+    q = spark.createDataFrame([(k, "c1", 10 * k, 10 * k + 3) for k in range(50)], "id bigint, chr string, start bigint, stop bigint")
+    plan = I.nearest(q, q.withColumnRenamed("id", "s"), "s")._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding$(), currentrow$()" in plan and "currentrow$(), unboundedfollowing$()" not in plan

@@ -123,8 +123,8 @@ def test_editing(spark):
     a = editing.primary_alt(editing.base_counts(reads)).where("position = 1").first()
     assert (a.alt, a.alt_count) == ("T", 2)
     dna = spark.createDataFrame([("r", 1, 30, 0, 27, 0, 3)], "region string, position bigint, coverage bigint, count_A bigint, count_C bigint, count_G bigint, count_T bigint")
-    g = {r.position: r.status for r in editing.germline(editing.primary_alt(editing.base_counts(reads)), dna).collect()}
-    assert g == {1: "germline", 2: "uncovered"}
+    g = {r.position: r.germline_status for r in editing.germline(editing.primary_alt(editing.base_counts(reads)), dna).collect()}
+    assert g == {1: "germline", 2: None}
     al = spark.createDataFrame([("ok", 99, 60, "ACGT", False), ("unmapped", 103, 60, "ACGT", False), ("dup", 99 + 1024, 60, "ACGT", False), ("low", 99, 3, "ACGT", False), ("sa", 99, 60, "ACGT", True), ("improper", 97, 60, "ACGT", False)], "qname string, flag int, mapq int, seq string, has_sa boolean")
     assert [r.qname for r in editing.read_filter(al).collect()] == ["ok"]
 
@@ -190,3 +190,48 @@ def test_deconvolution_and_permutation(spark):
     sets = spark.createDataFrame([("top", f"g{k}") for k in range(8)] + [("spread", f"g{k}") for k in range(3, 100, 12)], "set_id string, gene string")
     p = {r.set_id: r for r in clustering.gsea_permutation(ranked, sets).collect()}
     assert p["top"].es > 0.9 and p["top"].pvalue < 0.05 < p["spread"].pvalue
+
+
+def test_sites_without_alternative(spark):
+    cols = "region string, position bigint, reference string, coverage bigint, count_A bigint, count_C bigint, count_G bigint, count_T bigint, all_subs string"
+    rows = [("c", 1, "A", 9, 9, 0, 0, 0, "-"), ("c", 2, "A", 9, 1, 4, 4, 0, "AG AC"), ("c", 3, "A", 9, 1, 8, 0, 0, "GC"), ("c", 4, "C", 30, 0, 20, 0, 10, "CT"), ("c", 5, "C", 30, 0, 20, 0, 10, "CT"), ("c", 6, "C", 30, 0, 20, 0, 10, "CT")]
+    x = editing.primary_alt(spark.createDataFrame(rows, cols))
+    assert {r.position: (r.alt, r.alt_count) for r in x.collect()} == {1: (None, None), 2: ("G", 4), 3: (None, None), 4: ("T", 10), 5: ("T", 10), 6: ("T", 10)}
+    dna = spark.createDataFrame([("c", 1, "A", 50, 50, 0, 0, 0, "-"), ("c", 4, "C", 30, 0, 27, 0, 3, "CT"), ("c", 5, "C", 31, 0, 28, 0, 3, "CT"), ("c", 6, "C", 9, 0, 0, 0, 9, "CT")], cols)
+    got = {r.position: (r.dna_coverage, r.dna_alt_reads, r.germline_status) for r in editing.germline(x, dna).collect()}
+    assert got == {1: (None, None, None), 2: (None, None, "undetermined"), 3: (None, None, None), 4: (30, 3, "germline"), 5: (31, 3, "confirmed_somatic"), 6: (9, 9, "undetermined")}
+
+
+def test_robust_scale_without_spread(spark):
+    rows = [("flat", f"s{k}", 3.0) for k in range(5)] + [("one", "s0", 9.0)]
+    rows += [("iqr0", f"s{k}", v) for k, v in enumerate([1.0] * 8 + [5.0, -3.0])] + [("wide", f"s{k}", float(k)) for k in range(5)]
+    got = {}
+    for r in values.scale(spark.createDataFrame(rows, "feature_id string, sample_id string, value double"), "robust").collect():
+        got.setdefault(r.feature_id, []).append(r.value)
+    assert set(got["flat"]) == {0.0} and got["one"] == [0.0]
+    assert sorted(got["iqr0"]) == [-4.0] + [0.0] * 8 + [4.0]  # neither IQR nor MAD: a scale of 1
+    assert sorted(got["wide"]) == [-1.0, -0.5, 0.0, 0.5, 1.0]
+
+
+def test_no_significant_feature_is_an_error(spark):
+    de = spark.createDataFrame([("g", "x", 2.0, 0.05), ("h", "x", 0.9, 0.01), ("g", "y", 3.0, None)], "feature_id string, comparison string, log2FoldChange double, padj double")
+    with pytest.raises(ValueError, match="no feature"):
+        expression.comparison_table(de, ["x", "y"], p_cut=0.05, lfc_cut=1.0).collect()
+    got = expression.comparison_table(de, ["x", "y"], p_cut=0.051, lfc_cut=1.0).collect()
+    assert [tuple(r) for r in got] == [("g", 2.0, 0.05, 3.0, None)]
+
+
+def test_duplicates_by_both_mates(spark):
+    rows = [("a", 99, "c", 10, "II", 60), ("a", 147, "c", 90, "II", 60), ("b", 99, "c", 10, "AA", 60), ("b", 147, "c", 90, "AA", 60), ("c", 99, "c", 10, "##", 60), ("c", 147, "c", 95, "##", 60)]
+    df = spark.createDataFrame(rows, "qname string, flag int, chr string, pos bigint, qual string, mapq int")
+    assert {(r.qname, r.duplicate) for r in editing.mark_duplicates(df).collect()} == {("a", False), ("b", True), ("c", False)}
+
+
+def test_long_sequences_in_chunks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    seqs = ["", "N", "A", "ACACACA", "AAAA", "ACGT" * 20 + "N" * 9 + "TGTGTGTGTG", "G" * 40 + "CT" * 15] + ["".join(rng.choice("ACGTN") for _ in range(200)) for _ in range(30)]
+    whole = [sequences._describe(s.encode()) for s in seqs]
+    monkeypatch.setattr(sequences, "CHUNK", 7)
+    assert [sequences._describe(s.encode()) for s in seqs] == whole
