@@ -124,3 +124,48 @@ def annotation_counts(peaks: DataFrame) -> DataFrame:
     c = peaks.groupBy("sample_id", "annotation").agg(F.count(F.lit(1)).alias("n"))
     x = grid.join(c, ["sample_id", "annotation"], "left").na.fill(0, ["n"])
     return x.withColumn("share", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy("sample_id"))))
+
+
+def directions(results: DataFrame, by: str, lfc_cut: float = 0.0, p_cut: float = 0.05, least: int = 3) -> DataFrame:
+    """(by, direction, gene): significant genes up (lfc above the cut) and down (below its negative), lists of fewer than `least` left out."""
+    sig = results.where(F.col("padj") < p_cut)
+    up, down = F.col("log2FoldChange") > lfc_cut, F.col("log2FoldChange") < -lfc_cut
+    x = sig.where(up | down).select(by, F.when(up, "up").otherwise("down").alias("direction"), F.col("feature_id").alias("gene")).distinct()
+    n = x.groupBy(by, "direction").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
+    return x.join(n, [by, "direction"]).drop("__n")
+
+
+def over_representation_by(lists: DataFrame, sets: DataFrame, universe: DataFrame, by: list[str], least: int = 1, most: int = 10_000) -> DataFrame:
+    """over_representation() for each list of (by..., gene), against the genes tested in it: `universe` has the first of `by` and gene."""
+    u = universe.distinct()
+    key = by[0]
+    s = sets.distinct().join(u, "gene")
+    size = s.groupBy(key, "set_id").agg(F.count(F.lit(1)).alias("set_size")).where(F.col("set_size").between(least, most))
+    h = lists.join(u, [key, "gene"], "left_semi")
+    hits = h.groupBy(*by).agg(F.count(F.lit(1)).alias("n_hits"))
+    over = h.join(s, [key, "gene"]).groupBy(*by, "set_id").agg(F.count(F.lit(1)).alias("overlap"))
+    total = u.groupBy(key).agg(F.count(F.lit(1)).alias("n_universe"))
+    x = hits.join(size, key).join(total, key).join(over, [*by, "set_id"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    a, b, c = F.col("overlap"), F.col("set_size") - F.col("overlap"), F.col("n_hits") - F.col("overlap")
+    d = F.col("n_universe") - F.col("set_size") - c
+    return x.withColumn("odds_ratio", a * d / (b * c + 1e-10))
+
+
+def gsea_by(ranked: DataFrame, sets: DataFrame, by: str, min_ranked: int = 10, **how) -> DataFrame:
+    """gsea() per `by`; lists with fewer than `min_ranked` genes give one row without a set."""
+    n = ranked.where("stat IS NOT NULL").groupBy(by).agg(F.countDistinct("gene").alias("n_ranked"))
+    every = ranked.select(by).distinct().join(n, by, "left").withColumn("n_ranked", F.coalesce("n_ranked", F.lit(0)))
+    fit = ranked.join(every.where(F.col("n_ranked") >= min_ranked), by)
+    got = gsea(fit.select(by, "gene", "stat"), sets, by=[by], **how)
+    skipped = every.where(F.col("n_ranked") < min_ranked).select(by, F.lit(None).cast("string").alias("set_id"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("double").alias("es"))
+    return got.unionByName(skipped).join(every, by)
+
+
+def mean_by_level(expr: DataFrame, cells: DataFrame, level: str) -> DataFrame:
+    """Mean expression of each gene over all cells of each level, as one JSON object per gene with the levels in order."""
+    n = cells.where(F.col(level).isNotNull()).groupBy(F.col(level).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    s = expr.join(cells.select("cell", F.col(level).alias("level")), "cell").where("level IS NOT NULL").groupBy("gene", "level").agg(F.sum("logcounts").alias("s"))
+    full = expr.select("gene").distinct().crossJoin(F.broadcast(n)).join(s, ["gene", "level"], "left")
+    m = full.select("gene", "level", F.bround(F.coalesce("s", F.lit(0.0)) / F.col("n"), 4).alias("mean"))
+    g = m.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("level", "mean"))).alias("means"))
+    return g.select("gene", F.to_json(F.map_from_entries("means")).alias("means"))

@@ -594,6 +594,10 @@ def activity_ulm(spark, d):
 COR = f"WITH {CNT}, v AS (SELECT sample_id AS variable, feature_id AS item, value FROM cnt), p AS (SELECT a.variable AS x, b.variable AS y, a.value AS u, b.value AS v FROM v a JOIN v b ON a.item = b.item AND a.variable < b.variable)"
 
 
+def correlation_values(spark, d):
+    return counts(spark, d).select(F.col("sample_id").alias("variable"), F.col("feature_id").alias("item"), "value")
+
+
 @query(f"{COR} SELECT x, y, count(*) AS n, round_even(corr(u, v), 6) AS r FROM p GROUP BY 1, 2 HAVING count(*) >= 3")
 def corr_pairs_pearson(spark, d):
     v = counts(spark, d).select(F.col("sample_id").alias("variable"), F.col("feature_id").alias("item"), "value")
@@ -1364,3 +1368,6 @@ def gsea_permuted(spark, d):
     de = results(spark, d)
     ranked = de.where("comparison = 'y0'").select(F.col("feature_id").alias("gene"), F.col("log2FoldChange").alias("stat"))
     return K.gsea_permutation(ranked, de.select(F.split("feature_id", "\\|")[1].alias("set_id"), F.col("feature_id").alias("gene")), 50)
+
+
+from . import more  # noqa: E402,F401  registers its queries too

@@ -157,3 +157,70 @@ def alignments(spark: SparkSession, path) -> DataFrame:
     t = spark.read.text(path).where(~F.startswith("value", F.lit("@")))
     p = F.split("value", "\t")
     return t.select(p[0].alias("qname"), p[1].cast("int").alias("flag"), p[2].alias("chr"), (p[3].cast("bigint") - 1).alias("pos"), p[4].cast("int").alias("mapq"), p[5].alias("cigar"), p[9].alias("seq"), p[10].alias("qual"), F.contains("value", F.lit("\tSA:Z:")).alias("has_sa"))
+
+
+def result_set(spark: SparkSession, folder: str, what: str = "all") -> DataFrame:
+    """One table of a written differential result: all, significant, up, down or summary."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(f"{folder}/{what}")
+
+
+def gene_lists(spark: SparkSession, folders: dict[str, str], what: str = "significant", column: str = "feature_id", p: str = "padj", p_cut: float = 0.05, lfc_cut: float = 1.0) -> DataFrame:
+    """(experiment, gene): distinct ids, blanks left out, of one table of each experiment's written result; `all` takes the bounds."""
+    out = None
+    for name, folder in folders.items():
+        x = result_set(spark, folder, what)
+        if what == "all":
+            x = x.where((F.col(p).cast("double") < p_cut) & (F.abs(F.col("log2FoldChange").cast("double")) >= lfc_cut))
+        x = x.select(F.lit(name).alias("experiment"), F.col(column).alias("gene")).where(F.trim("gene") != "").distinct()
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """Tables of a written bundle; an absent one is an error that names it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for n in names:
+        path = hadoop(f"{folder}/{n}")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            raise FileNotFoundError(f"{folder} has no table {n}")
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+
+
+#: Formats of a sample sheet and their readers.
+SHEET_READERS = {"peaks": narrow_peaks, "seacr": blocks, "bed": bed, "counts": counts_files}
+
+
+def from_sheet(sheet: DataFrame, omics: str, path: str = "file_loc", formats: list[str] | None = None) -> DataFrame:
+    """Files that a sample sheet (sample_id, omics, format, <path>) lists for one kind of data, under each other with their sample.
+
+    Rows without a path (empty, or the text NA) are left out. Sheets are small; one scan is planned for each file.
+    Counts keep the features that all samples have.
+    """
+    spark = sheet.sparkSession
+    rows = sheet.where(F.col("omics") == omics).select("sample_id", "format", path).collect()
+    out, kinds = None, set()
+    for r in rows:
+        where = r[path]
+        if where is None or where.strip() in ("", "NA") or (formats is not None and r.format not in formats):
+            continue
+        if r.format not in SHEET_READERS:
+            raise ValueError(f"{r.sample_id}: no reader for format {r.format}")
+        kinds.add(r.format)
+        x = SHEET_READERS[r.format](spark, where).drop("sample_id").withColumn("sample_id", F.lit(r.sample_id))
+        out = x if out is None else out.unionByName(x, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"the sheet lists no file of {omics}")
+    if kinds == {"counts"}:
+        n = out.agg(F.countDistinct("sample_id").alias("__n"))
+        ok = out.groupBy("feature_id").agg(F.countDistinct("sample_id").alias("__k")).crossJoin(F.broadcast(n)).where("__k = __n").select("feature_id")
+        return out.join(ok, "feature_id", "left_semi")
+    return out
+
+
+def motif_sets(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """Known-motif results of several sets under each other with the set's name."""
+    out = None
+    for name, path in folders.items():
+        x = known_motifs(spark, path).drop("set_id").withColumn("set_id", F.lit(name))
+        out = x if out is None else out.unionByName(x)
+    return out

@@ -33,3 +33,35 @@ def bed_graph(steps: DataFrame, path: str, force: bool = False) -> None:
 
 def json_rows(df: DataFrame, path: str, force: bool = False) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite" if force else "ignore").text(path)
+
+
+def result_set(df: DataFrame, folder: str, by: list[str], p: str = "padj", p_cut: float = 0.05, lfc_cut: float = 1.0, force: bool = False) -> None:
+    """A differential result as four tables by group: all rows, the significant ones, and these up and down; and their counts."""
+    hit = F.coalesce((F.col(p) < p_cut) & (F.abs("log2FoldChange") >= lfc_cut), F.lit(False))
+    up, down = hit & (F.col("log2FoldChange") > 0), hit & (F.col("log2FoldChange") < 0)
+    for name, rows in (("all", None), ("significant", hit), ("up", up), ("down", down)):
+        x = df if rows is None else df.where(rows)
+        x.write.mode("overwrite" if force else "ignore").option("header", True).partitionBy(*by).csv(f"{folder}/{name}")
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_tested"), F.count_if(hit).alias("n_significant"), F.count_if(up).alias("n_up"), F.count_if(down).alias("n_down"))
+    csv(n, f"{folder}/summary", force)
+
+
+def tables(frames: dict[str, DataFrame], folder: str, by: dict[str, list[str]] | None = None, force: bool = False) -> None:
+    """A bundle of result tables, each under its name as Parquet, some of them by groups."""
+    for name, df in frames.items():
+        parquet(df, f"{folder}/{name}", (by or {}).get(name), force)
+
+
+def triplets(expr: DataFrame, folder: str, force: bool = False) -> None:
+    """(gene, cell, counts) as 1-based triplets with the names of genes and cells in order. Names are numbered in one task, being as
+    few as the matrix is wide and high; the values are joined to their numbers."""
+    from pyspark.sql import Window
+
+    mode = "overwrite" if force else "ignore"
+    numbered = {}
+    for c in ("gene", "cell"):
+        t = expr.select(c).distinct().withColumn(f"{c}_no", F.row_number().over(Window.orderBy(c)))
+        t.select(f"{c}_no", c).orderBy(f"{c}_no").coalesce(1).write.mode(mode).option("sep", "\t").csv(f"{folder}/{c}s")
+        numbered[c] = t
+    x = expr.where("counts <> 0").join(numbered["gene"], "gene").join(numbered["cell"], "cell")
+    x.select("gene_no", "cell_no", "counts").write.mode(mode).option("sep", " ").csv(f"{folder}/matrix")
