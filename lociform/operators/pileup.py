@@ -11,7 +11,7 @@ from .editing import BASES, read_filter
 def aligned_bases(alignments: DataFrame) -> DataFrame:
     """(qname, chr, position, base, quality) of every base that its read's CIGAR aligns to the reference.
 
-    `pos` is the 1-based start of the alignment. Insertions and clips move along the read only, deletions and skips along the
+    `pos` is the 0-based start of the alignment, `position` 1-based. Insertions and clips move along the read only, deletions and skips along the
     reference only. A read without a CIGAR aligns nothing.
     """
     sizes = "transform(regexp_extract_all(cigar, '([0-9]+)[MIDNSHP=X]', 1), x -> cast(x AS int))"
@@ -26,7 +26,7 @@ def aligned_bases(alignments: DataFrame) -> DataFrame:
     x = x.select("*", F.explode(F.sequence(F.lit(0), F.col("b.n") - 1)).alias("i"))
     at = F.col("b.q") + F.col("i") + 1
     return x.select(
-        "qname", "chr", (F.col("pos") + F.col("b.r") + F.col("i")).alias("position"), F.upper(F.substring("seq", at, F.lit(1))).alias("base"),
+        "qname", "chr", (F.col("pos") + F.col("b.r") + F.col("i") + 1).alias("position"), F.upper(F.substring("seq", at, F.lit(1))).alias("base"),
         (F.ascii(F.substring("qual", at, F.lit(1))) - 33).alias("quality"),
     )
 

@@ -857,7 +857,7 @@ def gene_count_correlation(spark, d):
 
 @query(f"""{CYTO}, b AS (SELECT gene FROM g ORDER BY abs(round(r, 9)) DESC, gene LIMIT 40), raw AS (SELECT cell, sum(CASE WHEN gene IN (SELECT gene FROM b) THEN v ELSE 0 END) / 40 AS raw FROM x GROUP BY 1),
 gr AS (SELECT a.cell, b.cell AS other FROM c a JOIN c b ON a.cell % 50 = b.cell % 50 AND a.cell <> b.cell WHERE a.cell % 7 > 0), s AS (SELECT c.cell, coalesce(avg(raw), 0) AS v FROM c LEFT JOIN gr ON gr.cell = c.cell LEFT JOIN raw ON raw.cell = gr.other GROUP BY 1)
-SELECT cell, round_even(1 - (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) + 0.0 AS score FROM s""")
+SELECT cell, CASE WHEN max(v) OVER () > min(v) OVER () THEN round_even(1 - (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) + 0.0 ELSE 0.5 END AS score FROM s""")
 def cytotrace_score(spark, d):
     x = C.log_normalize(expression(spark, d))
     c = x.select("cell").distinct()
@@ -942,11 +942,11 @@ def germline_flag(spark, d):
     return x.select("region", "position", "alt", "dna_coverage", "dna_alt_reads", r6(F.col("dna_alt_freq")).alias("dna_alt_freq"), "germline_status")
 
 
-@query(f"""WITH {EDIT}, {SITE}, cat AS (SELECT DISTINCT 'c' || (p_partkey % 8) AS region, p_partkey % 500 AS position, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS gtf_strand, CASE WHEN p_partkey % 3 = 0 THEN 'target' ELSE 'control' END AS grp FROM part),
+@query(f"""WITH {EDIT}, {SITE}, cat AS (SELECT DISTINCT 'c' || (p_partkey % 8) AS region, p_partkey % 500 AS position, CASE WHEN p_partkey // 4 % 2 = 0 THEN '+' ELSE '-' END AS gtf_strand, CASE WHEN p_partkey % 3 = 0 THEN 'target' ELSE 'control' END AS grp FROM part),
 j AS (SELECT sample_id, grp, coverage, CASE WHEN gtf_strand = '-' THEN count_A ELSE count_T END AS n FROM site JOIN cat USING (region, position) WHERE reference = CASE WHEN gtf_strand = '-' THEN 'G' ELSE 'C' END) SELECT sample_id, grp, count(*) AS n_sites, count(*) FILTER (n > 0) AS n_edited, round_even(avg(n / coverage::DOUBLE), 6) AS mean_rate, round_even(sum(n) / sum(coverage)::DOUBLE, 6) AS pooled_rate FROM j GROUP BY 1, 2""")
 def motif_rates(spark, d):
     k = F.col("p_partkey")
-    cat = table(spark, d, "part").select(F.concat(F.lit("c"), k % 8).alias("region"), (k % 500).alias("position"), F.when(k % 2 == 0, "+").otherwise("-").alias("gtf_strand"), F.when(k % 3 == 0, "target").otherwise("control").alias("grp")).distinct()
+    cat = table(spark, d, "part").select(F.concat(F.lit("c"), k % 8).alias("region"), (k % 500).alias("position"), F.when(F.floor(k / 4) % 2 == 0, "+").otherwise("-").alias("gtf_strand"), F.when(k % 3 == 0, "target").otherwise("control").alias("grp")).distinct()
     x = E.motif_rates(cat, sites(spark, d))
     return x.withColumns({"mean_rate": r6(F.col("mean_rate")), "pooled_rate": r6(F.col("pooled_rate"))})
 
@@ -1370,4 +1370,4 @@ def gsea_permuted(spark, d):
     return K.gsea_permutation(ranked, de.select(F.split("feature_id", "\\|")[1].alias("set_id"), F.col("feature_id").alias("gene")), 50)
 
 
-from . import more  # noqa: E402,F401  registers its queries too
+from . import more, rest  # noqa: E402,F401  register their queries too

@@ -139,7 +139,7 @@ def _reads(spark, d):
     cut = lambda text, n: F.substring(F.lit(text), (n % 4 + 1).cast("int"), F.lit(8))
     q = F.col("l_quantity")
     return table(spark, d, "lineitem").select(
-        F.concat("l_orderkey", F.lit("_"), "l_linenumber").alias("qname"), F.concat(F.lit("c"), F.col("l_suppkey") % 3).alias("chr"), (F.col("l_partkey") % 60 + 1).alias("pos"), cigar.alias("cigar"),
+        F.concat("l_orderkey", F.lit("_"), "l_linenumber").alias("qname"), F.concat(F.lit("c"), F.col("l_suppkey") % 3).alias("chr"), (F.col("l_partkey") % 60).alias("pos"), cigar.alias("cigar"),
         cut("ACGTNACGTACG", F.col("l_linenumber")).alias("seq"), cut("IIII5IIIIIII", F.col("l_orderkey")).alias("qual"), F.when(q > 45, 1123).when(q > 40, 147).otherwise(99).alias("flag"),
         F.when(F.col("l_tax") > 0.07, 10).otherwise(60).alias("mapq"), F.lit(False).alias("has_sa"),
     )

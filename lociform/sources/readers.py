@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -93,24 +93,41 @@ def chromosome_sizes(spark: SparkSession, path) -> DataFrame:
     return seen.join(told, "chr", "full").select("chr", F.coalesce("told", "seen").alias("size"))
 
 
-def triplets(spark: SparkSession, folder: str) -> DataFrame:
-    """10x-style matrix folder (matrix.mtx, genes.tsv or features.tsv, barcodes.tsv) to (gene, cell, counts).
+def _lines(spark: SparkSession, path) -> DataFrame:
+    """(value, file, split, n) of text files: a split by its place in the file, n the order of lines inside a split."""
+    return spark.read.text(path).select("value", F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("split"), F.monotonically_increasing_id().alias("n"))
 
-    Line numbers come from zipWithIndex over the two small name files; the matrix itself is a plain scan.
-    """
+
+def numbered_lines(spark: SparkSession, path) -> DataFrame:
+    """(value, line): lines of one text file with their 1-based numbers. A line is numbered inside its split, and the counts of the
+    splits before it, one small row each, are carried in."""
+    x = _lines(spark, path)
+    w = Window.orderBy("split")  # as many rows as splits
+    c = x.groupBy("split").agg(F.count(F.lit(1)).alias("k")).select("split", (F.sum("k").over(w) - F.col("k")).alias("before"))
+    line = F.col("before") + F.row_number().over(Window.partitionBy("split").orderBy("n"))
+    return x.join(F.broadcast(c), "split").select("value", line.alias("line"))
+
+
+def triplets(spark: SparkSession, folder: str) -> DataFrame:
+    """10x-style matrix folder (matrix.mtx, genes.tsv or features.tsv, barcodes.tsv) to (gene, cell, counts)."""
     m = spark.read.text(f"{folder}/matrix.mtx").where(~F.startswith("value", F.lit("%")))
     p = F.split(F.trim("value"), r"\s+")
     m = m.select(p[0].cast("bigint").alias("g"), p[1].cast("bigint").alias("c"), p[2].cast("bigint").alias("counts"))
 
     def numbered(name: str, column: str, out: str) -> DataFrame:
-        lines = spark.read.text(f"{folder}/{name}").rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0].split("\t")[0]))
-        return lines.toDF(f"{column} bigint, {out} string")
+        return numbered_lines(spark, f"{folder}/{name}").select(F.col("line").alias(column), F.split("value", "\t")[0].alias(out))
 
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/features.tsv")
     names = "features.tsv" if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else "genes.tsv"
-    # the size line names a row beyond the last and so joins nothing unless it is inside both ranges: it is dropped by position
-    size = m.limit(1)
-    body = m.join(size.select("g", "c", "counts", F.lit(1).alias("first")), ["g", "c", "counts"], "left").where("first IS NULL").drop("first")
+    # the first line tells the sizes; a value in the last place that equals it comes a second time and stays
+    first = m.first()
+    if first is None:
+        raise ValueError(f"{folder}/matrix.mtx has no size line")
+    is_first = (F.col("g") == first.g) & (F.col("c") == first.c) & (F.col("counts") == first.counts)
+    same = m.where(is_first).count() - 1
+    body = m.where(~is_first)
+    if same:
+        body = body.unionAll(spark.createDataFrame([tuple(first)] * same, m.schema))
     return body.join(numbered(names, "g", "gene"), "g").join(numbered("barcodes.tsv", "c", "cell"), "c").select("gene", "cell", "counts")
 
 
@@ -121,7 +138,7 @@ def transcript_quant(spark: SparkSession, path) -> DataFrame:
 
 
 def editing(spark: SparkSession, path) -> DataFrame:
-    """Editing tables; rows without a substitution drop at the scan."""
+    """Editing tables, their coverage column named after the quality bound 30 or 20; rows without a substitution drop at the scan."""
     x = _tsv(spark, path, schemas.EDITING, header=True, comment=None).where("AllSubs <> '-'")
     from ..operators.editing import parse_counts
 
@@ -139,17 +156,26 @@ def known_motifs(spark: SparkSession, path) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path, chunk: int = 1 << 20) -> DataFrame:
-    """FASTA to (chr, start, seq) rows, one for each sequence line, with offsets by a running sum inside the record.
-
-    Lines carry their place in the file, so records may span splits; `chunk` groups lines for range fetches.
-    """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("n"), F.input_file_name().alias("f"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("f").orderBy("n")
-    x = lines.withColumn("chr", F.last(F.when(F.startswith("value", F.lit(">")), F.split(F.substring("value", 2, 1 << 20), r"\s")[0]), True).over(w)).where(~F.startswith("value", F.lit(">")))
-    run = Window.partitionBy("f", "chr").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    return x.select("chr", F.coalesce(F.sum(F.length("value")).over(run), F.lit(0)).cast("bigint").alias("start"), F.col("value").alias("seq")).withColumn("chunk", F.floor(F.col("start") / chunk))
+    """FASTA to (chr, start, seq, chunk) rows, one for each sequence line with its offset in the record; `chunk` groups lines for range
+    fetches. Offsets are summed inside splits of the files; the record that a split begins in, and how much of it lies in the
+    splits before, come from one small row per split."""
+    x = _lines(spark, path)
+    head = F.startswith("value", F.lit(">"))
+    x = x.withColumns({"header": F.when(head, F.split(F.substring("value", 2, 1 << 20), r"\s")[0]), "size": F.when(head, 0).otherwise(F.length("value"))})
+    run = Window.partitionBy("file", "split").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumns({"record": F.count("header").over(run), "own": F.last("header", True).over(run)})
+    inside = Window.partitionBy("file", "split", "record").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    ends = x.groupBy("file", "split", "record").agg(F.sum("size").alias("size"), F.max("own").alias("own"))
+    tail = ends.groupBy("file", "split").agg(F.max_by("size", "record").alias("tail"), F.max_by("own", "record").alias("last"))
+    order = Window.partitionBy("file").orderBy("split")
+    tail = tail.withColumn("group", F.count("last").over(order))
+    tail = tail.withColumn("sum", F.sum("tail").over(Window.partitionBy("file", "group").orderBy("split")))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    tail = tail.select("file", "split", F.last("last", True).over(before).alias("carried"), F.coalesce(F.lag("sum").over(order), F.lit(0)).alias("length"))
+    y = x.where(F.col("header").isNull()).join(tail, ["file", "split"])
+    start = F.col("at") + F.when(F.col("record") == 0, F.col("length")).otherwise(0)
+    return y.select(F.coalesce("own", "carried").alias("chr"), start.cast("bigint").alias("start"), F.col("value").alias("seq")).withColumn("chunk", F.floor(F.col("start") / chunk))
 
 
 def alignments(spark: SparkSession, path) -> DataFrame:
