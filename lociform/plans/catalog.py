@@ -1353,7 +1353,9 @@ def kmeans_clusters(spark, d):
 
 @query()
 def communities(spark, d):
-    return K.label_propagation(G.snn(_knn(spark, d)).select("a", "b", "weight").persist(), 4)
+    from .more import new_folder
+
+    return K.louvain(G.snn(_knn(spark, d)).select("a", "b", "weight"), new_folder(spark, "louvain"), rounds=8)
 
 
 @query()

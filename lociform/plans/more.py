@@ -309,7 +309,7 @@ def expression_by_level(spark, d):
     return x.select("gene", F.round(total, 4).alias("checksum"), F.size(m).cast("bigint").alias("n_levels"))
 
 
-def _folder(spark, label: str) -> str:
+def new_folder(spark, label: str) -> str:
     """A new folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
@@ -323,7 +323,7 @@ _EXPORT = {"all": "true", "significant": SIG_CUT, "up": SIG_CUT + ' AND "log2Fol
 
 @query(f"WITH {DE} " + " UNION ALL ".join(f"SELECT '{n}' AS part, comparison, count(*) AS n, round_even(sum(\"log2FoldChange\"), 4) + 0.0 AS s FROM de WHERE {c} GROUP BY 2" for n, c in _EXPORT.items()))
 def results_exported(spark, d):
-    folder = _folder(spark, "results")
+    folder = new_folder(spark, "results")
     W.result_set(results(spark, d), folder, ["comparison"], "pvalue", 0.3, 0.05)
     out = None
     for name in _EXPORT:
@@ -336,14 +336,14 @@ def results_exported(spark, d):
 def gene_lists_loaded(spark, d):
     de, folders = results(spark, d), {}
     for name, own in (("one", ["y0", "y1"]), ("two", ["y2", "y3"])):
-        folders[name] = _folder(spark, "lists")
+        folders[name] = new_folder(spark, "lists")
         W.result_set(de.where(F.col("comparison").isin(own)), folders[name], ["comparison"], "pvalue", 0.3, 0.05)
     return R.gene_lists(spark, folders)
 
 
 @query(f"WITH {EXPR}, g AS (SELECT gene, row_number() OVER (ORDER BY gene) AS gene_no FROM (SELECT DISTINCT gene FROM expr)), c AS (SELECT cell, row_number() OVER (ORDER BY cell) AS cell_no FROM (SELECT DISTINCT cell FROM expr)) SELECT gene_no::INT AS gene_no, cell_no::INT AS cell_no, counts FROM expr JOIN g USING (gene) JOIN c USING (cell)")
 def matrix_triplets(spark, d):
-    folder = _folder(spark, "triplets")
+    folder = new_folder(spark, "triplets")
     W.triplets(expression(spark, d), folder)
     return spark.read.schema("gene_no int, cell_no int, counts bigint").option("sep", " ").csv(f"{folder}/matrix")
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lociform.operators import expression, inputs, modules, pileup, plotdata, stats
+from lociform.operators import clustering, expression, inputs, modules, pileup, plotdata, stats
 from lociform.sources import readers, writers
 
 
@@ -151,3 +151,38 @@ def test_lists_too_short_for_enrichment(spark):
 def test_curves(spark):
     v = spark.createDataFrame([("a", 0.0), ("a", 0.5), ("a", 1.0), ("a", None)], "k string, v double")
     assert {r.x: round(r.share, 3) for r in plotdata.ecdf(v, "v", ["k"], 2).collect()} == {0.0: 0.333, 0.5: 0.667, 1.0: 1.0}
+
+
+def best_modularity(n, weight):
+    """The largest modularity of all partitions of a few nodes."""
+    m = 2 * sum(weight.values())
+    k = [sum(w for e, w in weight.items() if i in e) for i in range(n)]
+    best = -1.0
+
+    def go(i, labels, used):
+        nonlocal best
+        if i == n:
+            q = sum(2 * w for (a, b), w in weight.items() if labels[a] == labels[b]) / m
+            q -= sum((sum(k[j] for j in range(n) if labels[j] == c) / m) ** 2 for c in range(used))
+            best = max(best, q)
+            return
+        for c in range(used + 1):
+            go(i + 1, [*labels, c], max(used, c + 1))
+
+    go(0, [], 0)
+    return best
+
+
+def test_louvain(spark, tmp_path):
+    rng = random.Random(6)
+    weight = {(a, b): rng.choice([1.0, 2.0]) if a // 3 == b // 3 else 0.3 for a in range(8) for b in range(a + 1, 8) if a // 3 == b // 3 or rng.random() < 0.4}
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in weight.items()], "a bigint, b bigint, weight double")
+    got = clustering.louvain(df, str(tmp_path / "few"))
+    both = df.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("weight").alias("w"))
+    both = both.unionAll(both.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    q = clustering.modularity(both, got.select(F.col("id").alias("node"), F.col("cluster").alias("c")))
+    assert q == pytest.approx(best_modularity(8, weight))
+    groups = [(a, b, 1.0) for a in range(60) for b in range(a + 1, 60) if rng.random() < (0.6 if a % 4 == b % 4 else 0.03)]
+    many = {r.id: r.cluster for r in clustering.louvain(spark.createDataFrame(groups, "a bigint, b bigint, weight double"), str(tmp_path / "many")).collect()}
+    assert many == {k: k % 4 for k in range(60)}
+    assert clustering.louvain(df.where("false"), str(tmp_path / "none")).count() == 0
