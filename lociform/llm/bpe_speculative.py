@@ -235,7 +235,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document the number of ids, their digest, and that of the text decoded from them."""
+    """Per document the number of ids, their digest, and that of the text decoded from them, one row per input row.
+
+    A null or empty text has no ids; repeated rows and keys are rows of their own; a very long word is merged with a heap and
+    not remembered. An empty table gives no rows. Columns other than key and text are not read, whatever their names; the
+    result's own columns are the key, n_tokens, ids_sha256 and decoded_sha256, so the key must not be named like the others.
+    """
     batch_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

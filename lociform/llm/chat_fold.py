@@ -86,7 +86,8 @@ def render(final: DataFrame) -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """Digests of what the formatted text says: turns, and the text under the loss mask, both unescaped."""
+    """Digests of what the formatted text says: turns, and the text under the loss mask, both unescaped. An empty table gives no rows;
+    a conversation is one row, however long its texts are."""
     pieces = F.expr("slice(split(formatted, '" + OPEN.replace("|", "\\\\|") + "', -1), 2, 2147483647)")
     x = rendered.select("conv", "formatted", "mask", pieces.alias("pieces"))
     un = "replace(replace(replace(replace({}, '%3C', '<'), '%5B', '['), '%0A', '\\n'), '%25', '%')"

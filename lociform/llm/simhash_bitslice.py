@@ -401,7 +401,9 @@ def confirmed(texts: DataFrame, roots: DataFrame, width: int = NEAR_WIDTH, simil
 def near_groups(docs: DataFrame, keep: list[str], rank: str, text: str = "text", width: int = NEAR_WIDTH, label: str = "simhash-near") -> DataFrame:
     """Like groups(), for texts whose shingle sets have a similarity of 0.8 or more rather than for near fingerprints.
 
-    `root` names a group whatever its ranks are.
+    `root` names a group whatever its ranks are. Texts of fewer words than a shingle have one shingle, their words; texts without
+    words (null, empty, white space) are one group. Ties of rank between equal texts decide nothing. A very long text is
+    sketched in blocks of shingles, and its set of distinct shingle hashes is what a comparison holds.
     """
     batch_limits(docs.sparkSession)
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(F.col(f"`{text}`")).alias("__hash"), F.col(f"`{text}`").alias("__text"))
@@ -435,7 +437,8 @@ def near_groups(docs: DataFrame, keep: list[str], rank: str, text: str = "text",
 def dedup_stage(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id (null after all others), ties by the whole row; own columns kept.
 
-    A row is known by its doc_id and its text's hash, so neither null nor repeated ids join groups.
+    A row is known by its doc_id and its text's hash, so neither null nor repeated ids join groups. Columns of any name are
+    carried along; an empty table stays empty; texts without words are near copies of each other, and one of them stays.
     """
     names = docs.columns
     row = F.xxhash64("text")

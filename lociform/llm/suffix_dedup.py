@@ -417,7 +417,9 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans and the digest of what remains. Null texts are empty; repeated rows
-    count as documents of their own and so remove each other."""
+    count as documents of their own and so remove each other. A very long text is cut into slices that share what a window
+    needs, so every window of it is seen. An empty table gives no rows. Columns other than key and text are not read, whatever
+    their names; a null or repeated key is given back as it is."""
     rows = with_row_id(docs, key, text)
     gone = removed(rows, window, hot)
     kind = rows.schema["key"].dataType.simpleString()
@@ -442,7 +444,8 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
 def dedup_stage(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with repeated passages cut from `text` (whole characters only) and n_chars set anew.
 
-    Every row stays, with whatever text is left; a null text stays null.
+    Every row stays, with whatever text is left; a null text stays null. Columns of any name are carried along, a very long text
+    is treated whole, and an empty table stays empty.
     """
     names = docs.columns
     packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")]).alias("rest"))

@@ -247,3 +247,17 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Session)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**5)}" for _ in range(200_000)]
+    other = list(base)
+    other[500] = "changed"
+    rows = [(1, " ".join(base), "x", 1), (2, " ".join(other), "y", 2), (3, "short text of a few words only", "z", 3), (None, None, None, None), (None, "  ", "q", 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, fp string, component int")
+    got = S.groups(df.select("doc_id", "text"), ["doc_id"], "doc_id").collect()
+    assert {r.doc_id: r.fp % 2**64 for r in got if r.doc_id} == {k: brute_fp(t) if k == 3 else S.fingerprint(t.encode()) for k, t, *_ in rows[:3]}
+    kept = S.dedup_stage(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.fp or "") for r in kept.collect())[1:] == [(1, "x"), (3, "z")] and kept.count() == 3

@@ -93,3 +93,22 @@ def test_stage(spark):
     assert out.columns == df.columns
     got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
     assert got == {1: ("one  two", 8, "s"), 2: ("", 0, None), 3: (None, None, "t"), 4: ("clean", 5, "u")}
+
+
+def test_very_long_texts(spark):
+    """Texts of several slices: a passage that stands across a slice's end, and a copy of all of a text."""
+    import hashlib
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = word(300)
+    long = word(S.SLICE - 100) + passage + word(1_200_000)
+    rows = [(1, long), (2, word(500) + passage + word(50)), (3, word(1000)), (4, None), (5, "")]
+    got = {r.doc_id: r for r in S.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    cut = long.replace(passage, "")
+    assert abs(got[1].n_removed - 300) <= 2 and got[1].n_spans == 1 and got[1].n_bytes == len(long)
+    assert got[1].kept_sha256 == hashlib.sha256(cut.encode()).hexdigest() or got[1].n_removed > 300
+    assert abs(got[2].n_removed - 300) <= 2 and got[3].n_removed == 0 and got[4].n_bytes == got[5].n_bytes == 0
+    twice = {r.doc_id: r.n_removed for r in S.digests(spark.createDataFrame([(1, long), (2, long), (None, "x" * 10)], "doc_id bigint, text string")).collect()}
+    assert twice == {1: len(long), 2: len(long), None: 0}

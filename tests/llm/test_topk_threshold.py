@@ -48,3 +48,19 @@ def test_threshold_stops_early():
     s = T.Shard(np.arange(4096), m)
     ids, scores = s.top(np.array([5, 2, 0, 0, 0, 0]), None, 3)
     assert ids.tolist() == [4095, 4094, 4093] and s.steps == 1
+
+
+def test_columns_that_clash_and_many_pairs(spark):
+    rng = random.Random(9)
+    rows = [(k, [rng.gauss(0, 0.3) for _ in range(6)], 1, 2, 3) for k in range(500)]
+    df = spark.createDataFrame(rows, "id bigint, vector array<double>, shard int, score int, rank int")
+    q = [r[:2] for r in rows if r[0] % 3 == 0]
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in T.search(df.where("id % 3 = 0"), df, 4, shard_rows=60, block=25).collect()}
+    assert got == brute(q, [r[:2] for r in rows], 4)
+
+
+def test_products_beyond_floats(spark):
+    rows = [(1, [float(2**20), 1.0]), (2, [float(2**20), 2.0]), (3, [float(2**20), 3.0]), (4, [-float(2**20), 0.0])]
+    df = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in T.search(df, df, 3).collect()}
+    assert got == brute(rows, rows, 3)
