@@ -52,10 +52,14 @@ def pairwise_markers(expr: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def reference_labels(expr: DataFrame, reference: DataFrame) -> DataFrame:
-    """Label each cell by its best Spearman correlation with reference profiles (label, gene, value) over shared genes; ties to the smaller label."""
+    """Label each cell by its best Spearman correlation with reference profiles (label, gene, value) over shared genes; ties to the smaller label.
+    A profile that is constant has no correlation: that label is none, and a cell without any label is left out."""
     j = expr.select("cell", "gene", F.col("value").alias("u")).join(reference.select("label", "gene", F.col("value").alias("v")), "gene")
     r = j.withColumns({"ru": average_rank(["cell", "label"], "u"), "rv": average_rank(["cell", "label"], "v")})
-    g = r.groupBy("cell", "label").agg(F.round(F.corr("ru", "rv"), 9).alias("r")).where("r IS NOT NULL")
+    # corr() itself divides by zero, which is an error in ANSI mode, where all ranks of one side are equal
+    varies = (F.min("ru") < F.max("ru")) & (F.min("rv") < F.max("rv"))
+    corr = F.try_divide(F.covar_pop("ru", "rv"), F.sqrt(F.var_pop("ru")) * F.sqrt(F.var_pop("rv")))
+    g = r.groupBy("cell", "label").agg(F.round(F.when(varies, corr), 9).alias("r")).where("r IS NOT NULL")
     return g.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy(F.col("r").desc(), "label"))).where("k = 1").select("cell", "label", "r")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociform.functions import scalar as S
-from lociform.operators import cells, clustering, editing, expression, graph, models, plotdata, quality, sequences, stats, values
+from lociform.operators import cells, clustering, editing, expression, graph, models, multivariate, plotdata, quality, sequences, stats, values
 
 V = "feature_id string, sample_id string, value double"
 
@@ -259,3 +259,10 @@ def test_consensus_matrix_makes_pairs_where_they_are_returned(spark):
             assert {(r.x, r.y): (r.runs, r.consensus) for r in got.collect()} == joined(rows)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and not any(w in plan[: plan.index("Join")] for w in ("Exchange", "Aggregate"))
+
+
+def test_reference_labels_of_constant_profiles(spark):
+    """A constant cell or reference profile has no correlation; it is no error and no best label."""
+    e = spark.createDataFrame([(c, g, float(v)) for c, vs in (("rises", (1, 2, 5)), ("flat", (2, 2, 2)), ("falls", (9, 3, 1))) for g, v in zip("abc", vs)], "cell string, gene string, value double")
+    ref = spark.createDataFrame([(n, g, float(v)) for n, vs in (("even", (4, 4, 4)), ("up", (1, 3, 8)), ("down", (8, 3, 1))) for g, v in zip("abc", vs)], "label string, gene string, value double")
+    assert {r.cell: (r.label, r.r) for r in multivariate.reference_labels(e, ref).collect()} == {"rises": ("up", 1.0), "falls": ("down", 1.0)}
