@@ -24,12 +24,12 @@ def select(results: DataFrame, how: str = "union", **cuts) -> DataFrame:
     return hits.crossJoin(F.broadcast(n)).where("n_comparisons = __n").drop("__n")
 
 
-def comparison_table(results: DataFrame, comparisons: list[str], p: str = "padj", p_cut: float = 0.05, lfc_cut: float = 0.0) -> DataFrame:
+def comparison_table(results: DataFrame, comparisons: list[str], p: str = "padj", p_cut: float = 0.05, lfc_cut: float = 0.0, needs_hits: bool = True) -> DataFrame:
     """One row per feature that is significant (p < p_cut, |lfc| >= lfc_cut) in a listed comparison, with its lfc and padj in each,
-    NULL where it was not tested. It is an error if no feature is significant."""
+    NULL where it was not tested. It is an error if no feature is significant, unless `needs_hits` is off: then the table is empty."""
     r = results.where(F.col("comparison").isin(comparisons))
     hits = r.where(significant(p=p, p_cut=p_cut, lfc_cut=lfc_cut, p_closed=False)).select("feature_id").distinct()
-    if hits.isEmpty():
+    if needs_hits and hits.isEmpty():
         raise ValueError(f"no feature is significant ({p} < {p_cut}, |log2 fold change| >= {lfc_cut}) in any comparison")
     results = r.join(hits, "feature_id", "left_semi")
     pick = lambda c, column: F.max(F.when(F.col("comparison") == c, F.col(column)))
