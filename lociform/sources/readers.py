@@ -187,7 +187,11 @@ def alignments(spark: SparkSession, path) -> DataFrame:
 
 def result_set(spark: SparkSession, folder: str, what: str = "all") -> DataFrame:
     """One table of a written differential result: all, significant, up, down or summary."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(f"{folder}/{what}")
+    r = spark.read.option("header", True).option("inferSchema", False)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/columns")
+    if what != "summary" and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        r = r.schema(r.csv(f"{folder}/columns").schema)  # texts all; a table may have no rows
+    return r.csv(f"{folder}/{what}")
 
 
 def gene_lists(spark: SparkSession, folders: dict[str, str], what: str = "significant", column: str = "feature_id", p: str = "padj", p_cut: float = 0.05, lfc_cut: float = 1.0) -> DataFrame:

@@ -36,7 +36,8 @@ def json_rows(df: DataFrame, path: str, force: bool = False) -> None:
 
 
 def result_set(df: DataFrame, folder: str, by: list[str], p: str = "padj", p_cut: float = 0.05, lfc_cut: float = 1.0, force: bool = False) -> None:
-    """A differential result as four tables by group: all rows, the significant ones, and these up and down; and their counts."""
+    """A differential result as four tables by group: all rows, the significant ones, and these up and down; and their counts.
+    `columns` holds the names alone (those of the groups last), since a table without rows has no file that tells them."""
     hit = F.coalesce((F.col(p) < p_cut) & (F.abs("log2FoldChange") >= lfc_cut), F.lit(False))
     up, down = hit & (F.col("log2FoldChange") > 0), hit & (F.col("log2FoldChange") < 0)
     for name, rows in (("all", None), ("significant", hit), ("up", up), ("down", down)):
@@ -44,6 +45,7 @@ def result_set(df: DataFrame, folder: str, by: list[str], p: str = "padj", p_cut
         x.write.mode("overwrite" if force else "ignore").option("header", True).partitionBy(*by).csv(f"{folder}/{name}")
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_tested"), F.count_if(hit).alias("n_significant"), F.count_if(up).alias("n_up"), F.count_if(down).alias("n_down"))
     csv(n, f"{folder}/summary", force)
+    csv(df.select(*[c for c in df.columns if c not in by], *by).limit(0), f"{folder}/columns", force)
 
 
 def tables(frames: dict[str, DataFrame], folder: str, by: dict[str, list[str]] | None = None, force: bool = False) -> None:

@@ -65,3 +65,7 @@ def _same_as_sql(spark, d, name):
 
 def test_comparison_table_without_hits(spark, without_hits):
     assert _same_as_sql(spark, without_hits, "de_comparison_table") == 0
+
+
+def test_gene_lists_without_hits(spark, without_hits):
+    assert _same_as_sql(spark, without_hits, "gene_lists_loaded") == 0

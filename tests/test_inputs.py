@@ -186,3 +186,13 @@ def test_louvain(spark, tmp_path):
     many = {r.id: r.cluster for r in clustering.louvain(spark.createDataFrame(groups, "a bigint, b bigint, weight double"), str(tmp_path / "many")).collect()}
     assert many == {k: k % 4 for k in range(60)}
     assert clustering.louvain(df.where("false"), str(tmp_path / "none")).count() == 0
+
+
+def test_result_set_without_hits(spark, tmp_path):
+    de = spark.createDataFrame([("a", "01", 0.1, 0.9), ("b", "01", -0.2, 0.8)], "feature_id string, comparison string, log2FoldChange double, padj double")
+    writers.result_set(de, str(tmp_path / "r"), ["comparison"])
+    assert {(r.feature_id, r.comparison, r.log2FoldChange) for r in readers.result_set(spark, str(tmp_path / "r")).collect()} == {("a", "01", "0.1"), ("b", "01", "-0.2")}
+    for what in ("significant", "up", "down"):
+        x = readers.result_set(spark, str(tmp_path / "r"), what)
+        assert x.columns == ["feature_id", "log2FoldChange", "padj", "comparison"] and x.count() == 0
+    assert readers.gene_lists(spark, {"one": str(tmp_path / "r")}).collect() == []
