@@ -69,3 +69,7 @@ def test_comparison_table_without_hits(spark, without_hits):
 
 def test_gene_lists_without_hits(spark, without_hits):
     assert _same_as_sql(spark, without_hits, "gene_lists_loaded") == 0
+
+
+def test_results_exported_without_hits(spark, without_hits):
+    assert _same_as_sql(spark, without_hits, "results_exported") == 4
