@@ -1,4 +1,4 @@
-"""Readers of text formats, each with an explicit schema; nothing is inferred and every scan is splittable."""
+"""Readers of text formats, each with an explicit schema; nothing is inferred and every scan is splittable (written results by files)."""
 
 from __future__ import annotations
 
@@ -186,8 +186,9 @@ def alignments(spark: SparkSession, path) -> DataFrame:
 
 
 def result_set(spark: SparkSession, folder: str, what: str = "all") -> DataFrame:
-    """One table of a written differential result: all, significant, up, down or summary."""
-    r = spark.read.option("header", True).option("inferSchema", False)
+    """One table of a written differential result: all, significant, up, down or summary. A line break within quotes belongs to its
+    text, so a file is one task's; the writer bounds the files. Empty texts come back as null."""
+    r = spark.read.options(header=True, inferSchema=False, multiLine=True, lineSep="\n")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/columns")
     if what != "summary" and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         r = r.schema(r.csv(f"{folder}/columns").schema)  # texts all; a table may have no rows

@@ -35,16 +35,27 @@ def json_rows(df: DataFrame, path: str, force: bool = False) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite" if force else "ignore").text(path)
 
 
+#: Rows a file of a written result may hold: one task reads a file whole, since texts may hold line breaks.
+RESULT_ROWS_A_FILE = 1_000_000
+
+
 def result_set(df: DataFrame, folder: str, by: list[str], p: str = "padj", p_cut: float = 0.05, lfc_cut: float = 1.0, force: bool = False) -> None:
     """A differential result as four tables by group: all rows, the significant ones, and these up and down; and their counts.
-    `columns` holds the names alone (those of the groups last), since a table without rows has no file that tells them."""
+    `columns` holds the names alone (those of the groups last), since a table without rows has no file that tells them.
+    The result is computed once (kept in memory and on disk meanwhile), so that the tables agree. Texts are written as they are,
+    line breaks and outer spaces included."""
     hit = F.coalesce((F.col(p) < p_cut) & (F.abs("log2FoldChange") >= lfc_cut), F.lit(False))
-    up, down = hit & (F.col("log2FoldChange") > 0), hit & (F.col("log2FoldChange") < 0)
-    for name, rows in (("all", None), ("significant", hit), ("up", up), ("down", down)):
-        x = df if rows is None else df.where(rows)
-        x.write.mode("overwrite" if force else "ignore").option("header", True).partitionBy(*by).csv(f"{folder}/{name}")
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_tested"), F.count_if(hit).alias("n_significant"), F.count_if(up).alias("n_up"), F.count_if(down).alias("n_down"))
-    csv(n, f"{folder}/summary", force)
+    flags = {"_hit": hit, "_up": hit & (F.col("log2FoldChange") > 0), "_down": hit & (F.col("log2FoldChange") < 0)}
+    mode, exact = "overwrite" if force else "ignore", {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxRecordsPerFile": RESULT_ROWS_A_FILE}
+    kept = df.withColumns(flags).persist()  # flags and not bounds pick kept rows: what is kept is pruned by ranges that leave NaN out
+    try:
+        for name, flag in (("all", None), ("significant", "_hit"), ("up", "_up"), ("down", "_down")):
+            x = kept if flag is None else kept.where(flag)
+            x.select(*df.columns).write.mode(mode).option("header", True).options(**exact).partitionBy(*by).csv(f"{folder}/{name}")
+        n = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n_tested"), F.count_if("_hit").alias("n_significant"), F.count_if("_up").alias("n_up"), F.count_if("_down").alias("n_down"))
+        csv(n, f"{folder}/summary", force)
+    finally:
+        kept.unpersist()
     csv(df.select(*[c for c in df.columns if c not in by], *by).limit(0), f"{folder}/columns", force)
 
 

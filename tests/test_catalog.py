@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lociform.plans import catalog
@@ -73,3 +74,10 @@ def test_gene_lists_without_hits(spark, without_hits):
 
 def test_results_exported_without_hits(spark, without_hits):
     assert _same_as_sql(spark, without_hits, "results_exported") == 4
+
+
+def test_results_exported_of_names_with_line_breaks(spark, without_hits, tmp_path):
+    parts = [(0, "Brand\n0", "SMALL"), (1, "Brand\r\n1", "SMALL"), (2, "Brand#2", "SMALL\n")]
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{without_hits}/lineitem.parquet").withColumn("l_discount", F.when(F.col("l_partkey") == 0, float("nan")).otherwise(F.col("l_discount") + F.col("l_partkey") / 100)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert _same_as_sql(spark, str(tmp_path), "results_exported") == 12

@@ -1,6 +1,7 @@
 """Upstream tables, pileups, modules, readers over several splits, exports."""
 
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +197,17 @@ def test_result_set_without_hits(spark, tmp_path):
         x = readers.result_set(spark, str(tmp_path / "r"), what)
         assert x.columns == ["feature_id", "log2FoldChange", "padj", "comparison"] and x.count() == 0
     assert readers.gene_lists(spark, {"one": str(tmp_path / "r")}).collect() == []
+
+
+def test_result_set_is_computed_once_and_keeps_texts(spark, tmp_path):
+    names = ["two\nlines", "two\r\nlines", "a\rb", "end\n", "\nstart", "  spaces ", 'q"u,o\\', '"', "plain"]
+    rows = [(name, "x", 2.0 if k % 2 else -2.0, 0.01) for k, name in enumerate(names)] + [("n", "x", float("nan"), 0.01), ("n", "y", float("nan"), 0.01), ("none", "y", None, None)]
+    run = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()
+    de = spark.createDataFrame(rows, "feature_id string, comparison string, log2FoldChange double, padj double").repartition(4).withColumn("run", run())
+    writers.result_set(de, str(tmp_path / "r"), ["comparison"])
+    back = {n: {(r.feature_id, r.comparison, r.log2FoldChange, r.run) for r in readers.result_set(spark, str(tmp_path / "r"), n).collect()} for n in ("all", "significant", "up", "down")}
+    text = lambda v: None if v is None else "NaN" if v != v else str(v)
+    assert sorted(map(str, (x[:3] for x in back["all"]))) == sorted(str((f, c, text(v))) for f, c, v, _ in rows)
+    assert back["significant"] == {x for x in back["all"] if x[2] is not None}
+    assert back["up"] == {x for x in back["all"] if x[2] in ("2.0", "NaN")} and back["down"] == {x for x in back["all"] if x[2] == "-2.0"}
+    assert {(r.comparison, r.n_tested, r.n_significant, r.n_up, r.n_down) for r in readers.result_set(spark, str(tmp_path / "r"), "summary").collect()} == {("x", "10", "10", "5", "5"), ("y", "2", "1", "1", "0")}
